@@ -5,11 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import langid, pieces, pii, secrets
+from tessera.llm import langid, pieces, pii, quality, secrets, urls
 from tessera.llm.common import table
 
 
+def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of pages: a labelled item of the page's id that is of low quality or toxic is bad."""
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
+    labelled = F.col("quality").isNotNull() & F.col("toxic").isNotNull()
+    return table(spark, sf_dir, "labels").where(labelled).select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+
+
+def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), page_outcomes(spark, sf_dir))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
@@ -27,9 +43,11 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_urls": op1_urls,
+    "op2_quality": op2_quality,
     "op4_pieces": op4_pieces,
     "op7_pii": op7_pii,
     "op8_secrets": op8_secrets,
     "op10_langid": op10_langid,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_urls": urls.ORACLE, "op2_quality": quality.ORACLE}
