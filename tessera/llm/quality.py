@@ -101,7 +101,7 @@ METHOD_RULES = [
     Rule("shouting", _shouting),
     Rule("word_length", lambda t, w: (word_chars(w) < F.size(w) * 2) | (word_chars(w) > F.size(w) * 15)),
     Rule("few_letters", _few_letters),
-    Rule("dup_lines", lambda t, w: let(lines_of(t), lambda x: _share(F.size(x) - F.size(F.array_distinct(x)), F.size(x), 30))),
+    Rule("dup_lines", lambda t, w: let(lines_of(t), lambda x: _share(F.size(x) - F.size(F.array_distinct(x)), F.size(x), 50))),
 ]
 
 
@@ -212,6 +212,6 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR length(regexp_replace(text, '[^A-Z]', '', 'g')) > length(regexp_replace(text, '[^a-z]', '', 'g'))
     OR word_chars < 2 * n_words OR word_chars > 15 * n_words
     OR 100 * len(list_filter(words, lambda x: regexp_matches(x, '\p{L}'))) < 60 * n_words
-    OR 100 * n_dup_lines > 30 * len(lines)) AS kept
+    OR 100 * n_dup_lines > 50 * len(lines)) AS kept
 FROM g
 """

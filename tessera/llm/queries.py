@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, pieces, pii, quality, secrets, urls
+from tessera.llm import langid, pieces, pii, quality, secrets, simhash, urls
 from tessera.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_urls": op1_urls,
     "op2_quality": op2_quality,
     "op4_pieces": op4_pieces,
+    "op5_simhash": op5_simhash,
     "op7_pii": op7_pii,
     "op8_secrets": op8_secrets,
     "op10_langid": op10_langid,
