@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, langid, pieces, pii, quality, secrets, simhash, substrings, urls
+from tessera.llm import decontaminate, langid, lm, pieces, pii, quality, secrets, simhash, substrings, urls
 from tessera.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "langs")
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substrings": op6_substrings,
     "op7_pii": op7_pii,
     "op8_secrets": op8_secrets,
+    "op9_lm": op9_lm,
     "op10_langid": op10_langid,
 }
 ORACLES: dict[str, str] = {"op1_urls": urls.ORACLE, "op2_quality": quality.ORACLE}
