@@ -12,6 +12,8 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterable
+from itertools import repeat
+from operator import add
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -20,13 +22,18 @@ from tessera.llm.common import map_rows
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-NONE = 1 << 40
+ID_BITS = 24
+ID_MASK = (1 << ID_BITS) - 1
+NONE = 1 << 62
 #: Segments longer than this go through a heap; for short ones a list scan is quicker.
 SCAN_LIMIT = 48
 #: Starts are taken modulo this in the keyed hash.
 START_SLOTS = 16
-SEGMENT = re.compile(r" *[^ \n]+|\n| +")
-CACHE_ENTRIES = 120_000
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+#: A segment ends with a run of letters, or before a space or a line end: no piece reaches over those.
+SEGMENT = re.compile(rf" *[^{LETTERS} \n]*[{LETTERS}]+| *[^{LETTERS} \n]+|\n| +")
+#: Of all variants; as many again stay from before.
+CACHE_ENTRIES = 240_000
 
 
 class Vocabulary:
@@ -36,8 +43,9 @@ class Vocabulary:
         """kinds: "piece", "byte" or "other" (control and unknown) for each id."""
         self.byte_ids = {int(p[1:-1], 16): i for i, (p, k) in enumerate(zip(pieces, kinds, strict=True)) if k == "byte"}
         self.ids = {p: i for i, (p, k) in enumerate(zip(pieces, kinds, strict=True)) if k == "piece"}
-        # Ranks of equal scores must tie, or the leftmost would not win.
-        level, last, self.level = -1, None, {}
+        # Levels order pieces by score; equal scores share one, so that the leftmost wins.
+        self.level: dict[int, int] = {}
+        level, last = -1, None
         for i in sorted(self.ids.values(), key=lambda i: -scores[i]):
             if scores[i] != last:
                 level, last = level + 1, scores[i]
@@ -46,14 +54,10 @@ class Vocabulary:
         self.out = [p.replace(SPACE, " ").encode() if k == "piece" else b"" for p, k in zip(pieces, kinds, strict=True)]
         for b, i in self.byte_ids.items():
             self.out[i] = bytes([b])
-        self.merges: dict[int, tuple[int, int]] = {}
-        for p, i in self.ids.items():
-            for cut in range(1, len(p)):
-                a, b = self.ids.get(p[:cut]), self.ids.get(p[cut:])
-                if a is not None and b is not None:
-                    self.merges[a * self.size + b] = (self.level[i], i)
+        #: A piece's level and id in one number, by its text: what a merge into it is worth.
+        self.worth = {p: self.level[i] << ID_BITS | i for p, i in self.ids.items() if len(p) > 1}
         # Segments are encoded apart, so no piece may reach over a boundary between them.
-        if any("\n" in p or re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids):
+        if any("\n" in p or re.search(f"[^{SPACE}]{SPACE}|[{LETTERS}][^{LETTERS}{SPACE}]", p) for p in self.ids):
             raise ValueError("the vocabulary has pieces that cross a segment boundary")
 
     @classmethod
@@ -114,65 +118,62 @@ class Encoder:
         return out
 
     def segment(self, segment: str, variant: int = 0) -> list[int]:
-        ids, n = self.v.ids, len(segment)
-        # A character that is no piece, or the literal mark, can't merge: it is spelt in bytes.
-        symbols = [ids.get(SPACE, -33) if c == " " else -ord(c) - 1 if c == SPACE else ids.get(c, -ord(c) - 1) for c in segment]
-        merged = (self._scan if n <= SCAN_LIMIT else self._agenda)(symbols, self.drops[variant])
-        if min(merged) >= 0:
-            return merged
-        out = []
-        for s in merged:
-            out += [s] if s >= 0 else [self.v.byte_ids[b] for b in chr(-s - 1).encode()]
-        return out
-
-    def _scan(self, symbols: list[int], drop: bytes | None) -> list[int]:
-        merges, size = self.v.merges, self.v.size
-        none = (NONE, 0)
-        pairs = [merges.get(a * size + b, none) if a >= 0 and b >= 0 else none for a, b in zip(symbols, symbols[1:], strict=False)]
-        levels = [p[0] for p in pairs]
+        if SPACE in segment:
+            # The literal mark merges with nothing: what stands before and after it is apart.
+            mark = [self.v.byte_ids[b] for b in SPACE.encode()]
+            parts = [self.segment(x, variant) if x else [] for x in segment.split(SPACE)]
+            return [i for k, ids in enumerate(parts) for i in (mark * (k > 0) + ids)]
+        symbols = list(segment.replace(" ", SPACE))
+        # Pieces of one level are runs of spaces alone, and only the heap tells those apart.
+        merged = (self._scan if len(symbols) <= SCAN_LIMIT and "  " not in segment else self._agenda)(symbols, self.drops[variant])
+        out = list(map(self.v.ids.get, merged))
+        if None not in out:
+            return out
+        # A character that is no piece is spelt in bytes.
+        return [j for s, i in zip(merged, out, strict=True) for j in ([i] if i is not None else [self.v.byte_ids[b] for b in s.encode()])]
+
+    def _scan(self, symbols: list[str], drop: bytes | None) -> list[str]:
+        get = self.v.worth.get
+        worth = list(map(get, map(add, symbols, symbols[1:]), repeat(NONE)))
         starts = list(range(len(symbols)))
-        while levels:
-            best = min(levels)
+        while worth:
+            best = min(worth)
             if best == NONE:
                 break
-            i = levels.index(best)
-            piece = pairs[i][1]
-            if drop is not None and drop[piece * START_SLOTS + starts[i] % START_SLOTS]:
-                levels[i] = NONE
+            i = worth.index(best)
+            if drop is not None and drop[(best & ID_MASK) * START_SLOTS + starts[i] % START_SLOTS]:
+                worth[i] = NONE
                 continue
-            symbols[i] = piece
-            del symbols[i + 1], starts[i + 1], levels[i], pairs[i]
+            symbols[i] = one = symbols[i] + symbols[i + 1]
+            del symbols[i + 1], starts[i + 1], worth[i]
             if i:
-                a = symbols[i - 1]
-                pairs[i - 1] = p = merges.get(a * size + piece, none) if a >= 0 else none
-                levels[i - 1] = p[0]
-            if i < len(levels):
-                b = symbols[i + 1]
-                pairs[i] = p = merges.get(piece * size + b, none) if b >= 0 else none
-                levels[i] = p[0]
+                worth[i - 1] = get(symbols[i - 1] + one, NONE)
+            if i < len(worth):
+                worth[i] = get(one + symbols[i + 1], NONE)
         return symbols
 
-    def _agenda(self, symbols: list[int], drop: bytes | None) -> list[int]:
+    def _agenda(self, symbols: list[str], drop: bytes | None) -> list[str]:
         """The same by a heap over linked symbols, for segments of any length."""
-        merges, size, n = self.v.merges, self.v.size, len(symbols)
+        get, n = self.v.worth.get, len(symbols)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap: list[tuple[int, int, int, int, int]] = []
+        heap: list[tuple[int, int, int, int]] = []
 
         def offer(i: int, j: int) -> None:
-            if i >= 0 and j >= 0 and symbols[i] >= 0 and symbols[j] >= 0 and (p := merges.get(symbols[i] * size + symbols[j])):
-                heapq.heappush(heap, (p[0], i, p[1], symbols[i], symbols[j]))
+            if i >= 0 and j >= 0 and (w := get(symbols[i] + symbols[j])) is not None:
+                heapq.heappush(heap, (w >> ID_BITS, i, w & ID_MASK, len(symbols[i]) + len(symbols[j])))
 
         for i in range(n - 1):
             offer(i, i + 1)
         gone = bytearray(n)
         while heap:
-            _, i, piece, a, b = heapq.heappop(heap)
+            _, i, piece, length = heapq.heappop(heap)
             j = after[i]
-            if gone[i] or j < 0 or symbols[i] != a or symbols[j] != b:
+            # An offer is void once either side has grown.
+            if gone[i] or j < 0 or len(symbols[i]) + len(symbols[j]) != length or self.v.ids.get(symbols[i] + symbols[j]) != piece:
                 continue
             if drop is not None and drop[piece * START_SLOTS + i % START_SLOTS]:
                 continue
-            symbols[i], gone[j], after[i] = piece, 1, after[j]
+            symbols[i], gone[j], after[i] = symbols[i] + symbols[j], 1, after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             offer(before[i], i)

@@ -11,12 +11,13 @@ buckets small as the corpus grows.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import checkpoint, map_rows
@@ -29,6 +30,10 @@ TILE = 512
 COUNT_AT_ONCE = 1 << 16
 #: Fingerprints that a bucket should hold on average, at most.
 BUCKET = 64
+#: Of two texts of the wanted similarity, the chance that no sampled key joins them.
+MISSED = 0.02
+#: Ids that a broadcast may hold; beyond it the join is shuffled.
+BROADCAST_IDS = 1_000_000
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -106,22 +111,27 @@ def _spans(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray
     return every[at], every[label[at]]
 
 
-def compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Links within each run of rows (k, bits, pair, side, fp) of one (k, bits, pair)."""
+def compare(batches: Iterator[pa.RecordBatch], spans: Callable[..., tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Links within each run of rows (k, bits, pair, side, ...) of one (k, bits, pair).
+
+    spans: gets the further columns of a tile and, for a pair of tiles, of the other (else
+    None), and returns columns ``names`` of links.
+    """
     held: list[np.ndarray] = []
 
-    def settle(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        fps, side = block[4].view(np.uint64), block[3]
-        if fps.size < 2:
-            return fps[:0], fps[:0]
+    def settle(block: np.ndarray) -> tuple | None:
+        side, rest = block[3], block[4:]
+        if side.size < 2:
+            return None
         if side[0] == 0:
-            return _spans(fps, None, radius)
-        a, b = fps[side == 1], fps[side == 2]
-        return _spans(a, b, radius) if a.size and b.size else (fps[:0], fps[:0])
+            return spans(rest, None)
+        a, b = rest[:, side == 1], rest[:, side == 2]
+        return spans(a, b) if a.size and b.size else None
 
-    def emit(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        u, v = (np.concatenate([x[s] for x in found] or [np.zeros(0, np.uint64)]).view(np.int64) for s in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+    def emit(found: list[tuple | None]) -> pa.RecordBatch:
+        full = [x for x in found if x is not None]
+        columns = [np.concatenate([x[i] for x in full]).astype(np.int64) if full else np.zeros(0, np.int64) for i in range(len(names))]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     for batch in batches:
         rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
@@ -132,41 +142,51 @@ def compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
         ends = np.append(change, rows.shape[1])
         begins = np.append(0, change)
         held = [rows[:, begins[-1] :]]  # may go on in the next batch
-        full = [(b, e) for b, e in zip(begins[:-1], ends[:-1], strict=True) if e - b > 1]
-        yield emit([settle(rows[:, b:e]) for b, e in full])
+        yield emit([settle(rows[:, b:e]) for b, e in zip(begins[:-1], ends[:-1], strict=True) if e - b > 1])
     if held:
         yield emit([settle(held[0])])
 
 
-def links(fps: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
-    """Links (u, v) that connect what a chain of distances up to ``radius`` connects.
+def deal(nodes: DataFrame, keys: Column, radius: int, tile: int, columns: list[str]) -> DataFrame:
+    """Rows (k, bits, pair, side, *columns) so that those to compare lie together, in order.
 
-    fps: distinct (fp). A bucket of more than ``tile`` fingerprints is dealt into tiles by
-    population count, a count with many of them into several; each row goes to every pair
-    of tiles that may hold a link of its own, and pairs are compared on their own, so no
-    bucket lands in one task.
+    nodes: (*columns, pop), pop the population count. A bucket of more than ``tile`` nodes
+    is dealt into tiles by population count, a count with many of them into several; each
+    row goes to every pair of tiles that may hold a link of its own, and pairs are compared
+    on their own, so no bucket lands in one task.
     """
-    n = fps.count()
-    blocks = block_count(n, radius)
-    spread = fps.select("fp", F.bit_count("fp").alias("pop"), F.explode(block_keys(F.col("fp"), radius, blocks)).alias("x")).select("fp", "pop", "x.k", "x.bits")
+    spread = nodes.select(*columns, "pop", F.explode(keys).alias("x")).select(*columns, "pop", "x.k", "x.bits")
     by_pop = spread.groupBy("k", "bits", "pop").agg(F.count("*").alias("n"))
-    # A map of population counts has 65 entries at most.
+    # A map of population counts has 129 entries at most.
     sizes = by_pop.groupBy("k", "bits").agg(
-        F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("pop", F.ceil(F.col("n") / tile).cast("int").alias("t")))).alias("tiles"))
-    wide = sizes.where(F.col("n") > 1)
-    row = spread.join(wide, ["k", "bits"])
-    small = row.where(F.col("n") <= tile).select("k", "bits", F.lit(0).cast("long").alias("pair"), F.lit(0).alias("side"), "fp")
+        F.sum("n").alias("size"), F.map_from_entries(F.collect_list(F.struct("pop", F.ceil(F.col("n") / tile).cast("int").alias("t")))).alias("tiles"))
+    row = spread.join(sizes.where(F.col("size") > 1), ["k", "bits"])
+    small = row.where(F.col("size") <= tile).select("k", "bits", F.lit(0).cast("long").alias("pair"), F.lit(0).alias("side"), *columns)
     tiles_of = lambda p: F.coalesce(F.try_element_at("tiles", p), F.lit(0))
-    large = row.where(F.col("n") > tile).withColumn("salt", F.pmod(F.xxhash64("fp"), tiles_of(F.col("pop"))).cast("int"))
-    pops = F.sequence(F.greatest(F.lit(0), F.col("pop") - radius), F.least(F.lit(64), F.col("pop") + radius))
+    large = row.where(F.col("size") > tile).withColumn("salt", F.pmod(F.xxhash64(columns[0]), tiles_of(F.col("pop"))).cast("int"))
+    pops = F.sequence(F.greatest(F.lit(0), F.col("pop") - radius), F.least(F.lit(128), F.col("pop") + radius))
     met = F.flatten(F.transform(pops, lambda p: F.transform(F.filter(F.sequence(F.lit(0), tiles_of(p)), lambda s: s < tiles_of(p)), lambda s: F.struct(p.alias("pop"), s.alias("salt")))))
     large = large.withColumn("met", F.explode(met))
     own = F.struct(F.col("pop").cast("int").alias("pop"), "salt")
     met = F.struct(F.col("met.pop").cast("int").alias("pop"), F.col("met.salt").alias("salt"))
     side = F.when(own == met, 0).when(own < met, 1).otherwise(2)
-    large = large.select("k", "bits", F.xxhash64(F.least(own, met), F.greatest(own, met)).alias("pair"), side.alias("side"), "fp")
-    dealt = small.unionByName(large).repartition("k", "bits", "pair").sortWithinPartitions("k", "bits", "pair")
-    return dealt.select("k", "bits", "pair", "side", "fp").mapInArrow(lambda b: compare(b, radius), "u long, v long").distinct()
+    large = large.select("k", "bits", F.xxhash64(F.least(own, met), F.greatest(own, met)).alias("pair"), side.alias("side"), *columns)
+    return small.unionByName(large).repartition("k", "bits", "pair").sortWithinPartitions("k", "bits", "pair")
+
+
+def links(fps: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
+    """Links (u, v) that connect what a chain of distances up to ``radius`` connects.
+
+    fps: distinct (fp).
+    """
+    keys = block_keys(F.col("fp"), radius, block_count(fps.count(), radius))
+    dealt = deal(fps.select("fp", F.bit_count("fp").alias("pop")), keys, radius, tile, ["fp"])
+
+    def spans(a: np.ndarray, b: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        u, v = _spans(a[0].view(np.uint64), None if b is None else b[0].view(np.uint64), radius)
+        return u.view(np.int64), v.view(np.int64)
+
+    return dealt.mapInArrow(lambda x: compare(x, spans, ["u", "v"]), "u long, v long").distinct()
 
 
 def hexed(fp: Column) -> Column:
@@ -188,3 +208,159 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
     component = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     named = labelled.join(component, "root").select("fp", "component_id")
     return own.join(named, "fp").select("doc_id", hexed(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+# -- texts by the similarity of their shingle sets
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words))
+
+
+def _again(x: np.ndarray) -> np.ndarray:
+    """A second hash of hashes, for the second half of a signature."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(29))
+
+
+def bits_apart(similarity: float) -> float:
+    """The chance that a bit differs between sets of a Jaccard similarity and like size."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, a, b, n): 128 bits over the distinct shingles of each text, and their count."""
+
+    def rows(ids: list, texts: list) -> dict[str, list]:
+        sets = [shingle_set(t, words) for t in texts]
+        a, b = (np.array([fingerprint(h) for h in x], np.uint64).view(np.int64) for x in (sets, [_again(h) for h in sets]))
+        return {"id": ids, "a": a, "b": b, "n": [h.size for h in sets]}
+
+    return map_rows(docs, [id_col, text_col], rows, "id long, a long, b long, n int")
+
+
+def sampled_keys(n: int, similarity: float, missed: float, seed: int = 5) -> Column:
+    """Keys of sampled bits of (a, b), as many as make it likely that two of the similarity share one.
+
+    Keys grow by a bit when the corpus doubles, so buckets stay small.
+    """
+    k = min(40, max(4, math.ceil(math.log2(max(2, n) / BUCKET))))
+    tables = math.ceil(math.log(missed) / math.log(1 - (1 - bits_apart(similarity)) ** k))
+    rng = np.random.default_rng(seed)
+    keys = []
+    for t in range(tables):
+        bits = rng.choice(128, k, replace=False)
+        a, b = (sum(1 << int(x) % 64 for x in bits if int(x) // 64 == half) for half in (0, 1))
+        signed = [F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in (a, b)]
+        keys.append(F.struct(F.lit(t).alias("k"), F.xxhash64(F.col("a").bitwiseAND(signed[0]), F.col("b").bitwiseAND(signed[1])).alias("bits")))
+    return F.array(*keys)
+
+
+def candidates(nodes: DataFrame, similarity: float = 0.8, missed: float = MISSED, tile: int = TILE) -> DataFrame:
+    """Edges (u, v, d) that may join texts of the similarity: distance and set sizes allow it.
+
+    Of a tile, each node gives its nearest edge and the one to the tile's most connected
+    node, so a group of copies gives edges in proportion to its size and not to its pairs.
+    """
+    p = bits_apart(similarity)
+    radius = math.ceil(128 * p + 2 * math.sqrt(128 * p * (1 - p)))
+    far = 1 << 20
+    dealt = deal(nodes.select("id", "a", "b", "n", (F.bit_count("a") + F.bit_count("b")).alias("pop")), sampled_keys(nodes.count(), similarity, missed), radius, tile, ["id", "a", "b", "n"])
+
+    def spans(x: np.ndarray, y: np.ndarray | None) -> tuple[np.ndarray, ...]:
+        z = x if y is None else y
+        d = sum(np.bitwise_count(x[i].view(np.uint64)[:, None] ^ z[i].view(np.uint64)[None, :]).astype(np.int64) for i in (1, 2))
+        n, m = x[3][:, None], z[3][None, :]
+        d = np.where((d <= radius) & (np.minimum(n, m) >= similarity * np.maximum(n, m)) & (x[0][:, None] != z[0][None, :]), d, far)
+        near = d < far
+        if not near.any():
+            none = np.zeros(0, np.int64)
+            return none, none, none
+        found = []
+        for rows, columns, dist in ((x[0], z[0], d), (z[0], x[0], d.T)):
+            hub = int((dist < far).sum(axis=0).argmax())
+            for at in (dist.argmin(axis=1), np.full(rows.size, hub)):
+                v = dist[np.arange(rows.size), at]
+                ok = v < far
+                found.append((rows[ok], columns[at[ok]], v[ok]))
+        return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
+
+    edges = dealt.mapInArrow(lambda b: compare(b, spans, ["u", "v", "d"]), "u long, v long, d long")
+    return edges.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("d").alias("d"))
+
+
+def small_join(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Join on ``id``, by broadcast if a count shows that the ids are few enough."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", how)
+
+
+def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v, same) of edges, by the Jaccard similarity of their shingle sets."""
+    both = edges.join(sets.select(F.col("id").alias("u"), F.col("z").alias("zu")), "u").join(sets.select(F.col("id").alias("v"), F.col("z").alias("zv")), "v")
+
+    def judge(us: list, vs: list, zu: list, zv: list) -> dict[str, list]:
+        same = []
+        for p, q in zip(zu, zv, strict=True):
+            x, y = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
+            shared = np.intersect1d(x, y, assume_unique=True).size
+            same.append(bool(shared >= similarity * (x.size + y.size - shared)))
+        return {"u": us, "v": vs, "same": same}
+
+    return map_rows(both, ["u", "v", "zu", "zv"], judge, "u long, v long, same boolean")
+
+
+def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, root) of the texts that are joined, by chains of similarities, to another; ids must be unique.
+
+    Sampled keys propose edges, exact distances and set sizes thin them, and the sets
+    themselves (32 bits a shingle) confirm them: the nearest edges of every node first,
+    then twice as many a round of those that still lead from one component to another,
+    until none is left. So a group of copies is joined by few of its edges, and a link is
+    lost only where no sampled key proposed an edge (MISSED for two of just the wanted
+    similarity, far less for nearer ones).
+    """
+    own = checkpoint(signatures(docs, words, id_col, text_col))
+    nodes = own.groupBy("a", "b").agg(F.min("id").alias("id"), F.min_by("n", "id").alias("n"))
+    edges = checkpoint(candidates(nodes, similarity))
+    ends = edges.select(F.col("u").alias("id")).unionByName(edges.select(F.col("v").alias("id"))).distinct()
+
+    def rows(ids: list, texts: list) -> dict[str, list]:
+        return {"id": ids, "z": [np.unique(shingle_set(t, words).astype(np.uint32)).tobytes() for t in texts]}
+
+    wanted = small_join(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), ends, "left_semi")
+    sets = checkpoint(map_rows(wanted, ["id", "text"], rows, "id long, z binary"))
+    links_found, take = None, 1
+    rest = edges
+    while not rest.isEmpty():
+        half = rest.select("u", "v", "d", F.col("u").alias("side")).unionByName(rest.select("u", "v", "d", F.col("v").alias("side")))
+        ranked = half.withColumn("place", F.row_number().over(Window.partitionBy("side").orderBy("d", "u", "v")))
+        now = ranked.where(F.col("place") <= take).select("u", "v").distinct()
+        tried = checkpoint(verified(now, sets, similarity))
+        good = tried.where("same").select("u", "v")
+        links_found = good if links_found is None else links_found.unionByName(good)
+        root = checkpoint(roots(links_found))
+        left = rest.join(tried.select("u", "v"), ["u", "v"], "left_anti")
+        left = left.join(root.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left").join(root.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left")
+        rest = checkpoint(left.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v", "d"))
+        take *= 4
+    root = roots(links_found) if links_found is not None else nodes.where("false").select(F.col("id").alias("node"), F.col("id").alias("root"))
+    of_node = nodes.join(root, nodes["id"] == root["node"], "left").select("a", "b", F.coalesce("root", "id").alias("root"))
+    return own.join(of_node, ["a", "b"]).select("id", "root")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group, that of least id, with all its columns.
+
+    Where ids repeat or are null, rows are numbered in order of id (null last) and text,
+    and the number stands for the id; so of equal rows one stays. Null and empty texts
+    have no shingles and are one group. An empty table gives none.
+    """
+    seen = docs.agg(F.count("*").alias("n"), F.count(F.col(f"`{id_col}`")).alias("i"), F.count_distinct(F.col(f"`{id_col}`")).alias("d")).collect()[0]
+    rows, key = docs, id_col
+    if not seen["n"] == seen["i"] == seen["d"]:
+        key = "_" * (max(map(len, docs.columns)) + 1)
+        rows = checkpoint(docs.orderBy(F.col(f"`{id_col}`").asc_nulls_last(), F.col(f"`{text_col}`")).withColumn(key, F.monotonically_increasing_id()))
+    gone = checkpoint(groups(rows, words, similarity, key, text_col).where("id != root").select("id"))
+    few = gone.count() <= BROADCAST_IDS
+    kept = rows.join(F.broadcast(gone) if few else gone, F.col(f"`{key}`") == gone["id"], "left_anti")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
