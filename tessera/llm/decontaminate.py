@@ -15,13 +15,14 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_rows
+from tessera.llm.common import SLICE_ROWS, map_rows
 
 WORD = re.compile(r"\w+")
 #: Edits allowed as a share of an item's words, and the longest shared run looked for.
@@ -278,14 +279,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, id_col:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The documents in which no item stands, with all their columns; judged row by row, so ids may be null or repeat."""
-    import pandas as pd
+    def judge(matcher: Matcher) -> Callable[[Column], Column]:
+        def clean(texts: pd.Series) -> pd.Series:
+            every = [None if t is None else str(t) for t in texts]
+            return pd.Series([not m for at in range(0, len(every), SLICE_ROWS) for m in matcher.find(every[at : at + SLICE_ROWS])], dtype=bool)
 
-    for matcher in matchers(benchmark, item_col, item_text_col, edits):
-
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, matcher: Matcher = matcher) -> pd.Series:
-            every = texts.tolist()
-            return pd.Series([not m for at in range(0, len(every), 256) for m in matcher.find(every[at : at + 256])], dtype=bool)
+        return F.pandas_udf(clean, "boolean")
 
-        docs = docs.where(clean(F.col(f"`{text_col}`")))
+    for matcher in matchers(benchmark, item_col, item_text_col, edits):
+        docs = docs.where(judge(matcher)(F.col(f"`{text_col}`")))
     return docs
