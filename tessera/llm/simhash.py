@@ -30,8 +30,12 @@ TILE = 512
 COUNT_AT_ONCE = 1 << 16
 #: Fingerprints that a bucket should hold on average, at most.
 BUCKET = 64
+#: The same for keys of sampled bits: shorter keys miss less, and comparing within a bucket is cheap.
+SAMPLED_BUCKET = 512
 #: Of two texts of the wanted similarity, the chance that no sampled key joins them.
-MISSED = 0.02
+MISSED = 0.01
+#: Standard deviations above the mean distance of such texts up to which edges are looked at.
+DEVIATIONS = 4
 #: Ids that a broadcast may hold; beyond it the join is shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -239,13 +243,22 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
     return map_rows(docs, [id_col, text_col], rows, "id long, a long, b long, n int")
 
 
+def missed_by(tables: int, k: int, p: float) -> float:
+    """The chance that ``tables`` keys of ``k`` bits all miss, over the distances that a bit's chance ``p`` to differ leads to."""
+    d = range(129)
+    return sum(math.comb(128, x) * p**x * (1 - p) ** (128 - x) * (1 - (1 - x / 128) ** k) ** tables for x in d)
+
+
 def sampled_keys(n: int, similarity: float, missed: float, seed: int = 5) -> Column:
     """Keys of sampled bits of (a, b), as many as make it likely that two of the similarity share one.
 
-    Keys grow by a bit when the corpus doubles, so buckets stay small.
+    Keys grow by a bit when the corpus doubles, so buckets stay small; a corpus that fits
+    a bucket is one.
     """
-    k = min(40, max(4, math.ceil(math.log2(max(2, n) / BUCKET))))
-    tables = math.ceil(math.log(missed) / math.log(1 - (1 - bits_apart(similarity)) ** k))
+    k = min(40, max(0, math.ceil(math.log2(max(1, n) / SAMPLED_BUCKET))))
+    p, tables = bits_apart(similarity), 1
+    while missed_by(tables, k, p) > missed:
+        tables = tables + max(1, tables // 16)
     rng = np.random.default_rng(seed)
     keys = []
     for t in range(tables):
@@ -263,7 +276,7 @@ def candidates(nodes: DataFrame, similarity: float = 0.8, missed: float = MISSED
     node, so a group of copies gives edges in proportion to its size and not to its pairs.
     """
     p = bits_apart(similarity)
-    radius = math.ceil(128 * p + 2 * math.sqrt(128 * p * (1 - p)))
+    radius = math.ceil(128 * p + DEVIATIONS * math.sqrt(128 * p * (1 - p)))
     far = 1 << 20
     dealt = deal(nodes.select("id", "a", "b", "n", (F.bit_count("a") + F.bit_count("b")).alias("pop")), sampled_keys(nodes.count(), similarity, missed), radius, tile, ["id", "a", "b", "n"])
 
