@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def map_rows(df: DataFrame, columns: list[str], fn: Callable[..., dict[str, list]], schema: str) -> DataFrame:
     """Run ``fn`` over bounded slices of ``columns`` in Arrow batches.
 
-    ``fn`` gets one list per column and returns one list per output column. Only
+    ``fn`` gets one list per column and returns one list, or Arrow array of the right type, per output column. Only
     ``columns`` leave the JVM, so other columns (of any name) cannot clash.
     """
     out = _arrow_schema(df.sparkSession, schema)
@@ -30,7 +30,7 @@ def map_rows(df: DataFrame, columns: list[str], fn: Callable[..., dict[str, list
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
                 got = fn(*(part.column(i).to_pylist() for i in range(part.num_columns)))
-                yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out], schema=out)
+                yield pa.RecordBatch.from_arrays([got[f.name] if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], type=f.type) for f in out], schema=out)
 
     return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)
 

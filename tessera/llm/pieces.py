@@ -11,11 +11,13 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterable
 from itertools import repeat
 from operator import add
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm.common import map_rows
@@ -33,7 +35,7 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: A segment ends with a run of letters, or before a space or a line end: no piece reaches over those.
 SEGMENT = re.compile(rf" *[^{LETTERS} \n]*[{LETTERS}]+| *[^{LETTERS} \n]+|\n| +")
 #: Of all variants; as many again stay from before.
-CACHE_ENTRIES = 240_000
+CACHE_ENTRIES = 480_000
 
 
 class Vocabulary:
@@ -88,8 +90,8 @@ class Encoder:
         self.v, self.seed, self.rate = vocabulary, seed, rate
         self.variants = variants if rate else 1
         self.drops = [drop_table(vocabulary.size, seed, k, rate) if rate else None for k in range(self.variants)]
-        self.young: list[dict[str, list[int]]] = [{} for _ in self.drops]
-        self.old: list[dict[str, list[int]]] = [{} for _ in self.drops]
+        self.young: list[dict[str, bytes]] = [{} for _ in self.drops]
+        self.old: list[dict[str, bytes]] = [{} for _ in self.drops]
 
     def variant(self, key: int | None) -> int:
         """A document's variant, from a keyed hash of its id. A null id has that of zero."""
@@ -99,23 +101,34 @@ class Encoder:
 
     def encode(self, text: str, key: int | None = None) -> list[int]:
         """Ids of the text; with dropout, those of the variant of ``key``."""
+        return np.frombuffer(self.encoded(text, key), np.int32).tolist()
+
+    def encoded(self, text: str, key: int | None = None) -> bytes:
+        """The same ids as 32-bit numbers end to end."""
         if not text:
-            return []
+            return b""
         k = self.variant(key)
-        young, old, out = self.young[k], self.old[k], []
-        for segment in SEGMENT.findall(" " + text):
-            ids = young.get(segment)
-            if ids is None:
-                ids = old.get(segment)
-                if ids is None:
-                    ids = self.segment(segment, k)
-                if len(segment) <= SCAN_LIMIT:
-                    if len(young) >= CACHE_ENTRIES // self.variants:
-                        old = self.old[k] = young
-                        young = self.young[k] = {}
-                    young[segment] = ids
-            out += ids
-        return out
+        segments = SEGMENT.findall(" " + text)
+        found = list(map(self.young[k].get, segments))
+        at = -1
+        try:
+            while True:
+                at = found.index(None, at + 1)
+                found[at] = self._missed(segments[at], k)
+        except ValueError:  # no more misses
+            return b"".join(found)
+
+    def _missed(self, segment: str, k: int) -> bytes:
+        """A segment that the young cache lacked when the text began."""
+        young = self.young[k]
+        if (ids := young.get(segment) or self.old[k].get(segment)) is None:
+            ids = array("i", self.segment(segment, k)).tobytes()
+        if len(segment) <= SCAN_LIMIT:
+            if len(young) >= CACHE_ENTRIES // self.variants:
+                self.old[k] = young
+                young = self.young[k] = {}
+            young[segment] = ids
+        return ids
 
     def segment(self, segment: str, variant: int = 0) -> list[int]:
         if SPACE in segment:
@@ -136,16 +149,14 @@ class Encoder:
         get = self.v.worth.get
         worth = list(map(get, map(add, symbols, symbols[1:]), repeat(NONE)))
         starts = list(range(len(symbols)))
-        while worth:
-            best = min(worth)
-            if best == NONE:
-                break
+        while worth and (best := min(worth)) != NONE:
             i = worth.index(best)
             if drop is not None and drop[(best & ID_MASK) * START_SLOTS + starts[i] % START_SLOTS]:
                 worth[i] = NONE
                 continue
-            symbols[i] = one = symbols[i] + symbols[i + 1]
-            del symbols[i + 1], starts[i + 1], worth[i]
+            one = symbols[i] + symbols.pop(i + 1)
+            symbols[i] = one
+            del starts[i + 1], worth[i]
             if i:
                 worth[i - 1] = get(symbols[i - 1] + one, NONE)
             if i < len(worth):
@@ -205,13 +216,16 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         if not held:
             held["encoder"] = Encoder(Vocabulary.load(model), seed, rate, variants)
         enc = held["encoder"]
-        ids = [None if t is None else enc.encode(t, k) for k, t in zip(keys, texts, strict=True)]
+        blobs = [None if t is None else enc.encoded(t, k) for k, t in zip(keys, texts, strict=True)]
+        flat = np.frombuffer(b"".join(b for b in blobs if b), np.int32)
+        sizes = [None if b is None else len(b) // 4 for b in blobs]
+        ends = np.cumsum([n or 0 for n in sizes])
         return {
             "doc_id": keys,
-            "n_ids": [None if x is None else len(x) for x in ids],
-            "ids": ids,
+            "n_ids": sizes,
+            "ids": pa.ListArray.from_arrays(pa.array([0, *ends.tolist()], pa.int32()), pa.array(flat), mask=pa.array([b is None for b in blobs])),
             "variant": [enc.variant(k) for k in keys],
-            "lossless": [x is None or decode(enc.v, x) == t for x, t in zip(ids, texts, strict=True)],
+            "lossless": [b is None or decode(enc.v, np.frombuffer(b, np.int32).tolist()) == t for b, t in zip(blobs, texts, strict=True)],
         }
 
     return map_rows(docs, [id_col, text_col], rows, SCHEMA)
