@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tessera.functions.text import ids_in_text, title_hint, title_score, title_tokens
 
@@ -81,7 +82,7 @@ def resolution_stats(refs: DataFrame) -> DataFrame:
     return g.join(F.broadcast(whole)).select("id_source", "n_refs", "n_citations", F.round(100 * F.col("n_refs") / F.col("r"), 2).alias("refs_pct"), F.round(100 * F.col("n_citations") / F.col("c"), 2).alias("citations_pct"))  # one row
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-blocks similarity of two strings, for the few rows that equality left over."""
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])

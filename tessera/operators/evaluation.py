@@ -34,6 +34,24 @@ def retrieval_metrics(ranked: DataFrame, gold: DataFrame, queries: DataFrame, ks
     return base.select(*out)
 
 
+def holders(documents: DataFrame, items: DataFrame, block: int = 1000) -> DataFrame:
+    """(query_id, doc_id) where a document holds an item's whole text: gold for the item as a question.
+
+    documents: (doc_id, text); items: (query_id, text), a stated set that is looked for in
+    every text in blocks of bounded size. Blank items are held by none.
+    """
+    named = items.where(F.trim("text") != "").orderBy("query_id").collect()
+    out = None
+    for at in range(0, max(1, len(named)), block):
+        part = [F.struct(F.lit(r["query_id"]).alias("q"), F.lit(r["text"]).alias("t")) for r in named[at : at + block]]
+        if not part:
+            return documents.select(F.lit(0).cast("long").alias("query_id"), "doc_id").where("false")
+        held = F.transform(F.filter(F.array(*part), lambda x: F.col("text").contains(x["t"])), lambda x: x["q"])
+        found = documents.select(F.explode(held).alias("query_id"), "doc_id")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def graded_ndcg(ranked: DataFrame, k: int) -> DataFrame:
     """Chunk NDCG with grade 1 for the chunk and 0.5 for its paper, over an ideal of 1 and at most 1. ranked: (query_id, rank, is_chunk, is_paper)."""
     grade = F.when(F.col("is_chunk"), 1.0).when(F.col("is_paper"), 0.5).otherwise(0.0)

@@ -156,6 +156,6 @@ def elements(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def scorecard(documents: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Counts of a query's documents, papers, nodes and edges, and its scores' greatest and mean."""
     d = documents.groupBy("query_id").agg(F.count("*").alias("n_documents"), F.count_distinct("paper_id").alias("n_papers"), F.round(F.max("score"), 4).alias("score_max"), F.round(F.avg("score"), 4).alias("score_mean"))
-    n = nodes.groupBy("query_id").agg(F.count("*").alias("n_nodes"), F.count_if("node_type = 'claim'").alias("n_claims"))
+    n = nodes.groupBy("query_id").agg(F.count("*").alias("n_nodes"), F.count_if(F.col("node_type") == "claim").alias("n_claims"))
     e = edges.groupBy("query_id").agg(F.count("*").alias("n_edges"))
     return d.join(n, "query_id", "left").join(e, "query_id", "left").fillna(0, ["n_nodes", "n_claims", "n_edges"])

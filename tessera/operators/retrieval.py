@@ -17,6 +17,11 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def settled(score: Column) -> Column:
+    """A score to nine places, so that equal texts tie in whatever order their sums were taken."""
+    return F.round(score, 9)
+
+
 def top_k(hits: DataFrame, k: int, by: str = "score", keys: tuple[str, ...] = ("query_id",), tie: str = "doc_id", rank: str = "rank") -> DataFrame:
     """The best ``k`` a group with their rank from 1; ties by ``tie``. Spark prunes each task's rows to ``k`` before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(F.desc(by), F.asc(tie))
@@ -48,7 +53,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: f
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = frequency.crossJoin(F.broadcast(whole)).select("term", "avg_tokens", idf.alias("idf"))  # a single row of totals
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_tokens") / F.col("avg_tokens")))
-    scored = found.join(bounded(weighted), "term").join(bounded(terms), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("idf") * tf).alias("score"))
+    scored = found.join(bounded(weighted), "term").join(bounded(terms), "term").groupBy("query_id", "doc_id").agg(settled(F.sum(F.col("idf") * tf)).alias("score"))
     return top_k(scored.where("score > 0"), k)
 
 
@@ -59,7 +64,7 @@ def sparse(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     length = found.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
     asked = terms.withColumn("qw", 1 / F.sqrt(F.count("*").over(Window.partitionBy("query_id"))))
     scored = found.join(bounded(asked), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot")).join(length, "doc_id")
-    return top_k(scored.select("query_id", "doc_id", (F.col("dot") / F.col("len")).alias("score")), k)
+    return top_k(scored.select("query_id", "doc_id", settled(F.col("dot") / F.col("len")).alias("score")), k)
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, block_rows: int = 4096, by: Column | None = None) -> DataFrame:
@@ -90,7 +95,7 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, block_rows: int =
                 docs = np.array(batch.column(0).to_pylist())
                 v = np.array(batch.column(1).to_pylist(), np.float64)
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                s = q @ v.T
+                s = np.round(q @ v.T, 9)
                 order = np.lexsort((np.broadcast_to(docs, s.shape), -s), axis=1)[:, :k]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])), pa.array(docs[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], names=["query_id", "doc_id", "score"])
 
@@ -107,14 +112,14 @@ def reciprocal_rank_fusion(legs: list[DataFrame], k: int, depth: int = 100) -> D
     for leg in legs:
         part = leg.where(F.col("rank") <= depth).select("query_id", "doc_id", scores.reciprocal_rank(F.col("rank")).alias("part"))
         every = part if every is None else every.unionByName(part)
-    return top_k(every.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score")), k)
+    return top_k(every.groupBy("query_id", "doc_id").agg(settled(F.sum("part")).alias("score")), k)
 
 
 def alpha_fusion(a: DataFrame, b: DataFrame, k: int, alpha: float = 0.5) -> DataFrame:
     """Legs scaled to 0..1 a query, alpha of the first and the rest of the second; a missing hit is 0."""
     scaled = lambda d, name: d.select("query_id", "doc_id", scores.min_max(F.col("score"), "query_id").alias(name))
     both = scaled(a, "x").join(scaled(b, "y"), ["query_id", "doc_id"], "full_outer")
-    mixed = both.select("query_id", "doc_id", (alpha * F.coalesce("x", F.lit(0.0)) + (1 - alpha) * F.coalesce("y", F.lit(0.0))).alias("score"))
+    mixed = both.select("query_id", "doc_id", settled(alpha * F.coalesce("x", F.lit(0.0)) + (1 - alpha) * F.coalesce("y", F.lit(0.0))).alias("score"))
     return top_k(mixed, k)
 
 

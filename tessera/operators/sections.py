@@ -61,7 +61,7 @@ def statistics(labelled: DataFrame) -> DataFrame:
     """(kind, bucket, n): sections by label and by source, papers with any label, the core, and both in order."""
     bucket = F.coalesce("label", F.lit("<missing>"))
     by = lambda kind, c: labelled.groupBy(c.alias("bucket")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "bucket", "n")
-    p = papers(labelled).agg(F.count("*").alias("any"), F.count_if("core").alias("core"), F.count_if("core and ordered").alias("core_in_order"))
+    p = papers(labelled).agg(F.count("*").alias("any"), F.count_if(F.col("core")).alias("core"), F.count_if(F.col("core") & F.col("ordered")).alias("core_in_order"))
     wide = p.select(F.explode(F.create_map(F.lit("any"), "any", F.lit("core"), "core", F.lit("core_in_order"), "core_in_order")).alias("bucket", "n"))
     return by("label", bucket).unionByName(by("source", F.col("source"))).unionByName(wide.select(F.lit("papers").alias("kind"), "bucket", "n"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import jaccard, token_set
 from tessera.operators import answers, graph, retrieval
+from tessera.operators.tables import checkpoint
 
 
 def lexical_relevance(query: Column, text: Column) -> Column:
@@ -71,7 +72,7 @@ class Engine:
 
     def answer(self, queries: DataFrame) -> DataFrame:
         """(query_id, answer) of cited sentences."""
-        hits = self.retrieve(queries)
+        hits = checkpoint(self.retrieve(queries))  # read five times below
         nodes, edges = graph.claims(self.claims(hits))
         documents = hits.select("query_id", F.col("doc_id").cast("string").alias("chunk_uid"), "paper_id", "score", F.array(F.lit(0)).alias("sub_queries"))
         said = nodes.select("query_id", "claim_id", F.lit("Supported").alias("verdict"), F.lit(False).alias("low_confidence"))

@@ -12,6 +12,10 @@ from tessera.sources.readers import exists
 
 
 def file_stream(spark: SparkSession, folder: str, schema: StructType | str, form: str = "parquet", files_a_batch: int = 16) -> DataFrame:
+    """Files of a folder as they come; a path that is one file is a stream of that file."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        return spark.readStream.schema(schema).option("pathGlobFilter", at.getName()).format(form).load(at.getParent().toString())
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).format(form).load(folder)
 
 
@@ -35,7 +39,7 @@ def ingest(stream: DataFrame, table: str, checkpoint: str, keys: list[str], orde
 
 def windowed_counts(stream: DataFrame, time: str, key: str, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts a window and key; a window is final once the watermark has passed it."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, window).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, window).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
 
 
 def sections_when_complete(stream: DataFrame, time: str, late: str = "1 hour", gap: str = "30 minutes") -> DataFrame:
