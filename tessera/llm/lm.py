@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import SLICE_ROWS, _arrow_schema, checkpoint
 
-#: Bytes of text a chunk holds, about; tokens counted at once; n-grams a bucket holds.
-CHUNK_BYTES, FLUSH_TOKENS, BUCKET_NGRAMS = 12 << 20, 1_000_000, 3_000_000
+#: Bytes of text a chunk holds, about; n-grams a bucket holds.
+CHUNK_BYTES, BUCKET_NGRAMS = 12 << 20, 3_000_000
 #: One chunk in so many is held out of the estimates on which the weights are learned.
 HELD_OUT = 20
 #: Context buckets: unseen, once, up to 3, up to 7 and so on.
@@ -94,40 +94,19 @@ def _sums(sorted_by: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[
 BLOCK = "bucket int, chunk int, n int, blob binary"
 
 
-def count(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of (chunk, role, text) rows: sorted keys with their training and held-out counts."""
-
-    def flush(held: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-        held.sort(key=lambda x: x[0])
-        at = 0
-        while at < len(held):
-            end = at
-            while end < len(held) and held[end][0] == held[at][0]:
-                end += 1
-            token, sizes = tokens([t for _, _, t in held[at:end]])
-            role = np.repeat(np.array([r for _, r, _ in held[at:end]]), sizes)
-            key = np.concatenate(ngram_keys(token, sizes))
-            order = np.argsort(key)
-            role = np.concatenate([role, role])[order]
-            key, (train, dev) = _sums(key[order], (role == TRAIN).astype(np.uint32), (role == DEV).astype(np.uint32))
-            bucket = (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(key.size, np.int64)
-            cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-            rows = [(b, held[at][0], int(hi - lo), pack(np.diff(key[lo:hi], prepend=np.uint64(0)), train[lo:hi].astype(np.uint32), dev[lo:hi].astype(np.uint32))) for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "chunk", "n", "blob"])
-            at = end
-
-    held: list[tuple[int, int, bytes]] = []
-    size = 0
-    for batch in batches:
-        for lo in range(0, batch.num_rows, SLICE_ROWS):
-            for chunk, role, text in zip(*(c.to_pylist() for c in batch.slice(lo, SLICE_ROWS).columns), strict=True):
-                data = (text or "").encode()
-                held.append((chunk, role, data))
-                size += len(data)
-                if size > 6 * FLUSH_TOKENS:
-                    yield from flush(held)
-                    held, size = [], 0
-    yield from flush(held)
+def count(group: pa.Table, bits: int) -> pa.Table:
+    """Blocks of a chunk's (chunk, doc_id, role, z) rows, one a bucket: sorted keys with their training and held-out counts."""
+    chunk = group["chunk"][0].as_py()
+    token, sizes = tokens([unzip(z) for z in group["z"].to_pylist()])
+    role = np.repeat(np.array(group["role"].to_pylist(), np.int8), sizes)
+    key = np.concatenate(ngram_keys(token, sizes))
+    order = np.argsort(key)
+    role = np.concatenate([role, role])[order]
+    key, (train, dev) = _sums(key[order], (role == TRAIN).astype(np.uint32), (role == DEV).astype(np.uint32))
+    bucket = key >> np.uint64(64 - bits) if bits else np.zeros(key.size, np.uint64)
+    cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1, dtype=np.uint64))
+    rows = [(k, chunk, int(hi - lo), pack(np.diff(key[lo:hi], prepend=np.uint64(0)), train[lo:hi].astype(np.uint32), dev[lo:hi].astype(np.uint32))) for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "chunk", "n", "blob"])
 
 
 TOTAL = "chunk int, bucket int, n int, blob binary, types long, train_types long, train_tokens long, dev_tokens long"
@@ -246,15 +225,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     test = fold("doc_id") == 1
     dealt = rows.select("doc_id", spread.alias("chunk"), "text", test.alias("test"))
     dealt = dealt.select("doc_id", "chunk", F.when(F.col("test"), TEST).when(F.col("chunk") % HELD_OUT == 0, DEV).otherwise(TRAIN).alias("role"), "text")
-    blocks = dealt.select("chunk", "role", "text").mapInArrow(lambda b: count(b, bits), BLOCK)
+    packed = _arrow_schema(spark, "chunk int, doc_id long, role int, z binary")
+    texts = dealt.select("chunk", "doc_id", "role", "text")
+    squeezed = lambda df: df.mapInArrow(lambda b: squeeze(b, packed), "chunk int, doc_id long, role int, z binary").groupBy("chunk")
+    # A chunk is counted as a whole, so it sends one block a bucket however many tasks read its texts.
+    blocks = squeezed(texts).applyInArrow(lambda g: count(g, bits), BLOCK)
     totals = checkpoint(blocks.groupBy("bucket").applyInArrow(total, TOTAL))
     sums = totals.where("chunk < 0").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("types", "train_types", "train_tokens", "dev_tokens")]).collect()[0]
     held = {r["role"]: r["count"] for r in dealt.groupBy("role").count().collect()}
     train_docs, dev_docs = held.get(TRAIN, 0), held.get(DEV, 0)
     back = totals.where("chunk >= 0").select("chunk", "bucket", "n", "blob")
-    packed = _arrow_schema(spark, "chunk int, doc_id long, role int, z binary")
-    texts = dealt.select("chunk", "doc_id", "role", "text")
-    squeezed = lambda df: df.mapInArrow(lambda b: squeeze(b, packed), "chunk int, doc_id long, role int, z binary").groupBy("chunk")
 
     def held_out(group: pa.Table, totals: pa.Table) -> pa.Table:
         if not group.num_rows:
