@@ -118,19 +118,19 @@ def _spans(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray
 def compare(batches: Iterator[pa.RecordBatch], spans: Callable[..., tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
     """Links within each run of rows (k, bits, pair, side, ...) of one (k, bits, pair).
 
-    spans: gets the further columns of a tile and, for a pair of tiles, of the other (else
+    spans: gets k, the further columns of a tile and, for a pair of tiles, of the other (else
     None), and returns columns ``names`` of links.
     """
     held: list[np.ndarray] = []
 
     def settle(block: np.ndarray) -> tuple | None:
-        side, rest = block[3], block[4:]
+        k, side, rest = int(block[0, 0]), block[3], block[4:]
         if side.size < 2:
             return None
         if side[0] == 0:
-            return spans(rest, None)
+            return spans(k, rest, None)
         a, b = rest[:, side == 1], rest[:, side == 2]
-        return spans(a, b) if a.size and b.size else None
+        return spans(k, a, b) if a.size and b.size else None
 
     def emit(found: list[tuple | None]) -> pa.RecordBatch:
         full = [x for x in found if x is not None]
@@ -186,7 +186,7 @@ def links(fps: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
     keys = block_keys(F.col("fp"), radius, block_count(fps.count(), radius))
     dealt = deal(fps.select("fp", F.bit_count("fp").alias("pop")), keys, radius, tile, ["fp"])
 
-    def spans(a: np.ndarray, b: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    def spans(_: int, a: np.ndarray, b: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         u, v = _spans(a[0].view(np.uint64), None if b is None else b[0].view(np.uint64), radius)
         return u.view(np.int64), v.view(np.int64)
 
@@ -249,8 +249,8 @@ def missed_by(tables: int, k: int, p: float) -> float:
     return sum(math.comb(128, x) * p**x * (1 - p) ** (128 - x) * (1 - (1 - x / 128) ** k) ** tables for x in d)
 
 
-def sampled_keys(n: int, similarity: float, missed: float, seed: int = 5) -> Column:
-    """Keys of sampled bits of (a, b), as many as make it likely that two of the similarity share one.
+def sampled_masks(n: int, similarity: float, missed: float, seed: int = 5) -> np.ndarray:
+    """(keys, 2) masks of sampled bits of (a, b), as many as make it likely that two of the similarity share one.
 
     Keys grow by a bit when the corpus doubles, so buckets stay small; a corpus that fits
     a bucket is one.
@@ -260,33 +260,42 @@ def sampled_keys(n: int, similarity: float, missed: float, seed: int = 5) -> Col
     while missed_by(tables, k, p) > missed:
         tables = tables + max(1, tables // 16)
     rng = np.random.default_rng(seed)
-    keys = []
-    for t in range(tables):
-        bits = rng.choice(128, k, replace=False)
-        a, b = (sum(1 << int(x) % 64 for x in bits if int(x) // 64 == half) for half in (0, 1))
-        signed = [F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in (a, b)]
-        keys.append(F.struct(F.lit(t).alias("k"), F.xxhash64(F.col("a").bitwiseAND(signed[0]), F.col("b").bitwiseAND(signed[1])).alias("bits")))
-    return F.array(*keys)
+    chosen = [rng.choice(128, k, replace=False).tolist() for _ in range(tables)]
+    return np.array([[sum(1 << x % 64 for x in bits if x // 64 == half) for half in (0, 1)] for bits in chosen], np.uint64).reshape(-1, 2)
+
+
+def sampled_keys(masks: np.ndarray) -> Column:
+    """One key of (a, b) for each row of masks, as (row, bits)."""
+    signed = [[F.lit(int(m)).cast("long") for m in row] for row in masks.view(np.int64)]
+    return F.array(*[F.struct(F.lit(t).alias("k"), F.xxhash64(F.col("a").bitwiseAND(x), F.col("b").bitwiseAND(y)).alias("bits")) for t, (x, y) in enumerate(signed)])
 
 
 def candidates(nodes: DataFrame, similarity: float = 0.8, missed: float = MISSED, tile: int = TILE) -> DataFrame:
     """Edges (u, v, d) that may join texts of the similarity: distance and set sizes allow it.
 
-    Of a tile, each node gives its nearest edge and the one to the tile's most connected
+    A pair counts under the first key that it shares. Of a tile, each node gives its nearest edge and the one to the tile's most connected
     node, so a group of copies gives edges in proportion to its size and not to its pairs.
     """
     p = bits_apart(similarity)
     radius = math.ceil(128 * p + DEVIATIONS * math.sqrt(128 * p * (1 - p)))
     far = 1 << 20
-    dealt = deal(nodes.select("id", "a", "b", "n", (F.bit_count("a") + F.bit_count("b")).alias("pop")), sampled_keys(nodes.count(), similarity, missed), radius, tile, ["id", "a", "b", "n"])
+    masks = sampled_masks(nodes.count(), similarity, missed)
+    dealt = deal(nodes.select("id", "a", "b", "n", (F.bit_count("a") + F.bit_count("b")).alias("pop")), sampled_keys(masks), radius, tile, ["id", "a", "b", "n"])
 
-    def spans(x: np.ndarray, y: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    def spans(key: int, x: np.ndarray, y: np.ndarray | None) -> tuple[np.ndarray, ...]:
         z = x if y is None else y
         d = sum(np.bitwise_count(x[i].view(np.uint64)[:, None] ^ z[i].view(np.uint64)[None, :]).astype(np.int64) for i in (1, 2))
         n, m = x[3][:, None], z[3][None, :]
         d = np.where((d <= radius) & (np.minimum(n, m) >= similarity * np.maximum(n, m)) & (x[0][:, None] != z[0][None, :]), d, far)
-        near = d < far
-        if not near.any():
+        # A pair that an earlier key joins was looked at there.
+        i, j = np.nonzero(d < far)
+        apart = [x[c].view(np.uint64)[i] ^ z[c].view(np.uint64)[j] for c in (1, 2)]
+        for mask in masks[:key]:
+            again = ((apart[0] & mask[0]) | (apart[1] & mask[1])) == 0
+            if again.any():
+                d[i[again], j[again]] = far
+                i, j, apart = i[~again], j[~again], [c[~again] for c in apart]
+        if not i.size:
             none = np.zeros(0, np.int64)
             return none, none, none
         found = []
