@@ -34,6 +34,8 @@ BUCKET = 64
 SAMPLED_BUCKET = 512
 #: Of two texts of the wanted similarity, the chance that no sampled key joins them.
 MISSED = 0.01
+#: Edges that a tile gives of a node, and of two groups, when those held back are first asked for.
+FIRST_TAKE = 4
 #: Standard deviations above the mean distance of such texts up to which edges are looked at.
 DEVIATIONS = 4
 #: Ids that a broadcast may hold; beyond it the join is shuffled.
@@ -270,23 +272,39 @@ def sampled_keys(masks: np.ndarray) -> Column:
     return F.array(*[F.struct(F.lit(t).alias("k"), F.xxhash64(F.col("a").bitwiseAND(x), F.col("b").bitwiseAND(y)).alias("bits")) for t, (x, y) in enumerate(signed)])
 
 
-def candidates(nodes: DataFrame, similarity: float = 0.8, missed: float = MISSED, tile: int = TILE) -> DataFrame:
-    """Edges (u, v, d) that may join texts of the similarity: distance and set sizes allow it.
+def candidates(nodes: DataFrame, masks: np.ndarray, similarity: float = 0.8, take: int = 0, tile: int = TILE) -> DataFrame:
+    """Edges (u, v, d, cut) between groups ``g`` that may join texts of the similarity: distance and set sizes allow it.
 
-    A pair counts under the first key that it shares. Of a tile, each node gives its nearest edge and the one to the tile's most connected
-    node, so a group of copies gives edges in proportion to its size and not to its pairs.
+    nodes: (id, a, b, n, g). A pair counts under the first key that it shares. Of a tile, each node gives its nearest edge and the one to the tile's most connected
+    node, so a group of copies gives edges in proportion to its size and not to its pairs. With ``take``, each node gives its
+    ``take`` nearest edges and two groups their ``take`` nearest. cut: 1 where a tile held more than it gave.
     """
     p = bits_apart(similarity)
     radius = math.ceil(128 * p + DEVIATIONS * math.sqrt(128 * p * (1 - p)))
     far = 1 << 20
-    masks = sampled_masks(nodes.count(), similarity, missed)
-    dealt = deal(nodes.select("id", "a", "b", "n", (F.bit_count("a") + F.bit_count("b")).alias("pop")), sampled_keys(masks), radius, tile, ["id", "a", "b", "n"])
+    dealt = deal(nodes.select("id", "a", "b", "n", "g", (F.bit_count("a") + F.bit_count("b")).alias("pop")), sampled_keys(masks), radius, tile, ["id", "a", "b", "n", "g"])
+
+    def nearest(x: np.ndarray, z: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
+        i, j = np.nonzero(d < far)
+        chosen = np.zeros(i.size, bool)
+        for side in (i, j):
+            order = np.lexsort((d[i, j], side))
+            first = np.searchsorted(side[order], side[order])
+            chosen[order[np.arange(i.size) - first < take]] = True
+        i, j, every = i[chosen], j[chosen], i.size
+        g, h = np.minimum(x[4][i], z[4][j]), np.maximum(x[4][i], z[4][j])
+        order = np.lexsort((d[i, j], h, g))
+        g, h = g[order], h[order]
+        begins = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (h[1:] != h[:-1])))
+        keep = order[np.arange(g.size) - np.repeat(begins, np.diff(np.append(begins, g.size))) < take]
+        i, j = i[keep], j[keep]
+        return x[0][i], z[0][j], d[i, j], np.full(i.size, int(i.size < every))
 
     def spans(key: int, x: np.ndarray, y: np.ndarray | None) -> tuple[np.ndarray, ...]:
         z = x if y is None else y
         d = sum(np.bitwise_count(x[i].view(np.uint64)[:, None] ^ z[i].view(np.uint64)[None, :]).astype(np.int64) for i in (1, 2))
         n, m = x[3][:, None], z[3][None, :]
-        d = np.where((d <= radius) & (np.minimum(n, m) >= similarity * np.maximum(n, m)) & (x[0][:, None] != z[0][None, :]), d, far)
+        d = np.where((d <= radius) & (np.minimum(n, m) >= similarity * np.maximum(n, m)) & (x[4][:, None] != z[4][None, :]), d, far)
         # A pair that an earlier key joins was looked at there.
         i, j = np.nonzero(d < far)
         apart = [x[c].view(np.uint64)[i] ^ z[c].view(np.uint64)[j] for c in (1, 2)]
@@ -297,18 +315,20 @@ def candidates(nodes: DataFrame, similarity: float = 0.8, missed: float = MISSED
                 i, j, apart = i[~again], j[~again], [c[~again] for c in apart]
         if not i.size:
             none = np.zeros(0, np.int64)
-            return none, none, none
+            return none, none, none, none
+        if take:
+            return nearest(x, z, d if y is not None else np.where(np.triu(np.ones(d.shape, bool)), d, far))
         found = []
         for rows, columns, dist in ((x[0], z[0], d), (z[0], x[0], d.T)):
             hub = int((dist < far).sum(axis=0).argmax())
             for at in (dist.argmin(axis=1), np.full(rows.size, hub)):
                 v = dist[np.arange(rows.size), at]
                 ok = v < far
-                found.append((rows[ok], columns[at[ok]], v[ok]))
-        return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
+                found.append((rows[ok], columns[at[ok]], v[ok], np.ones(int(ok.sum()), np.int64)))
+        return tuple(np.concatenate([f[i] for f in found]) for i in range(4))
 
-    edges = dealt.mapInArrow(lambda b: compare(b, spans, ["u", "v", "d"]), "u long, v long, d long")
-    return edges.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("d").alias("d"))
+    edges = dealt.mapInArrow(lambda b: compare(b, spans, ["u", "v", "d", "cut"]), "u long, v long, d long, cut long")
+    return edges.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("d").alias("d"), F.max("cut").alias("cut"))
 
 
 def small_join(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -336,36 +356,50 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str
 
     Sampled keys propose edges, exact distances and set sizes thin them, and the sets
     themselves (32 bits a shingle) confirm them: the nearest edges of every node first,
-    then twice as many a round of those that still lead from one component to another,
-    until none is left. So a group of copies is joined by few of its edges, and a link is
-    lost only where no sampled key proposed an edge (MISSED for two of just the wanted
-    similarity, far less for nearer ones).
+    then more a round of those that still lead from one component to another,
+    until none is left. So a group of copies is joined by few of its edges. Tiles then give
+    the pairs held back that still lead between components, more a time, until a time
+    holds none back: a link is lost only where two texts share no sampled key (MISSED
+    for two of just the wanted similarity, far less for nearer ones).
     """
     own = checkpoint(signatures(docs, words, id_col, text_col))
-    nodes = own.groupBy("a", "b").agg(F.min("id").alias("id"), F.min_by("n", "id").alias("n"))
-    edges = checkpoint(candidates(nodes, similarity))
-    ends = edges.select(F.col("u").alias("id")).unionByName(edges.select(F.col("v").alias("id"))).distinct()
+    nodes = checkpoint(own.groupBy("a", "b").agg(F.min("id").alias("id"), F.min_by("n", "id").alias("n")))
+    masks = sampled_masks(nodes.count(), similarity, MISSED)
+    edges = checkpoint(candidates(nodes.withColumn("g", F.col("id")), masks, similarity))
+    ends = checkpoint(edges.select(F.col("u").alias("id")).unionByName(edges.select(F.col("v").alias("id"))).distinct())
 
     def rows(ids: list, texts: list) -> dict[str, list]:
         return {"id": ids, "z": [np.unique(shingle_set(t, words).astype(np.uint32)).tobytes() for t in texts]}
 
     wanted = small_join(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), ends, "left_semi")
     sets = checkpoint(map_rows(wanted, ["id", "text"], rows, "id long, z binary"))
-    links_found, take = None, 1
-    rest = edges
-    while not rest.isEmpty():
-        half = rest.select("u", "v", "d", F.col("u").alias("side")).unionByName(rest.select("u", "v", "d", F.col("v").alias("side")))
-        ranked = half.withColumn("place", F.row_number().over(Window.partitionBy("side").orderBy("d", "u", "v")))
-        now = ranked.where(F.col("place") <= take).select("u", "v").distinct()
-        tried = checkpoint(verified(now, sets, similarity))
-        good = tried.where("same").select("u", "v")
-        links_found = good if links_found is None else links_found.unionByName(good)
-        root = checkpoint(roots(links_found))
-        left = rest.join(tried.select("u", "v"), ["u", "v"], "left_anti")
-        left = left.join(root.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left").join(root.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left")
-        rest = checkpoint(left.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v", "d"))
-        take *= 4
-    root = roots(links_found) if links_found is not None else nodes.where("false").select(F.col("id").alias("node"), F.col("id").alias("root"))
+    links_found = failed = root = None
+    more, rest = FIRST_TAKE, edges.select("u", "v", "d")
+    while True:
+        take = 1
+        while not rest.isEmpty():
+            half = rest.select("u", "v", "d", F.col("u").alias("side")).unionByName(rest.select("u", "v", "d", F.col("v").alias("side")))
+            ranked = half.withColumn("place", F.row_number().over(Window.partitionBy("side").orderBy("d", "u", "v")))
+            now = ranked.where(F.col("place") <= take).select("u", "v").distinct()
+            tried = checkpoint(verified(now, sets, similarity))
+            good, bad = tried.where("same").select("u", "v"), tried.where("not same").select("u", "v")
+            # Of links found before, the stars that they came to stand for them.
+            links_found = good if root is None else good.unionByName(root.select(F.col("node").alias("u"), F.col("root").alias("v")))
+            failed = bad if failed is None else failed.unionByName(bad)
+            root = checkpoint(roots(links_found))
+            left = rest.join(tried.select("u", "v"), ["u", "v"], "left_anti")
+            left = left.join(root.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left").join(root.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left")
+            rest = checkpoint(left.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v", "d"))
+            take *= 4
+        if root is None or edges.where("cut = 1").isEmpty():
+            break
+        # Whoever has a pair within reach is on an edge, so no other node is dealt again.
+        ends = edges.select(F.col("u").alias("id")).unionByName(edges.select(F.col("v").alias("id"))).distinct()
+        again = nodes.join(ends, "id", "left_semi").join(root.withColumnRenamed("node", "id"), "id", "left").select("id", "a", "b", "n", F.coalesce("root", "id").alias("g"))
+        edges = checkpoint(candidates(again, masks, similarity, more))
+        rest = checkpoint(edges.select("u", "v", "d").join(failed, ["u", "v"], "left_anti"))
+        more *= 16
+    root = root if root is not None else nodes.where("false").select(F.col("id").alias("node"), F.col("id").alias("root"))
     of_node = nodes.join(root, nodes["id"] == root["node"], "left").select("a", "b", F.coalesce("root", "id").alias("root"))
     return own.join(of_node, ["a", "b"]).select("id", "root")
 

@@ -95,6 +95,31 @@ def test_one_of_each_group_stays(spark, small):
     assert simhash.drop_near_duplicates(edge_docs(spark).limit(0)).count() == 0
 
 
+def test_near_copies_off_the_hub_are_joined(spark):
+    # A and B are at 0.85, each with a nearer copy; a larger group holds the tile's hub.
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(5000)]
+    rows: list[tuple[int, str]] = []
+    for _ in range(30):
+        a = [rng.choice(vocab) for _ in range(300)]
+        b = list(a)
+        for k in (40, 90, 140, 190, 240):
+            b[k] = rng.choice(vocab)
+        for x in (a, b):
+            near = list(x)
+            near[5] = rng.choice(vocab)
+            rows += [(len(rows), " ".join(x)), (len(rows) + 1, " ".join(near))]
+    base = [rng.choice(vocab) for _ in range(300)]
+    for i in range(12):
+        x = list(base)
+        x[100 + i] = rng.choice(vocab)
+        rows.append((len(rows), " ".join(x)))
+    sets = [sets_of(t) for _, t in rows]
+    want = components(len(rows), [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(edge_docs(spark, [(i, t, None, None, None) for i, t in rows])).collect()}
+    assert len(set(want)) == 31 and kept == set(want)
+
+
 def plain_dedup(rows: list[tuple], k: int = 20) -> list[tuple]:
     seen, out = set(), []
     for key, text in rows:
