@@ -3,7 +3,9 @@
 A random walk over a word sequence (a step repeats or consumes the word under it, as a
 hash of step and word says) embeds edit distance into Hamming distance. Item-sized
 windows of a document and the items of that size meet when sampled coordinates of their
-embeddings agree; walks are repeated until the chance to miss falls under the target.
+embeddings agree; walks are repeated until the chance to miss falls under the target,
+as often as the size's own rate of meeting asks. Sizes that would need too many walks
+are looked for exactly instead: every place near a shared run is verified.
 What meets is verified by exact edit distance.
 
 Windows are taken where an item may stand at all: an item of n words within d edits
@@ -30,6 +32,8 @@ EDITS, RUN = 0.2, 4
 #: Coordinates that must agree, and the recall that repetitions are chosen for.
 SAMPLED, RECALL = 3, 0.99
 MOST_WALKS = 96
+#: Edited copies that a size's rate of meeting is taken from; the lowest counts.
+COPIES = 12
 #: Items and bytes of items looked for at once; larger benchmarks go in blocks.
 BLOCK_BYTES = 8 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -75,6 +79,7 @@ class Matcher:
         self.runs = np.minimum(RUN, self.sizes // (self.allowed + 1))
         self.widest = int(self.sizes.max(initial=0))
         self._seeds()
+        #: Of each item; 0 where places near shared runs are verified without walks.
         self.walks = self._walks(recall)
         self._index()
 
@@ -103,9 +108,12 @@ class Matcher:
             h ^= h >> np.uint64(29)
         return h
 
-    def _windows(self, x: np.ndarray, floor: np.ndarray, ceiling: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, size) of windows near the diagonals of shared runs. floor, ceiling: each word's document's bounds."""
-        found = []
+    def _windows(self, x: np.ndarray, floor: np.ndarray, ceiling: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, size) of windows near the diagonals of shared runs, and (item, diagonal, place) of the runs of items that have no walks.
+
+        floor, ceiling: each word's document's bounds.
+        """
+        found, exact = [], [np.zeros((3, 0), np.int64)]
         for q, (unique, first, item, offset) in self.seeds.items():
             n = x.size - q + 1
             if n <= 0:
@@ -128,15 +136,31 @@ class Matcher:
             at = np.repeat(at, count)
             which = item[posting]
             start, reach = at - offset[posting], self.allowed[which]
+            alone = self.walks[which] == 0
+            exact.append(np.stack([which[alone], start[alone], at[alone]]))
+            at, which, start, reach = at[~alone], which[~alone], start[~alone], reach[~alone]
             # An indel before the run moves the true start by one each.
             for shift in range(-int(reach.max(initial=0)), int(reach.max(initial=0)) + 1):
                 ok = np.abs(shift) <= reach
                 s = np.clip(start[ok] + shift, floor[at[ok]], ceiling[at[ok]] - 1)
                 found.append(np.unique(np.stack([s, self.sizes[which[ok]]]), axis=1))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        s, n = np.unique(np.concatenate(found, axis=1), axis=1)
-        return s, n
+        s, n = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+        return s, n, np.concatenate(exact, axis=1)
+
+    def _regions(self, runs: np.ndarray, doc: np.ndarray, floor: np.ndarray, ceiling: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, begin, end) of stretches that hold every place of an item near its runs; stretches that meet are one."""
+        if not runs.shape[1]:
+            return []
+        item, start, at = runs[:, np.lexsort((runs[1], doc[runs[2]], runs[0]))]
+        d, n = self.allowed[item], self.sizes[item]
+        lo, hi = np.maximum(floor[at], start - d), np.minimum(ceiling[at], start + n + 3 * d)
+        first = np.append(True, (item[1:] != item[:-1]) | (doc[at[1:]] != doc[at[:-1]]) | (lo[1:] > hi[:-1]))
+        begins = np.flatnonzero(first)
+        counts = np.diff(np.append(begins, item.size))
+        # Within d edits all but q each of an item's runs of q words stand in the text.
+        q = self.runs[item[begins]]
+        enough = counts >= n[begins] - q + 1 - q * d[begins]
+        return list(zip(item[begins][enough].tolist(), lo[begins][enough].tolist(), np.maximum.reduceat(hi, begins)[enough].tolist(), strict=True))
 
     # -- walks
 
@@ -165,25 +189,26 @@ class Matcher:
             at += (((word + np.uint64(1)) * step_key[:, j : j + 1]) >> np.uint64(63)).astype(np.int64)
         return out
 
-    def _walks(self, recall: float) -> int:
-        """Repetitions for the recall, from how often items meet copies of themselves with all edits allowed."""
-        if not self.items:
-            return 1
-        rng = np.random.default_rng([self.seed, 2])
-        met = tried = 0
-        for i in rng.permutation(len(self.items))[:48]:
-            copy = self.items[i].tolist()
-            for _ in range(int(self.allowed[i])):
-                k = int(rng.integers(0, len(copy)))
-                kind = rng.integers(0, 3)
-                copy[k : k + (kind != 1)] = [] if kind == 2 and len(copy) > 1 else [0]
-            n = self.sizes[i]
-            both = np.concatenate([self.items[i], np.array(copy + [0] * int(n), np.int64)])
-            got = self.keys(both, np.array([0, n]), np.array([n, n]), np.array([n, n + n]), MOST_WALKS)
-            met += int((got[:, 0] == got[:, 1]).sum())
-            tried += MOST_WALKS
-        p = min(0.999, max(met, 1) / tried)
-        return max(1, min(MOST_WALKS, math.ceil(math.log(1 - recall) / math.log(1 - p))))
+    def _walks(self, recall: float) -> np.ndarray:
+        """Repetitions for the recall by size, from the lowest rate at which edited copies of its items meet them; 0 if too many."""
+        walks = np.zeros(self.sizes.size, np.int64)
+        for n in np.unique(self.sizes).tolist():
+            own = np.flatnonzero(self.sizes == n)
+            rng = np.random.default_rng([self.seed, 2, n])
+            rows, d = [], int(self.allowed[own[0]])
+            for i in np.resize(rng.permutation(own), COPIES):
+                copy = self.items[i].tolist()
+                for _ in range(d):
+                    k = int(rng.integers(0, len(copy)))
+                    kind = rng.integers(0, 3)
+                    copy[k : k + (kind != 1)] = [] if kind == 2 and len(copy) > 1 else [0]
+                rows += [self.items[i], np.array((copy + [0] * n)[:n], np.int64)]
+            start = np.arange(2 * COPIES) * n
+            got = self.keys(np.concatenate(rows), start, np.full(start.size, n), start + n, MOST_WALKS)
+            p = min(0.999, float((got[:, ::2] == got[:, 1::2]).mean(axis=0).min()))
+            needed = math.ceil(math.log(1 - recall) / math.log(1 - p)) if p else MOST_WALKS + 1
+            walks[own] = needed if needed <= MOST_WALKS else 0
+        return walks
 
     def _index(self) -> None:
         self.table: list[tuple[np.ndarray, np.ndarray]] = []
@@ -191,9 +216,13 @@ class Matcher:
             return
         flat = np.concatenate(self.items)
         start = np.cumsum(self.sizes) - self.sizes
-        for row in self.keys(flat, start, self.sizes, start + self.sizes, self.walks):
-            order = np.argsort(row, kind="stable")
-            self.table.append((row[order], order))
+        own = np.flatnonzero(self.walks)
+        for w, row in enumerate(self.keys(flat, start[own], self.sizes[own], (start + self.sizes)[own], int(self.walks.max(initial=0)))):
+            meant = self.walks[own] > w
+            order = np.argsort(row[meant], kind="stable")
+            self.table.append((row[meant][order], own[meant][order]))
+        self.walks_of_size = np.zeros(self.widest + 1, np.int64)
+        self.walks_of_size[self.sizes] = self.walks
 
     # -- texts
 
@@ -212,11 +241,25 @@ class Matcher:
         ends = np.cumsum(sizes)
         doc = np.repeat(np.arange(len(texts)), sizes)
         floor, ceiling = (ends - sizes)[doc], ends[doc]
-        start, size = self._windows(x, floor, ceiling)
+        start, size, runs = self._windows(x, floor, ceiling)
+        for i, lo, hi in self._regions(runs, doc, floor, ceiling):
+            part, d, n = x[lo:hi], int(self.allowed[i]), int(self.sizes[i])
+            # A place of n + d words at most holds n - d words of the item.
+            known = np.append(0, np.cumsum(np.isin(part, self.items[i])))
+            if (known[min(n + d, part.size) :] - known[: known.size - min(n + d, part.size)]).max() < n - d:
+                continue
+            edits, b, e = edit_distance_within(self.items[i], part)
+            if edits <= d:
+                k, low = int(doc[lo]), int(floor[lo])
+                best = (edits, lo + b - low, lo + e - low)
+                found[k][i] = min(found[k].get(i, best), best)
         pairs = set()
+        order = np.argsort(self.walks_of_size[size], kind="stable")
+        start, size = start[order], size[order]
         for lo in range(0, start.size, 4096):
             s, n = start[lo : lo + 4096], size[lo : lo + 4096]
-            for (sorted_keys, order), row in zip(self.table, self.keys(x, s, n, ceiling[s], self.walks), strict=True):
+            walks = int(self.walks_of_size[n].max())
+            for (sorted_keys, order), row in zip(self.table[:walks], self.keys(x, s, n, ceiling[s], walks), strict=True):
                 left, right = np.searchsorted(sorted_keys, row), np.searchsorted(sorted_keys, row, "right")
                 for w in np.flatnonzero(right > left):
                     pairs.update((int(i), int(s[w])) for i in order[left[w] : right[w]])

@@ -204,6 +204,26 @@ def test_decontamination(spark, small):
     assert {r["doc_id"] for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in got}
 
 
+def test_recall_holds_for_each_size_of_item():
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range((10, 150)[i % 2]))) for i in range(60)]
+    texts, want = [], []
+    for i, text in items * 4:
+        w = text.split()
+        for _ in range(len(w) // 5):
+            k = rng.randrange(len(w))
+            w[k : k + rng.randrange(0, 2)] = [] if rng.random() < 0.4 else ["changed"]
+        texts.append(" ".join([*LOREM[: rng.randrange(30)], *w, *LOREM[: rng.randrange(30)]]))
+        want.append((i, plain_edits(text.split(), texts[-1].split())))
+    got = decontaminate.Matcher(items).find(texts)
+    for odd in (0, 1):
+        have = [next((m[3] for m in ms if m[0] == i), None) for ms, (i, _) in zip(got, want, strict=True) if i % 2 == odd]
+        due = [e for i, e in want if i % 2 == odd]
+        assert sum(h is not None for h in have) >= 0.99 * len(due)
+        assert all(h is None or h >= e for h, e in zip(have, due, strict=True))
+
+
 def test_decontamination_of_edge_rows(spark):
     bench = spark.createDataFrame([(1, " ".join(LOREM[:20])), (2, None), (3, ""), (4, "word"), (4, "word")], "item_id long, text string").withColumn("doc_id", F.lit("x"))
     got = decontaminate.matches(edge_docs(spark), bench)
