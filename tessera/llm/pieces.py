@@ -2,17 +2,21 @@
 
 The encoder keeps an agenda of adjacent symbol pairs whose concatenation is a piece
 and merges the best one, leftmost among ties, until none is left. With dropout, a
-candidate that comes up is skipped when the keyed hash of (seed, variant, piece,
-start) falls under the rate; the pieces left over are still pieces of the same text,
-so every segmentation decodes to it.
+candidate that comes up is skipped when the keyed hash of (seed, document, piece,
+start in the whole text) falls under the rate; the pieces left over are still pieces
+of the same text, so every segmentation decodes to it.
+
+A segment's merges depend only on which candidates are skipped. So each segment has a
+tree of states: the candidates that come up in order, and for each that is skipped
+first the state that follows. Hashes of all candidates of a text are taken at once, and
+a segment goes down its tree as far as something is skipped.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
-from array import array
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from itertools import repeat
 from operator import add
 
@@ -29,13 +33,14 @@ ID_MASK = (1 << ID_BITS) - 1
 NONE = 1 << 62
 #: Segments longer than this go through a heap; for short ones a list scan is quicker.
 SCAN_LIMIT = 48
-#: Starts are taken modulo this in the keyed hash.
-START_SLOTS = 16
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: A segment ends with a run of letters, or before a space or a line end: no piece reaches over those.
 SEGMENT = re.compile(rf" *[^{LETTERS} \n]*[{LETTERS}]+| *[^{LETTERS} \n]+|\n| +")
-#: Of all variants; as many again stay from before.
-CACHE_ENTRIES = 480_000
+#: Segments and states that are held; beyond that all begin anew.
+CACHE_ENTRIES = 800_000
+#: Candidates and ids of held states, and candidates hashed at once.
+CACHE_CELLS, HASHED_AT_ONCE = 4_000_000, 1 << 18
+_M = (1 << 64) - 1
 
 
 class Vocabulary:
@@ -72,86 +77,204 @@ class Vocabulary:
         return cls([model.id_to_piece(i) for i in every], [model.get_score(i) for i in every], kinds)
 
 
-def drop_table(size: int, seed: int, variant: int, rate: float) -> bytes:
-    """For each piece and start slot, 1 where the keyed hash says to skip the merge."""
-    x = np.arange(size * START_SLOTS, dtype=np.uint64)
-    key = (seed * 0x9E3779B97F4A7C15 + variant * 0xD1B54A32D192ED03 + 1) % (1 << 64)
-    x = x * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(key)
+def mixed(x: int) -> int:
+    """A 64-bit hash of a number."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> shift)) * factor & _M
+    return x ^ (x >> 31)
+
+
+def dropped(key: np.ndarray, piece: np.ndarray, start: np.ndarray, rate: float) -> np.ndarray:
+    """Whether the keyed hash says to skip the merge into ``piece`` at ``start`` of the text with ``key``."""
+    if rate >= 1:
+        return np.ones(piece.size, bool)
+    x = key ^ (start.astype(np.uint64) << np.uint64(ID_BITS) | piece.astype(np.uint64))
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    x ^= x >> np.uint64(31)
-    return (x < np.uint64(min(int(rate * 2.0**64), (1 << 64) - 1))).astype(np.uint8).tobytes() if rate < 1 else b"\1" * x.size
+    return x ^ (x >> np.uint64(31)) < np.uint64(min(int(rate * 2.0**64), _M))
+
+
+class Cells:
+    """A growing array of numbers."""
+
+    def __init__(self, kind: str):
+        self.held, self.size = np.zeros(1024, kind), 0
+
+    def add(self, values: list[int]) -> None:
+        if self.size + len(values) > self.held.size:
+            self.held = np.concatenate([self.held, np.zeros(self.held.size + len(values), self.held.dtype)])
+        self.held[self.size : self.size + len(values)] = values
+        self.size += len(values)
+
+
+def spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers begin .. begin + count - 1 of each, end to end."""
+    return np.repeat(begin - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
 
 
 class Encoder:
-    """Encodes texts; segments already met are looked up in a bounded cache."""
+    """Encodes texts; the states of segments already met are looked up in a bounded cache."""
 
     def __init__(self, vocabulary: Vocabulary, seed: int = 0, rate: float = 0.0, variants: int = 4):
         self.v, self.seed, self.rate = vocabulary, seed, rate
         self.variants = variants if rate else 1
-        self.drops = [drop_table(vocabulary.size, seed, k, rate) if rate else None for k in range(self.variants)]
-        self.young: list[dict[str, bytes]] = [{} for _ in self.drops]
-        self.old: list[dict[str, bytes]] = [{} for _ in self.drops]
+        #: What is skipped of a segment that begins the text, for the first keys.
+        self.drops = [self._judge(self.key_of(k), 0) for k in range(self.variants)]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.roots: dict[str, int] = {}
+        #: Segments met; the second time they get a state.
+        self.once: set[str] = set()
+        self.skips: list[tuple[str, frozenset]] = []
+        #: Of each state where its candidates and ids begin and how many there are.
+        self.begin, self.count, self.id_begin, self.id_count = (Cells("i8") for _ in range(4))
+        #: Of each candidate the piece, its start within the segment, and the state after skipping it: -1 if never asked for, -2 if once.
+        self.piece, self.start, self.then, self.ids = Cells("i8"), Cells("i8"), Cells("i8"), Cells("i4")
 
     def variant(self, key: int | None) -> int:
-        """A document's variant, from a keyed hash of its id. A null id has that of zero."""
+        """A number of a document's segmentation, from a keyed hash of its id; merges are skipped by ``key_of``."""
         x = ((key or 0) * 0x9E3779B97F4A7C15 + self.seed * 0xD1B54A32D192ED03) % (1 << 64)
         x = (x ^ (x >> 31)) * 0x94D049BB133111EB % (1 << 64)
         return (x >> 33) % self.variants
 
+    def key_of(self, key: int | None) -> int:
+        """What a document's candidates are hashed with, from the seed and its id. A null id has that of zero."""
+        return mixed(mixed(self.seed * 0xD1B54A32D192ED03 + 1 & _M) + (key or 0) * 0x9E3779B97F4A7C15 & _M)
+
     def encode(self, text: str, key: int | None = None) -> list[int]:
-        """Ids of the text; with dropout, those of the variant of ``key``."""
+        """Ids of the text; with dropout, those of the document ``key``."""
         return np.frombuffer(self.encoded(text, key), np.int32).tolist()
 
     def encoded(self, text: str, key: int | None = None) -> bytes:
         """The same ids as 32-bit numbers end to end."""
         if not text:
             return b""
-        k = self.variant(key)
-        segments = SEGMENT.findall(" " + text)
-        found = list(map(self.young[k].get, segments))
-        at = -1
+        key, segments, at, out = self.key_of(key), SEGMENT.findall(" " + text), 0, []
+        for lo in range(0, len(segments), HASHED_AT_ONCE >> 2):
+            part = segments[lo : lo + (HASHED_AT_ONCE >> 2)]
+            starts = np.cumsum([at, *map(len, part)])
+            out.append(self._part(part, starts, key))
+            at = int(starts[-1])
+        return b"".join(out)
+
+    def _part(self, segments: list[str], starts: np.ndarray, key: int) -> bytes:
+        if len(self.skips) + len(self.once) >= CACHE_ENTRIES or self.piece.size + self.ids.size >= CACHE_CELLS:
+            self._forget()
+        found = list(map(self.roots.get, segments))
+        at, apart, apart_ids, apart_count = -1, [], [], []
+
+        def alone(at: int) -> None:
+            """A long segment, or one whose state is asked for the first time: each candidate is judged by itself."""
+            ids = self.segment(segments[at], self._judge(key, int(starts[at])))
+            apart.append(at)
+            apart_ids.extend(ids)
+            apart_count.append(len(ids))
+
         try:
             while True:
                 at = found.index(None, at + 1)
-                found[at] = self._missed(segments[at], k)
+                x = segments[at]
+                if x in self.once:
+                    found[at] = self.roots[x] = self.roots[x] if x in self.roots else self._state(x, frozenset())
+                    continue
+                if len(x) <= SCAN_LIMIT:
+                    self.once.add(x)
+                found[at] = -1
+                alone(at)
         except ValueError:  # no more misses
-            return b"".join(found)
-
-    def _missed(self, segment: str, k: int) -> bytes:
-        """A segment that the young cache lacked when the text began."""
-        young = self.young[k]
-        if (ids := young.get(segment) or self.old[k].get(segment)) is None:
-            ids = array("i", self.segment(segment, k)).tobytes()
-        if len(segment) <= SCAN_LIMIT:
-            if len(young) >= CACHE_ENTRIES // self.variants:
-                self.old[k] = young
-                young = self.young[k] = {}
-            young[segment] = ids
-        return ids
-
-    def segment(self, segment: str, variant: int = 0) -> list[int]:
+            pass
+        state = np.array(found, np.int64)
+        open_ = np.flatnonzero(state >= 0) if self.rate else np.zeros(0, np.int64)
+        while open_.size:
+            now = state[open_]
+            begin, count = self.begin.held[now], self.count.held[now]
+            cell, of = spread(begin, count), np.repeat(np.arange(open_.size), count)
+            skip = np.flatnonzero(dropped(np.uint64(key), self.piece.held[cell], self.start.held[cell] + starts[open_][of], self.rate))
+            first = skip[np.flatnonzero(np.diff(of[skip], prepend=-1))]
+            open_, cell = open_[of[first]], cell[first]
+            for i, c, then in zip(open_.tolist(), cell.tolist(), self.then.held[cell].tolist(), strict=True):
+                if then == -1:
+                    then = self.then.held[c] = -2
+                    state[i] = -1
+                    alone(i)
+                    continue
+                if then == -2 and (then := int(self.then.held[c])) == -2:
+                    text, skips = self.skips[int(state[i])]
+                    then = self.then.held[c] = self._state(text, skips | {(int(self.piece.held[c]), int(self.start.held[c]))}, c)
+                state[i] = then
+            open_ = open_[state[open_] >= 0]
+        held = np.flatnonzero(state >= 0)
+        count = np.zeros(state.size, np.int64)
+        count[held], count[apart] = self.id_count.held[state[held]], apart_count
+        place, out = np.cumsum(count) - count, np.empty(int(count.sum()), np.int32)
+        out[spread(place[held], count[held])] = self.ids.held[spread(self.id_begin.held[state[held]], count[held])]
+        if apart:
+            out[spread(place[apart], count[apart])] = apart_ids
+        return out.tobytes()
+
+    def _judge(self, key: int, at: int) -> Callable[[int, int], bool] | None:
+        """Says of a candidate of the segment at ``at`` whether to skip it, one at a time."""
+        if not self.rate:
+            return None
+        limit = min(int(self.rate * 2.0**64), _M)
+        return lambda piece, start: self.rate >= 1 or mixed(key ^ (at + start << ID_BITS | piece)) < limit
+
+    def _state(self, segment: str, skips: frozenset, after: int = -1) -> int:
+        """Adds the state of a segment whose candidates ``skips`` are skipped; after: the cell of the last of them.
+
+        Its candidates are those that come up after that one, as the ones before have been judged.
+        """
+        came: list[tuple[int, int]] = []
+
+        last = (int(self.piece.held[after]), int(self.start.held[after])) if after >= 0 else None
+
+        def judge(piece: int, start: int) -> bool:
+            if (piece, start) == last:
+                came.clear()
+            # One that comes up again after it is skipped is skipped again.
+            if (piece, start) in skips:
+                return True
+            came.append((piece, start))
+            return False
+
+        ids = self.segment(segment, judge)
+        if not self.rate:
+            came = []
+        for cells, values in (
+            (self.begin, [self.piece.size]), (self.count, [len(came)]), (self.id_begin, [self.ids.size]), (self.id_count, [len(ids)]),
+            (self.piece, [p for p, _ in came]), (self.start, [x for _, x in came]), (self.then, [-1] * len(came)), (self.ids, ids),
+        ):
+            cells.add(values)
+        self.skips.append((segment, skips))
+        return len(self.skips) - 1
+
+    def segment(self, segment: str, drop: Callable[[int, int], bool] | None = None) -> list[int]:
+        """Ids of a segment; drop: gets a candidate's piece and start within the segment, and says whether to skip it."""
         if SPACE in segment:
             # The literal mark merges with nothing: what stands before and after it is apart.
-            mark = [self.v.byte_ids[b] for b in SPACE.encode()]
-            parts = [self.segment(x, variant) if x else [] for x in segment.split(SPACE)]
-            return [i for k, ids in enumerate(parts) for i in (mark * (k > 0) + ids)]
+            mark, out, at = [self.v.byte_ids[b] for b in SPACE.encode()], [], 0
+            for k, x in enumerate(segment.split(SPACE)):
+                own = drop and (lambda piece, start, at=at: drop(piece, at + start))
+                out += mark * (k > 0) + (self.segment(x, own) if x else [])
+                at += len(x) + 1
+            return out
         symbols = list(segment.replace(" ", SPACE))
         # Pieces of one level are runs of spaces alone, and only the heap tells those apart.
-        merged = (self._scan if len(symbols) <= SCAN_LIMIT and "  " not in segment else self._agenda)(symbols, self.drops[variant])
+        merged = (self._scan if len(symbols) <= SCAN_LIMIT and "  " not in segment else self._agenda)(symbols, drop)
         out = list(map(self.v.ids.get, merged))
         if None not in out:
             return out
         # A character that is no piece is spelt in bytes.
         return [j for s, i in zip(merged, out, strict=True) for j in ([i] if i is not None else [self.v.byte_ids[b] for b in s.encode()])]
 
-    def _scan(self, symbols: list[str], drop: bytes | None) -> list[str]:
+    def _scan(self, symbols: list[str], drop: Callable[[int, int], bool] | None) -> list[str]:
         get = self.v.worth.get
         worth = list(map(get, map(add, symbols, symbols[1:]), repeat(NONE)))
         starts = list(range(len(symbols)))
         while worth and (best := min(worth)) != NONE:
             i = worth.index(best)
-            if drop is not None and drop[(best & ID_MASK) * START_SLOTS + starts[i] % START_SLOTS]:
+            if drop is not None and drop(best & ID_MASK, starts[i]):
                 worth[i] = NONE
                 continue
             one = symbols[i] + symbols.pop(i + 1)
@@ -163,7 +286,7 @@ class Encoder:
                 worth[i] = get(one + symbols[i + 1], NONE)
         return symbols
 
-    def _agenda(self, symbols: list[str], drop: bytes | None) -> list[str]:
+    def _agenda(self, symbols: list[str], drop: Callable[[int, int], bool] | None) -> list[str]:
         """The same by a heap over linked symbols, for segments of any length."""
         get, n = self.v.worth.get, len(symbols)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -182,7 +305,7 @@ class Encoder:
             # An offer is void once either side has grown.
             if gone[i] or j < 0 or len(symbols[i]) + len(symbols[j]) != length or self.v.ids.get(symbols[i] + symbols[j]) != piece:
                 continue
-            if drop is not None and drop[piece * START_SLOTS + i % START_SLOTS]:
+            if drop is not None and drop(piece, i):
                 continue
             symbols[i], gone[j], after[i] = symbols[i] + symbols[j], 1, after[j]
             if after[j] >= 0:
@@ -204,8 +327,9 @@ SCHEMA = "doc_id long, n_ids long, ids array<int>, variant int, lossless boolean
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = DEFAULT_MODEL, seed: int = 17, rate: float = 0.1, variants: int = 4) -> DataFrame:
     """Ids of every whole text, with whether they decode to it.
 
-    The variant of the dropout hash comes from the document's id, so the same id and
-    seed give the same ids on every run, whatever executor does the work. A null text
+    The dropout hash takes the document's id and the place in its whole text, so the same
+    id, text and seed give the same ids on every run, whatever executor does the work.
+    ``variant`` is a number from 0 to ``variants`` - 1 by the id. A null text
     has null ids and count and is lossless; an empty one has no ids. Repeated rows give
     repeated rows; an empty table gives none. Other columns are not read. ``model`` must
     be at that path on every executor.

@@ -56,6 +56,34 @@ def test_dropout_varies_and_is_keyed():
             assert a._scan(list(symbols), drop) == a._agenda(list(symbols), drop)
 
 
+def test_dropout_varies_with_place_and_document():
+    v = pieces.Vocabulary.load(pieces.DEFAULT_MODEL)
+    enc = pieces.Encoder(v, 17, 0.1)
+    word = " international"
+
+    def cuts(text: str, key: int) -> list[tuple[int, ...]]:
+        out, own, have = [], (), ""
+        for i in enc.encode(text, key):
+            own, have = (*own, i), have + pieces.decode(v, [v.ids["a"], i])[1:]
+            if have == word:
+                out.append(own)
+                own, have = (), ""
+        return out
+
+    one = cuts((word * 400)[1:], 3)
+    assert len(one) == 400 and len(set(one)) > 4
+    assert len({tuple(enc.encode(word[1:] * 3, k)) for k in range(400)}) > 4
+    # Held states and judging each candidate by itself lead to the same ids.
+    for text in ("Several sentences, of international words;  and   spaces ▁ with marks. " * 9, "x" * 200 + " " * 70 + "deep"):
+        for rate in (0.1, 0.6, 1.0):
+            for key in range(12):
+                enc_at, want, at = pieces.Encoder(v, 5, rate), [], 0
+                for x in pieces.SEGMENT.findall(" " + text):
+                    want += enc_at.segment(x, enc_at._judge(enc_at.key_of(key), at))
+                    at += len(x)
+                assert enc_at.encode(text, key) == enc_at.encode(text, key) == want
+
+
 def plain_base(rows: list[tuple]) -> dict:
     tokens = {i: [*words(lower(t)), None] for i, t in rows}
     count = Counter(x for i, w in tokens.items() if crc(i) != 1 for x in w)
