@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from typing import NamedTuple
 
@@ -28,6 +29,7 @@ WEAK = {
 #: A bare run of the base64 letters that is long and mixed enough to be a key.
 BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 MARKS = re.compile(r"[:=]")
+#: From the end of a part to the start of the other, at most.
 SCOPE_CHARS = 400
 
 
@@ -55,17 +57,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def scopes(text: str, reach: int = SCOPE_CHARS) -> list[tuple[int, int]]:
-    """Intervals within which parts belong together: paragraphs, long ones in half-overlapping windows."""
+def scopes(text: str) -> list[tuple[int, int]]:
+    """Intervals within which parts belong together: paragraphs."""
     out, at = [], 0
     for m in re.finditer(r"\n[\x20\t\r]*\n\s*|\Z", text):
-        s, e, at = at, m.start(), m.end()
-        if e - s <= reach:
-            if e > s:
-                out.append((s, e))
-        else:
-            half = max(1, reach // 2)
-            out += [(x, min(e, x + reach)) for x in range(s, e - half, half)]
+        if m.start() > at:
+            out.append((at, m.start()))
+        at = m.end()
     return out
 
 
@@ -80,34 +78,34 @@ def parts(text: str, base: list[tuple[str, int, int]]) -> list[Part]:
     return sorted(set(found), key=lambda x: (x.start, x.end, x.role))
 
 
-def link(found: list[Part], within: list[tuple[int, int]]) -> list[Part]:
+def link(found: list[Part], within: list[tuple[int, int]], reach: int = SCOPE_CHARS) -> list[Part]:
     """Interval-join parts with scopes; the weak parts that a complementary one joins.
 
-    Both lists are in order of start, so one pass with a moving lower end finds each
-    scope's parts. An identifier completes a secret and a secret an identifier or an
-    endpoint. Parts that overlap do not complete each other.
+    An identifier completes a secret and a secret an identifier or an endpoint, when from
+    the end of one to the start of the other are ``reach`` characters at most, all in one
+    scope. Parts that overlap do not complete each other.
     """
-    kept, low = set(), 0
-    widest = max((p.end - p.start for p in found), default=0)
-    for s, e in within:
-        while low < len(found) and found[low].start < s - widest:
-            low += 1
-        inside, i = [], low
-        while i < len(found) and found[i].start < e:
-            if found[i].start >= s and found[i].end <= e:
-                inside.append(found[i])
-            i += 1
-        by: dict[str, list[Part]] = {}
-        for p in inside:
-            by.setdefault(p.role.removeprefix("weak_"), []).append(p)
-        for one, other in (("id", "secret"), ("secret", "id"), ("secret", "endpoint"), ("endpoint", "secret")):
-            mates = by.get(other, [])
-            if not mates:
-                continue
-            first_end, last_start = min(p.end for p in mates), max(p.start for p in mates)
-            for p in by.get(one, []):
-                if p.role.startswith("weak_") and (first_end <= p.start or last_start >= p.end):
-                    kept.add(p)
+    begins = [s for s, _ in within]
+    starts: dict[str, list[int]] = {}
+    ends: dict[str, list[int]] = {}
+    for p in found:
+        starts.setdefault(p.role.removeprefix("weak_"), []).append(p.start)
+        ends.setdefault(p.role.removeprefix("weak_"), []).append(p.end)
+    for x in ends.values():
+        x.sort()
+    mates = {"id": ("secret",), "secret": ("id", "endpoint"), "endpoint": ("secret",)}
+    kept = set()
+    for p in found:
+        at = bisect_right(begins, p.start) - 1
+        if not p.role.startswith("weak_") or at < 0 or p.end > within[at][1]:
+            continue
+        s, e = within[at]
+        for other in mates[p.role.removeprefix("weak_")]:
+            # The nearest that ends before it and the nearest that starts after it.
+            before = bisect_right(ends.get(other, []), p.start) - 1
+            after = bisect_left(starts.get(other, []), p.end)
+            if before >= 0 and ends[other][before] > max(s, p.start - reach - 1) or after < len(starts.get(other, [])) and starts[other][after] < min(e, p.end + reach + 1):
+                kept.add(p)
     return sorted(kept, key=lambda x: (x.start, x.end, x.role))
 
 
@@ -119,7 +117,7 @@ def find(text: str | None, reach: int = SCOPE_CHARS) -> tuple[list[tuple[str, in
     weak = []
     if any(p.role.startswith("weak_") for p in found) and len({p.role.removeprefix("weak_") for p in found}) > 1:
         taken = [(s, e) for _, s, e in base]
-        weak = [(p.role, p.start, p.end) for p in link(found, scopes(text, reach)) if not _covered(p, taken)]
+        weak = [(p.role, p.start, p.end) for p in link(found, scopes(text), reach) if not _covered(p, taken)]
     return base, sorted(base + weak, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

@@ -145,3 +145,14 @@ def test_reputation_shrinks(spark):
     found = {r["host"]: r for r in urls.reputation(spark.createDataFrame([(h, int(b)) for h, b in rows], "host string, bad int")).collect()}
     assert found["bad.io"]["bound"] > 0.5 > found["good.io"]["bound"]
     assert found["one.io"]["rate"] < 1 and found["one.io"]["bound"] < found["bad.io"]["bound"]
+
+
+def test_parts_link_by_their_gap_at_any_offset():
+    kinds = lambda spans: {k for k, _, _ in spans}
+    for gap, linked in ((100, True), (250, True), (390, True), (450, False)):
+        for ahead in range(0, 400, 37):
+            text = "y " * (ahead + 200) + "user: admin " + "z " * (gap // 2 - 3) + "pwd: hunter22 " + "y " * 300
+            assert ("weak_secret" in kinds(secrets.find(text)[1])) == linked
+    long = "user: admin pwd: " + "aB3" * 200 + " " + "y " * 300
+    assert {"weak_id", "weak_secret"} <= kinds(secrets.find(long)[1])
+    assert not kinds(secrets.find("user: admin\n\npwd: hunter22")[1])
