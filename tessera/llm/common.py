@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -45,13 +46,18 @@ def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster shares: the session's ``spark.checkpoint.dir``.
 
-    Only a session without one (a local test) gets a folder of its own.
+    Only a local session without one (a test) gets a folder of its own; on a cluster that is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-ckpt-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            import tempfile
+
+            named = tempfile.mkdtemp(prefix="tessera-ckpt-")
+        sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
@@ -59,3 +65,24 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage through the folder that the cluster shares."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a table written to the folder that the cluster shares.
+
+    Unlike a checkpoint it is compressed, read by column, and of a size that the planner
+    knows; estimates of a checkpoint's size multiply with every join of an iteration.
+    """
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    held.stored_at = path
+    return held
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that nothing reads any more."""
+    for held in tables:
+        sc = held.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(held.stored_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint
+from tessera.llm.common import discard, stored
 
 
 def _signature(edges: DataFrame) -> tuple[int, int]:
@@ -20,9 +20,9 @@ def roots(edges: DataFrame) -> DataFrame:
     hangs a node's greater neighbours on the least node that it sees, small-star the
     smaller ones; they alternate until no edge moves. Rounds grow with the logarithm of
     a component's size, and no component is ever gathered in one place. Each round is
-    checkpointed, so that a lost executor costs one round at most.
+    written to the shared folder, so that a lost executor costs one round at most.
     """
-    now = checkpoint(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = stored(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = _signature(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -31,8 +31,10 @@ def roots(edges: DataFrame) -> DataFrame:
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(small_least, "u")
         small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(hung.select("u", F.col("m").alias("v")))
-        now = checkpoint(small.where("u != v").distinct())
-        last, seen = seen, _signature(now)
+        last, before = seen, now
+        now = stored(small.where("u != v").distinct())
+        discard(before)
+        seen = _signature(now)
         if seen == last:
             break
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))

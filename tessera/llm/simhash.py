@@ -6,6 +6,10 @@ numpy exclusive-or and bit counts. Before that, fingerprints meet only in bucket
 ``blocks`` blocks of bits, two within the radius agree on ``blocks - radius`` at least, so
 a bucket for each such choice loses nothing. More blocks make longer keys, which keeps
 buckets small as the corpus grows.
+
+Near-duplicates of texts by the similarity of their shingle sets compare fingerprints of
+128 bits in the same way, within buckets of texts that share a key of least hashes: keys
+of sampled bits would have to grow in number as the corpus to the power of a quarter.
 """
 
 from __future__ import annotations
@@ -17,10 +21,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, map_rows
+from tessera.llm.common import checkpoint, discard, map_rows, stored
 from tessera.llm.components import roots
 
 SEED = 42
@@ -30,14 +34,18 @@ TILE = 512
 COUNT_AT_ONCE = 1 << 16
 #: Fingerprints that a bucket should hold on average, at most.
 BUCKET = 64
-#: The same for keys of sampled bits: shorter keys miss less, and comparing within a bucket is cheap.
-SAMPLED_BUCKET = 512
-#: Of two texts of the wanted similarity, the chance that no sampled key joins them.
-MISSED = 0.01
-#: Edges that a tile gives of a node, and of two groups, when those held back are first asked for.
-FIRST_TAKE = 4
-#: Standard deviations above the mean distance of such texts up to which edges are looked at.
-DEVIATIONS = 4
+#: Fingerprints of the tiles that are compared within a task.
+SUB_TILE = 256
+#: Keys of a text for near-duplicates, and least shingle hashes that a key joins.
+BANDS, JOINED = 9, 3
+#: Standard deviations above the mean distance of texts of just the wanted similarity up to which pairs are looked at.
+DEVIATIONS = 5
+#: Weight of a tile of texts, and shingles that weigh one beside the text itself.
+TILE_WEIGHT, SHINGLES = 2048, 1024
+#: Members of a large bucket's main group that its other texts are tried with in a round.
+HUBS = 4
+#: A key is hot, and dealt over several tasks, from so many rows on, and from a thousandth of all.
+HOT_ROWS = 8192
 #: Ids that a broadcast may hold; beyond it the join is shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -89,6 +97,28 @@ def block_keys(fp: Column, radius: int, blocks: int) -> Column:
     return F.array(*keys)
 
 
+def tiled(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], radius: int, tile: int = SUB_TILE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, distance) of the pairs of x and y within the radius, tile by tile.
+
+    x, y: the 64-bit halves of fingerprints. Both are put in order of population count and cut
+    into tiles; a pair of tiles whose counts differ beyond the radius is skipped, any other is
+    compared whole by exclusive-or and bit counts.
+    """
+    sides = []
+    for z in (x, y):
+        pop = sum(np.bitwise_count(h).astype(np.int64) for h in z)
+        order = np.argsort(pop, kind="stable")
+        sides.append([(order[at : at + tile], int(pop[order[at]]), int(pop[order[min(at + tile, pop.size) - 1]])) for at in range(0, pop.size, tile)])
+    for p, low, high in sides[0]:
+        for q, least, most in sides[1]:
+            if least - high > radius or low - most > radius:
+                continue
+            d = sum(np.bitwise_count(h[p][:, None] ^ k[q][None, :]).astype(np.int16) for h, k in zip(x, y, strict=True))
+            i, j = np.nonzero(d <= radius)
+            if i.size:
+                yield p[i], q[j], d[i, j]
+
+
 def _spans(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that join what is linked in a tile (b is None) or across two, one fewer than the members of each component.
 
@@ -96,10 +126,8 @@ def _spans(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray
     mutually linked fingerprints gives one link each and not one for every pair.
     """
     every = a if b is None else np.concatenate([a, b])
-    other = a if b is None else b
-    near = np.bitwise_count(a[:, None] ^ other[None, :]) <= radius
-    i, j = np.nonzero(near)
-    j = j if b is None else j + a.size
+    found = [(i, j if b is None else j + a.size) for i, j, _ in tiled((a,), (a if b is None else b,), radius)]
+    i, j = (np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.int64) for c in (0, 1))
     keep = i != j
     i, j = i[keep], j[keep]
     if not i.size:
@@ -195,6 +223,22 @@ def links(fps: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
     return dealt.mapInArrow(lambda x: compare(x, spans, ["u", "v"]), "u long, v long").distinct()
 
 
+def joined(rows: DataFrame, single: DataFrame, on: list[str], spread: str, size: str) -> DataFrame:
+    """Inner join of ``rows`` with ``single``, which has one row a key and the count of the key's rows in ``size``.
+
+    A key of HOT_ROWS rows and a thousandth of all is hot: at most a thousand keys are. Those
+    are broadcast, rows of theirs are salted by a hash of ``spread``, and their single rows
+    are repeated once a salt; so no key lands in one task, and rows are repeated in proportion.
+    """
+    total = single.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).collect()[0]["n"]
+    most = max(HOT_ROWS, total // 1000)
+    parts = F.ceil(F.col(size) / most).cast("int")
+    hot = single.where(F.col(size) > most).select(*on, parts.alias("_parts"))
+    salted = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    repeated = single.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col(size) > most, parts).otherwise(1) - 1)))
+    return salted.join(repeated, [*on, "_salt"]).drop("_salt")
+
+
 def hexed(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
@@ -207,13 +251,13 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
     other. A null id gets its component's least id, or null if that has none; repeated rows
     give repeated rows; an empty table gives none. Other columns are not read.
     """
-    own = checkpoint(fingerprints(docs, words, id_col, text_col))
-    nodes = checkpoint(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    own = stored(fingerprints(docs, words, id_col, text_col))
+    nodes = stored(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
     root = roots(links(nodes.select("fp"), radius))
-    labelled = nodes.join(root, nodes["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    component = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = labelled.join(component, "root").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", hexed(F.col("fp")).alias("fingerprint"), "component_id")
+    labelled = nodes.join(root, nodes["fp"] == root["node"], "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root"))
+    component = labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
+    named = stored(joined(labelled, component, ["root"], "fp", "size").select("fp", "component_id", "copies"))
+    return joined(own, named, ["fp"], "doc_id", "copies").select("doc_id", hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 # -- texts by the similarity of their shingle sets
@@ -234,174 +278,223 @@ def bits_apart(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, a, b, n): 128 bits over the distinct shingles of each text, and their count."""
+def reach(similarity: float) -> int:
+    """Differing bits of 128 up to which a pair is looked at."""
+    p = bits_apart(similarity)
+    return math.ceil(128 * p + DEVIATIONS * math.sqrt(128 * p * (1 - p)))
+
+
+def bands(hashes: np.ndarray, seed: int = 5) -> np.ndarray:
+    """BANDS keys of a set, each of its least hashes under JOINED permutations; none for an empty one.
+
+    Two sets share a key of similarity**JOINED chance, so at 0.8 all keys miss about 1 pair in 400.
+    """
+    if not hashes.size:
+        return np.zeros(0, np.uint64)
+    salt, odd = np.random.default_rng(seed).integers(0, 1 << 63, (2, BANDS * JOINED), np.uint64)
+    odd = odd * np.uint64(2) + np.uint64(1)
+    least = np.full(BANDS * JOINED, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, hashes.size, COUNT_AT_ONCE):
+        least = np.minimum(least, ((hashes[at : at + COUNT_AT_ONCE, None] ^ salt) * odd).min(axis=0))
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for j in range(JOINED):
+        key = _again(key * np.uint64(0x9E3779B97F4A7C15) + least[j::JOINED])
+    return key
+
+
+def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, a, b, h, n, keys): 128 bits over the distinct shingles of each text, a digest of them, their count and their keys."""
 
     def rows(ids: list, texts: list) -> dict[str, list]:
         sets = [shingle_set(t, words) for t in texts]
-        a, b = (np.array([fingerprint(h) for h in x], np.uint64).view(np.int64) for x in (sets, [_again(h) for h in sets]))
-        return {"id": ids, "a": a, "b": b, "n": [h.size for h in sets]}
+        a, b = (np.array([fingerprint(x) for x in z], np.uint64).view(np.int64) for z in (sets, [_again(x) for x in sets]))
+        digest = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+        return {"id": ids, "a": a, "b": b, "h": digest, "n": [x.size for x in sets], "keys": [bands(x).view(np.int64) for x in sets]}
 
-    return map_rows(docs, [id_col, text_col], rows, "id long, a long, b long, n int")
+    return map_rows(docs, [id_col, text_col], rows, "id long, a long, b long, h long, n int, keys array<long>")
 
 
-def missed_by(tables: int, k: int, p: float) -> float:
-    """The chance that ``tables`` keys of ``k`` bits all miss, over the distances that a bit's chance ``p`` to differ leads to."""
-    d = range(129)
-    return sum(math.comb(128, x) * p**x * (1 - p) ** (128 - x) * (1 - (1 - x / 128) ** k) ** tables for x in d)
+def small_join(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Join on ``id``, by broadcast if a count shows that the ids are few enough."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", how)
 
 
-def sampled_masks(n: int, similarity: float, missed: float, seed: int = 5) -> np.ndarray:
-    """(keys, 2) masks of sampled bits of (a, b), as many as make it likely that two of the similarity share one.
+def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have the Jaccard similarity."""
+    shared = np.intersect1d(x, y, assume_unique=True).size
+    return bool(shared >= similarity * (x.size + y.size - shared))
 
-    Keys grow by a bit when the corpus doubles, so buckets stay small; a corpus that fits
-    a bucket is one.
-    """
-    k = min(40, max(0, math.ceil(math.log2(max(1, n) / SAMPLED_BUCKET))))
-    p, tables = bits_apart(similarity), 1
-    while missed_by(tables, k, p) > missed:
-        tables = tables + max(1, tables // 16)
-    rng = np.random.default_rng(seed)
-    chosen = [rng.choice(128, k, replace=False).tolist() for _ in range(tables)]
-    return np.array([[sum(1 << x % 64 for x in bits if x // 64 == half) for half in (0, 1)] for bits in chosen], np.uint64).reshape(-1, 2)
 
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v), one a u, whose shingle sets have the Jaccard similarity. Many may share a v."""
+    pairs = stored(pairs)
+    left = pairs.join(sets.select(F.col("id").alias("u"), F.col("z").alias("zu")), "u")
+    right = pairs.groupBy("v").agg(F.count("*").alias("size")).join(sets.select(F.col("id").alias("v"), F.col("z").alias("zv")), "v")
+    both = joined(left, right, ["v"], "u", "size")
 
-def sampled_keys(masks: np.ndarray) -> Column:
-    """One key of (a, b) for each row of masks, as (row, bits)."""
-    signed = [[F.lit(int(m)).cast("long") for m in row] for row in masks.view(np.int64)]
-    return F.array(*[F.struct(F.lit(t).alias("k"), F.xxhash64(F.col("a").bitwiseAND(x), F.col("b").bitwiseAND(y)).alias("bits")) for t, (x, y) in enumerate(signed)])
+    def judge(us: list, vs: list, zu: list, zv: list) -> dict[str, list]:
+        same = [alike(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32), similarity) for p, q in zip(zu, zv, strict=True)]
+        return {"u": us, "v": vs, "same": same}
 
+    return stored(map_rows(both, ["u", "v", "zu", "zv"], judge, "u long, v long, same boolean").where("same").select("u", "v"))
 
-def candidates(nodes: DataFrame, masks: np.ndarray, similarity: float = 0.8, take: int = 0, tile: int = TILE) -> DataFrame:
-    """Edges (u, v, d, cut) between groups ``g`` that may join texts of the similarity: distance and set sizes allow it.
 
-    nodes: (id, a, b, n, g). A pair counts under the first key that it shares. Of a tile, each node gives its nearest edge and the one to the tile's most connected
-    node, so a group of copies gives edges in proportion to its size and not to its pairs. With ``take``, each node gives its
-    ``take`` nearest edges and two groups their ``take`` nearest. cut: 1 where a tile held more than it gave.
-    """
-    p = bits_apart(similarity)
-    radius = math.ceil(128 * p + DEVIATIONS * math.sqrt(128 * p * (1 - p)))
-    far = 1 << 20
-    dealt = deal(nodes.select("id", "a", "b", "n", "g", (F.bit_count("a") + F.bit_count("b")).alias("pop")), sampled_keys(masks), radius, tile, ["id", "a", "b", "n", "g"])
-
-    def nearest(x: np.ndarray, z: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
-        i, j = np.nonzero(d < far)
-        chosen = np.zeros(i.size, bool)
-        for side in (i, j):
-            order = np.lexsort((d[i, j], side))
-            first = np.searchsorted(side[order], side[order])
-            chosen[order[np.arange(i.size) - first < take]] = True
-        i, j, every = i[chosen], j[chosen], i.size
-        g, h = np.minimum(x[4][i], z[4][j]), np.maximum(x[4][i], z[4][j])
-        order = np.lexsort((d[i, j], h, g))
-        g, h = g[order], h[order]
-        begins = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (h[1:] != h[:-1])))
-        keep = order[np.arange(g.size) - np.repeat(begins, np.diff(np.append(begins, g.size))) < take]
-        i, j = i[keep], j[keep]
-        return x[0][i], z[0][j], d[i, j], np.full(i.size, int(i.size < every))
-
-    def spans(key: int, x: np.ndarray, y: np.ndarray | None) -> tuple[np.ndarray, ...]:
-        z = x if y is None else y
-        d = sum(np.bitwise_count(x[i].view(np.uint64)[:, None] ^ z[i].view(np.uint64)[None, :]).astype(np.int64) for i in (1, 2))
-        n, m = x[3][:, None], z[3][None, :]
-        d = np.where((d <= radius) & (np.minimum(n, m) >= similarity * np.maximum(n, m)) & (x[4][:, None] != z[4][None, :]), d, far)
-        # A pair that an earlier key joins was looked at there.
-        i, j = np.nonzero(d < far)
-        apart = [x[c].view(np.uint64)[i] ^ z[c].view(np.uint64)[j] for c in (1, 2)]
-        for mask in masks[:key]:
-            again = ((apart[0] & mask[0]) | (apart[1] & mask[1])) == 0
-            if again.any():
-                d[i[again], j[again]] = far
-                i, j, apart = i[~again], j[~again], [c[~again] for c in apart]
-        if not i.size:
-            none = np.zeros(0, np.int64)
-            return none, none, none, none
-        if take:
-            return nearest(x, z, d if y is not None else np.where(np.triu(np.ones(d.shape, bool)), d, far))
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each run of equal leading ``keys`` columns, which may go over several batches."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([batch.column(i).to_numpy() for i in range(keys)])
+        begins = np.append(0, np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1)
+        for b, e in zip(begins.tolist(), np.append(begins[1:], batch.num_rows).tolist(), strict=True):
+            if held and tuple(k[:, b].tolist()) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(b, e - b))
+            last = tuple(k[:, b].tolist())
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+PLACE = "key long, p int, q int, side int"
+NODE = "id long, a long, b long, n int, g long"
+
+
+def _open_pairs(t: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, distance) of the rows of a tile, or of one and the other of a pair of tiles, that may be alike and are not of one group."""
+    side, n, g = (t[c].to_numpy() for c in ("side", "n", "g"))
+    a, b = (t[c].to_numpy().view(np.uint64) for c in ("a", "b"))
+    x, y = (np.arange(side.size),) * 2 if side[0] == 0 else (np.flatnonzero(side == 1), np.flatnonzero(side == 2))
+    none = np.zeros(0, np.int64)
+    found = [(none, none, none)]
+    for i, j, d in tiled((a[x], b[x]), (a[y], b[y]), reach(similarity)):
+        i, j = x[i], y[j]
+        keep = (g[i] != g[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])) & ((side[i] != 0) | (i < j))
+        found.append((i[keep], j[keep], d[keep]))
+    return tuple(np.concatenate([f[c] for f in found]) for c in range(3))
+
+
+def flag(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """The rows of tiles that may be alike with another of theirs."""
+    for t in runs(batches, 3):
+        if t.num_rows > 1:
+            i, j, _ = _open_pairs(t, similarity)
+            if i.size:
+                yield from t.take(np.unique(np.concatenate([i, j]))).combine_chunks().to_batches()
+
+
+def confirm(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) of like texts that join the groups of each tile, nearest pairs first; a pair of what is joined already is passed over."""
+    for t in runs(batches, 3):
+        i, j, d = _open_pairs(t, similarity)
+        ids, sets = t["id"].to_numpy(), [np.frombuffer(z, np.uint32) for z in t["z"].to_pylist()]
+        _, group = np.unique(t["g"].to_numpy(), return_inverse=True)
         found = []
-        for rows, columns, dist in ((x[0], z[0], d), (z[0], x[0], d.T)):
-            hub = int((dist < far).sum(axis=0).argmax())
-            for at in (dist.argmin(axis=1), np.full(rows.size, hub)):
-                v = dist[np.arange(rows.size), at]
-                ok = v < far
-                found.append((rows[ok], columns[at[ok]], v[ok], np.ones(int(ok.sum()), np.int64)))
-        return tuple(np.concatenate([f[i] for f in found]) for i in range(4))
+        for k in np.argsort(d, kind="stable").tolist():
+            x, y = int(i[k]), int(j[k])
+            if group[x] != group[y] and alike(sets[x], sets[y], similarity):
+                found.append(k)
+                group[group == group[y]] = group[x]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i[found]]), pa.array(ids[j[found]])], names=["u", "v"])
 
-    edges = dealt.mapInArrow(lambda b: compare(b, spans, ["u", "v", "d", "cut"]), "u long, v long, d long, cut long")
-    return edges.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("d").alias("d"), F.max("cut").alias("cut"))
 
+def tiles(rows: DataFrame, radius: int, weight: int) -> DataFrame:
+    """Rows of large buckets, once for each pair of tiles that may hold a link of theirs: (*PLACE, *NODE).
 
-def small_join(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Join on ``id``, by broadcast if a count shows that the ids are few enough."""
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", how)
+    rows: (key, main, w, pop, *NODE). A bucket's tiles are stretches of its rows in order of
+    population count, of ``weight`` each, those of its main group apart from the others; two
+    tiles of the main group are never compared, nor are tiles whose counts differ beyond the radius.
+    """
+    # At most 129 counts for each of the two.
+    pops = rows.groupBy("key", "main", "pop").agg(F.sum("w").alias("w")).groupBy("key").agg(F.collect_list(F.struct("main", "pop", "w")).alias("pops"), F.sum("w").alias("size"))
+    both = joined(rows, stored(pops), ["key"], "id", "size")
 
+    def before(main: Column, pop: Column) -> Column:
+        return F.aggregate("pops", F.lit(0).cast("long"), lambda s, x: s + F.when((x["main"] == main) & (x["pop"] < pop), x["w"]).otherwise(0))
 
-def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(u, v, same) of edges, by the Jaccard similarity of their shingle sets."""
-    both = edges.join(sets.select(F.col("id").alias("u"), F.col("z").alias("zu")), "u").join(sets.select(F.col("id").alias("v"), F.col("z").alias("zv")), "v")
+    at = before(F.col("main"), F.col("pop"))
+    own = at + F.pmod(F.xxhash64("id"), before(F.col("main"), F.col("pop") + 1) - at)
 
-    def judge(us: list, vs: list, zu: list, zv: list) -> dict[str, list]:
-        same = []
-        for p, q in zip(zu, zv, strict=True):
-            x, y = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
-            shared = np.intersect1d(x, y, assume_unique=True).size
-            same.append(bool(shared >= similarity * (x.size + y.size - shared)))
-        return {"u": us, "v": vs, "same": same}
+    def met(main: int) -> Column:
+        low, high = before(F.lit(main), F.col("pop") - radius), before(F.lit(main), F.col("pop") + radius + 1)
+        place = lambda x: F.floor(x / weight).cast("int") * 2 + main
+        every = F.sequence(place(low), F.greatest(place(low), place(high - 1)), F.lit(2))
+        return F.when((low < high) & (F.lit(main) + F.col("main") < 2), every).otherwise(F.array().cast("array<int>"))
 
-    return map_rows(both, ["u", "v", "zu", "zv"], judge, "u long, v long, same boolean")
+    both = both.withColumn("own", F.floor(own / weight).cast("int") * 2 + F.col("main")).withColumn("met", F.explode(F.concat(met(0), met(1))))
+    side = F.when(F.col("own") == F.col("met"), 0).when(F.col("own") < F.col("met"), 1).otherwise(2)
+    return both.select("key", F.least("own", "met").alias("p"), F.greatest("own", "met").alias("q"), side.alias("side"), "id", "a", "b", "n", "g")
 
 
-def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", weight: int = TILE_WEIGHT) -> DataFrame:
     """(id, root) of the texts that are joined, by chains of similarities, to another; ids must be unique.
 
-    Sampled keys propose edges, exact distances and set sizes thin them, and the sets
-    themselves (32 bits a shingle) confirm them: the nearest edges of every node first,
-    then more a round of those that still lead from one component to another,
-    until none is left. So a group of copies is joined by few of its edges. Tiles then give
-    the pairs held back that still lead between components, more a time, until a time
-    holds none back: a link is lost only where two texts share no sampled key (MISSED
-    for two of just the wanted similarity, far less for nearer ones).
+    Texts of one shingle set are one node. Nodes that share a key of least hashes are a
+    bucket. Each node is first tried with the least id of a bucket of its own; what holds makes groups.
+    A bucket whose nodes are all of one group is done. In large buckets, nodes outside the
+    main group are tried with members of it, as long as a round still joins a tenth of them.
+    What is left open is compared in tiles by fingerprint, and pairs within reach, of like
+    size and of two groups are confirmed by their sets (32 bits a shingle), in the tile. So
+    every pair that shares a key is looked at or joined by others; a link is lost only where
+    two texts share no key, about 1 in 400 of those at just 0.8.
     """
-    own = checkpoint(signatures(docs, words, id_col, text_col))
-    nodes = checkpoint(own.groupBy("a", "b").agg(F.min("id").alias("id"), F.min_by("n", "id").alias("n")))
-    masks = sampled_masks(nodes.count(), similarity, MISSED)
-    edges = checkpoint(candidates(nodes.withColumn("g", F.col("id")), masks, similarity))
-    ends = checkpoint(edges.select(F.col("u").alias("id")).unionByName(edges.select(F.col("v").alias("id"))).distinct())
+    radius = reach(similarity)
+    own = stored(sketches(docs, words, id_col, text_col))
+    nodes = stored(own.groupBy("a", "b", "h").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    keyed = nodes.select("id", "a", "b", "n", F.explode("keys").alias("key"))
+    sizes = stored(keyed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("id", "a", "b", "n")).alias("hub")).where("size > 1"))
+    met = stored(joined(keyed, sizes, ["key"], "id", "size"))
+    far = lambda x: F.bit_count(F.col("a").bitwiseXOR(x["a"])) + F.bit_count(F.col("b").bitwiseXOR(x["b"]))
+    near = lambda x: (far(x) <= radius) & (F.least(F.col("n"), x["n"]) >= similarity * F.greatest(F.col("n"), x["n"]))
 
     def rows(ids: list, texts: list) -> dict[str, list]:
         return {"id": ids, "z": [np.unique(shingle_set(t, words).astype(np.uint32)).tobytes() for t in texts]}
 
-    wanted = small_join(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), ends, "left_semi")
-    sets = checkpoint(map_rows(wanted, ["id", "text"], rows, "id long, z binary"))
-    links_found = failed = root = None
-    more, rest = FIRST_TAKE, edges.select("u", "v", "d")
+    wanted = small_join(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), met.select("id").distinct(), "left_semi")
+    sets = stored(map_rows(wanted, ["id", "text"], rows, "id long, z binary"))
+    discard(sizes)
+    hub = F.col("hub")
+    first = met.where((F.col("id") != hub["id"]) & near(hub)).groupBy("id").agg(F.min(F.struct(far(hub).alias("d"), hub["id"].alias("id"))).alias("x"))
+    root = roots(verified(first.select(F.col("id").alias("u"), F.col("x.id").alias("v")), sets, similarity))
+    turn, trying = 0, True
     while True:
-        take = 1
-        while not rest.isEmpty():
-            half = rest.select("u", "v", "d", F.col("u").alias("side")).unionByName(rest.select("u", "v", "d", F.col("v").alias("side")))
-            ranked = half.withColumn("place", F.row_number().over(Window.partitionBy("side").orderBy("d", "u", "v")))
-            now = ranked.where(F.col("place") <= take).select("u", "v").distinct()
-            tried = checkpoint(verified(now, sets, similarity))
-            good, bad = tried.where("same").select("u", "v"), tried.where("not same").select("u", "v")
-            # Of links found before, the stars that they came to stand for them.
-            links_found = good if root is None else good.unionByName(root.select(F.col("node").alias("u"), F.col("root").alias("v")))
-            failed = bad if failed is None else failed.unionByName(bad)
-            root = checkpoint(roots(links_found))
-            left = rest.join(tried.select("u", "v"), ["u", "v"], "left_anti")
-            left = left.join(root.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left").join(root.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left")
-            rest = checkpoint(left.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v", "d"))
-            take *= 4
-        if root is None or edges.where("cut = 1").isEmpty():
+        labelled = met.join(root.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "a", "b", "n", F.coalesce("root", "id").alias("g"), (1 + F.floor(F.col("n") / SHINGLES)).alias("w"))
+        now = stored(labelled)
+        by = now.groupBy("key", "g").agg(F.count("*").alias("n"), F.sum("w").alias("w")).groupBy("key")
+        state = by.agg(F.count("*").alias("labels"), F.sum("n").alias("size"), F.sum("w").alias("weight"), F.max(F.struct("n", "g")).alias("most")).where("labels > 1")
+        state = stored(state.select("key", "size", "weight", F.col("most.g").alias("most")))
+        rest = stored(joined(now, state, ["key"], "id", "size").withColumn("main", (F.col("g") == F.col("most")).cast("int")))
+        large = rest.where(F.col("weight") > weight)
+        outside = large.where("main = 0").select("id").distinct().count()
+        if not (trying and outside):
             break
-        # Whoever has a pair within reach is on an edge, so no other node is dealt again.
-        ends = edges.select(F.col("u").alias("id")).unionByName(edges.select(F.col("v").alias("id"))).distinct()
-        again = nodes.join(ends, "id", "left_semi").join(root.withColumnRenamed("node", "id"), "id", "left").select("id", "a", "b", "n", F.coalesce("root", "id").alias("g"))
-        edges = checkpoint(candidates(again, masks, similarity, more))
-        rest = checkpoint(edges.select("u", "v", "d").join(failed, ["u", "v"], "left_anti"))
-        more *= 16
-    root = root if root is not None else nodes.where("false").select(F.col("id").alias("node"), F.col("id").alias("root"))
-    of_node = nodes.join(root, nodes["id"] == root["node"], "left").select("a", "b", F.coalesce("root", "id").alias("root"))
-    return own.join(of_node, ["a", "b"]).select("id", "root")
+        order = F.xxhash64("id", F.lit(turn))
+        hubs = large.where("main = 1").groupBy("key", F.pmod(order, F.lit(HUBS))).agg(F.min(F.struct(order.alias("o"), "id", "a", "b", "n")).alias("x"))
+        hubs = hubs.groupBy("key").agg(F.collect_list("x").alias("hubs")).join(state.where(F.col("weight") > weight).select("key", "size"), "key")
+        tried = joined(large.where("main = 0").drop("size"), stored(hubs), ["key"], "id", "size")
+        best = F.array_min(F.transform(F.filter("hubs", near), lambda x: F.struct(far(x).alias("d"), x["id"].alias("id"))))
+        pairs = tried.select("id", best.alias("x")).where("x is not null").groupBy("id").agg(F.min("x").alias("x"))
+        good = verified(pairs.select(F.col("id").alias("u"), F.col("x.id").alias("v")), sets, similarity)
+        joins = good.count()
+        if joins:
+            root = roots(good.unionByName(root.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+        turn, trying = turn + 1, joins * 10 >= outside
+        discard(now, state, rest)
+    # Tiles, those of small buckets being the buckets.
+    small = rest.where(F.col("weight") <= weight).select("key", F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(0).alias("side"), "id", "a", "b", "n", "g")
+    every = small if not outside else small.unionByName(tiles(large.select("key", "main", "w", (F.bit_count("a") + F.bit_count("b")).alias("pop"), "id", "a", "b", "n", "g"), radius, weight))
+    dealt = every.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    flagged = stored(dealt.mapInArrow(lambda x: flag(x, similarity), f"{PLACE}, {NODE}"))
+    full = flagged.join(sets, "id").select("key", "p", "q", "side", "id", "a", "b", "n", "g", "z").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    good = stored(full.mapInArrow(lambda x: confirm(x, similarity), "u long, v long"))
+    if not good.isEmpty():
+        root = roots(good.unionByName(root.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    discard(met, now, state, rest, flagged, sets)
+    of_node = stored(nodes.join(root, nodes["id"] == root["node"], "left").select("a", "b", "h", "copies", F.coalesce("root", "id").alias("root")))
+    return joined(own.select("id", "a", "b", "h"), of_node, ["a", "b", "h"], "id", "copies").select("id", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -416,7 +509,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     if not seen["n"] == seen["i"] == seen["d"]:
         key = "_" * (max(map(len, docs.columns)) + 1)
         rows = checkpoint(docs.orderBy(F.col(f"`{id_col}`").asc_nulls_last(), F.col(f"`{text_col}`")).withColumn(key, F.monotonically_increasing_id()))
-    gone = checkpoint(groups(rows, words, similarity, key, text_col).where("id != root").select("id"))
+    gone = stored(groups(rows, words, similarity, key, text_col).where("id != root").select("id"))
     few = gone.count() <= BROADCAST_IDS
     kept = rows.join(F.broadcast(gone) if few else gone, F.col(f"`{key}`") == gone["id"], "left_anti")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

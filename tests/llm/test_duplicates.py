@@ -66,7 +66,7 @@ def test_null_ids_and_repeats_in_simhash(spark):
 
 def test_components(spark):
     rng = random.Random(1)
-    pairs = [(i, i + 1) for i in range(200)] + [(500, 500)] + [(1000, rng.randrange(1001, 1100)) for _ in range(80)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(60)]
+    pairs = [(i, i + 1) for i in range(200)] + [(500, 500)] + [(1000, rng.randrange(1001, 1100)) for _ in range(80)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(110)]
     got = {r["node"]: r["root"] for r in roots(spark.createDataFrame(pairs, "u long, v long")).collect()}
     want = components(3000, pairs)
     nodes = {x for p in pairs if p[0] != p[1] for x in p}
@@ -120,6 +120,52 @@ def test_near_copies_off_the_hub_are_joined(spark):
     assert len(set(want)) == 31 and kept == set(want)
 
 
+def borderline_rows(groups: int, large: int) -> list[tuple[int, str]]:
+    """Groups of six texts with one or two changed words of 110, around the similarity of 0.8, and one large group of such."""
+    rng = random.Random(1)
+    vocab = [f"w{i}" for i in range(5000)]
+    rows: list[tuple[int, str]] = []
+    for size in [6] * groups + [large]:
+        base = [rng.choice(vocab) for _ in range(110)]
+        for _ in range(size):
+            x = list(base)
+            for _ in range(rng.choice((1, 2))):
+                x[rng.randrange(110)] = rng.choice(vocab)
+            rows.append((len(rows), " ".join(x)))
+    return rows
+
+
+def test_borderline_groups_and_hot_buckets(spark, monkeypatch):
+    rows = borderline_rows(100, 300)
+    sets = [sets_of(t) for _, t in rows]
+    holders: dict = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    shared: dict = {}
+    for own in holders.values():
+        for p in itertools.combinations(own, 2):
+            shared[p] = shared.get(p, 0) + 1
+    linked = [p for p, k in shared.items() if k >= 0.8 * (len(sets[p[0]]) + len(sets[p[1]]) - k)]
+    want = components(len(rows), linked)
+    monkeypatch.setattr(simhash, "HOT_ROWS", 20)
+    for weight in (simhash.TILE_WEIGHT, 32):
+        got = {r["id"]: r["root"] for r in simhash.groups(edge_docs(spark, [(i, t, None, None, None) for i, t in rows]), weight=weight).collect()}
+        assert sum(got[a] == got[b] for a, b in linked) >= 0.98 * len(linked)
+        assert all(want[i] == want[r] for i, r in got.items())
+    assert 150 < len(set(want)) < 600 and len(linked) > 10_000
+
+
+def test_tiles_by_population_count_lose_no_pair():
+    rng = np.random.default_rng(2)
+    x, y = (rng.integers(0, 1 << 63, n, np.uint64) & rng.integers(0, 1 << 63, n, np.uint64) for n in (300, 200))
+    y[:100] = x[:100] ^ (np.uint64(1) << rng.integers(0, 63, 100).astype(np.uint64))
+    want = {(i, j) for i in range(300) for j in range(200) if int(x[i] ^ y[j]).bit_count() <= 8}
+    for tile in (7, 256):
+        found = [z for i, j, _ in simhash.tiled((x,), (y,), 8, tile) for z in zip(i.tolist(), j.tolist(), strict=True)]
+        assert len(found) == len(set(found)) and set(found) == want
+
+
 def plain_dedup(rows: list[tuple], k: int = 20) -> list[tuple]:
     seen, out = set(), []
     for key, text in rows:
@@ -207,7 +253,7 @@ def test_decontamination(spark, small):
 def test_recall_holds_for_each_size_of_item():
     rng = random.Random(4)
     vocab = [f"w{i}" for i in range(3000)]
-    items = [(i, " ".join(rng.choice(vocab) for _ in range((10, 150)[i % 2]))) for i in range(60)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range((10, 150)[i % 2]))) for i in range(110)]
     texts, want = [], []
     for i, text in items * 4:
         w = text.split()
