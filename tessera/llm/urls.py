@@ -4,7 +4,7 @@ Labelled outcomes of pages are counted by host. Rates are shrunk level by level:
 suffix towards the whole, a registered domain towards its suffix, a host towards its
 domain. The strength of each level's beta prior comes from how much the rates of its
 members differ beyond chance. A host is blocked if the lower bound of its posterior
-rate of bad pages is above a limit.
+rate of bad pages is above a limit; a host without labels has that of its prior.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import stored
+
 #: The rules of the query, as (host, path, verdict).
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: Second labels under which names are registered one level further down.
@@ -64,15 +66,17 @@ def _strength(members: DataFrame, prior: Column) -> Column:
 
 
 def reputation(outcomes: DataFrame) -> DataFrame:
-    """(host, labelled, bad, prior, strength, rate, bound) of each labelled host.
+    """(host, labelled, bad, prior, strength, rate, bound) of each host.
 
-    outcomes: (host, bad) rows with bad 0 or 1; nulls in either are left out. Every level
-    is grouped from the counts of the one below, so a host that holds most pages is one
-    row after the first, map-side combined aggregation.
+    outcomes: (host, bad) rows with bad 0 or 1, or null for a host to judge without a label;
+    null hosts are left out. A host without labels changes no rate and no strength; it gets
+    its domain's rate, or its suffix's or the whole's, as its prior. Hosts are counted once
+    and written; every level is grouped from the counts of the one below, so a host that
+    holds most pages is one row after the first, map-side combined aggregation.
     """
-    hosts = outcomes.where(F.col("host").isNotNull() & F.col("bad").isNotNull()).groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum("bad").cast("double").alias("y"))
+    hosts = outcomes.where(F.col("host").isNotNull()).groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("y"))
     domain, suffix = levels(F.col("host"))
-    hosts = hosts.withColumns({"domain": domain, "suffix": suffix})
+    hosts = stored(hosts.withColumns({"domain": domain, "suffix": suffix}))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
     # Add-one keeps the whole's rate inside (0, 1) and defined when nothing is labelled.
@@ -98,14 +102,14 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     """One row per page: host, path, the rule that fits, verdict, and its host's bound.
 
     labels: (page_id, bad), bad 0 or 1; a page may have several or none. A rule's verdict
-    goes before the method's; a host without labelled pages is allowed, as the prior alone
-    never blocks. A url that is null or has no ``://`` has an empty host and path and the
+    goes before the method's; a host without labelled pages is judged by its prior. A url that is null or has no ``://`` has an empty host and path and the
     verdict of the empty host. Null ids keep their row and have no label; repeated rows
     give repeated rows; an empty table gives none. Other columns are not read.
     """
     host, path = host_and_path(F.col("url"))
     found = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
-    outcomes = found.select("page_id", "host").join(labels.select("page_id", "bad"), "page_id")
+    labelled = found.select("page_id", "host").join(labels.select("page_id", F.col("bad").cast("int").alias("bad")), "page_id").select("host", "bad")
+    outcomes = labelled.unionByName(found.select("host", F.lit(None).cast("int").alias("bad")))
     known = reputation(outcomes).select(F.col("host").alias("known"), "labelled", "rate", "bound")
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     # Skewed hosts are split by the adaptive join; the table of hosts has one row each.
@@ -123,8 +127,8 @@ WITH u AS (
   SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
 ), o AS (
-  SELECT host, count(*)::DOUBLE AS n, sum(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END)::DOUBLE AS y
-  FROM f JOIN labels ON doc_id = page_id WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY host
+  SELECT host, count(l.doc_id)::DOUBLE AS n, coalesce(sum(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) FILTER (l.doc_id IS NOT NULL), 0)::DOUBLE AS y
+  FROM f LEFT JOIN (SELECT * FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL) l ON l.doc_id = page_id GROUP BY host
 ), h0 AS (
   SELECT *, string_split(host, '.') AS q, regexp_matches(host, '^[0-9.:\[\]]*$') AS num FROM o
 ), h AS (
