@@ -6,7 +6,9 @@ import hashlib
 import re
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera.llm.common import map_rows
 
@@ -111,8 +113,23 @@ def more_spans(text: str) -> list[tuple[str, int, int]]:
     """Candidates of the other kinds that their validators confirm."""
     if not DIGIT.search(text):
         return []
-    found = [("iban", m.start(), m.end()) for m in IBAN.finditer(text) if mod97(m[0])]
-    return found + [("ssn", m.start(), m.end()) for m in SSN.finditer(text)]
+    return ibans(text) + [("ssn", m.start(), m.end()) for m in SSN.finditer(text)]
+
+
+def ibans(text: str) -> list[tuple[str, int, int]]:
+    """Account numbers, by the longest end at a word boundary that passes the check.
+
+    A match also takes in upper-case words after a number. Where no end of it holds, the
+    search goes on right after its start.
+    """
+    found, at = [], 0
+    while m := IBAN.search(text, at):
+        ends = [m.end(), *(i for i in range(m.end() - 1, m.start(), -1) if text[i] == " ")]
+        end = next((e for e in ends if mod97(text[m.start() : e])), None)
+        if end is not None:
+            found.append(("iban", m.start(), end))
+        at = end or m.start() + 2
+    return found
 
 
 def context_score(text: str, kind: str, start: int, end: int) -> float:
@@ -173,12 +190,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
 
 
 def redact_column(docs: DataFrame, text_col: str = "text", threshold: float = 0.6) -> DataFrame:
-    """The documents with personal data in ``text_col`` replaced; all columns and rows stay."""
-    from pyspark.sql import functions as F
-    from pyspark.sql.types import StringType
+    """The documents with personal data in ``text_col`` replaced; all columns and rows stay.
+
+    A null text stays null and an empty one empty; whole texts of any length are searched;
+    rows are changed one by one, so ids may be null or repeat; an empty table gives none.
+    """
 
-    @F.udf(StringType(), useArrow=True)
-    def clean(text: str | None) -> str | None:
-        return redact(text, threshold)
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([redact(t, threshold) if isinstance(t, str) else None for t in texts], dtype=object)
 
-    return docs.withColumn(text_col, clean(F.col(f"`{text_col}`")))
+    return docs.withColumn(text_col, F.pandas_udf(clean, "string")(F.col(f"`{text_col}`")))
