@@ -7,6 +7,7 @@ import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from itertools import accumulate
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -116,14 +117,15 @@ def find(text: str | None, reach: int = SCOPE_CHARS) -> tuple[list[tuple[str, in
     found = parts(text, base)
     weak = []
     if any(p.role.startswith("weak_") for p in found) and len({p.role.removeprefix("weak_") for p in found}) > 1:
-        taken = [(s, e) for _, s, e in base]
-        weak = [(p.role, p.start, p.end) for p in link(found, scopes(text), reach) if not _covered(p, taken)]
+        starts, furthest = [s for _, s, _ in base], list(accumulate((e for _, _, e in base), max))
+        weak = [(p.role, p.start, p.end) for p in link(found, scopes(text), reach) if not _covered(p, starts, furthest)]
     return base, sorted(base + weak, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
-def _covered(p: Part, taken: list[tuple[int, int]]) -> bool:
-    """Whether a base span holds part of it. taken is in order of start."""
-    return any(s < p.end and p.start < e for s, e in taken)
+def _covered(p: Part, starts: list[int], furthest: list[int]) -> bool:
+    """Whether a base span holds part of it. starts: of base spans, in order; furthest: the greatest end up to each."""
+    before = bisect_left(starts, p.end)
+    return before > 0 and furthest[before - 1] > p.start
 
 
 def listed(spans: list[tuple[str, int, int]]) -> str:
