@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,12 +25,11 @@ BUCKETS = 1 << 15
 SAMPLE_PER_LANGUAGE = 2000
 SMOOTHING = 0.1
 EM_STEPS = 8
-MAX_SET = 4
 #: Nats that each further language must earn, times the log of the word count.
 PENALTY = 1.5
 #: Bytes scored at once; only the words' scores of longer texts are held whole.
 PIECE_BYTES = 1 << 20
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, *range(9, 14)]] = True
 _LETTER = np.zeros(256, bool)
@@ -118,12 +118,17 @@ def mixtures(scores: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
     alone = np.add.reduceat(scores.astype(np.float64), begins, axis=0)
     best[np.arange(n_docs), alone.argmax(axis=1)] = 1.0
     best_value = alone.max(axis=1)
-    for k in range(2, min(MAX_SET, n_lang) + 1):
+    idle = 0
+    for k in range(2, n_lang + 1):
         start = np.where(place < k, full + 1e-6, 0.0)
         pi, value = fit(start / start.sum(axis=1, keepdims=True))
         value = value - PENALTY * (k - 1) * np.log(count + 1.0)
         better = value > best_value
         best[better], best_value[better] = pi[better], value[better]
+        # Sets of further languages that two sizes running suit no document suit none.
+        idle = 0 if better.any() else idle + 1
+        if idle == 2:
+            break
     return best
 
 
@@ -165,7 +170,13 @@ SCHEMA = "doc_id long, lang_pred string, score double, langs string"
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Predictions of a fitted table: the leading language, its share and the chosen set."""
+    """Predictions of a fitted table: the leading language, its share and the chosen set.
+
+    A null or empty text, or one without a letter (of any script), is ``und`` with score 0,
+    and so is every text without a learned language. Of equal shares the first language by
+    name leads. A very long text is scored in pieces, its words' scores held. Null and
+    repeated ids keep their rows; an empty table gives none.
+    """
     langs, table = model
 
     def rows(keys: list, texts: list) -> dict[str, list]:
@@ -204,7 +215,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     model; language, source and id are no inputs of a prediction. A text that is null or
     without a letter is ``und`` with score 0, as is every text if nothing could be
     learned. A null id is in no held-out fold; repeated rows give repeated rows; an empty
-    table gives none. Words without a letter are skipped.
+    table gives none. Words without a letter are skipped. A very long text is scored in
+    pieces, its words' scores held; of equal shares the first language by name leads.
     """
     model = fit_table(docs, id_col, text_col, lang_col, per_language)
     return predict(docs, model, id_col, text_col).withColumn("held_out", fold("doc_id") == 0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -162,6 +163,99 @@ def test_mixtures_have_several_languages(spark):
     assert langid.identify(edge_docs(spark)).count() == len(edge_rows())
 
 
+def test_letters_are_those_of_any_script(spark):
+    rows = [(i, "the cat sat on the mat with words", "en", None, None) for i in range(20)] + [(100 + i, "le chat est sur la table avec mots", "fr", None, None) for i in range(20)]
+    model = langid.fit_table(edge_docs(spark, rows), "doc_id", "text", "lang", 100)
+    texts = ["12 ½", "² Ⅷ ☃", "", None, "é", "я", "the", "12 the ½"]
+    got = {r["doc_id"]: r for r in langid.predict(edge_docs(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]), model).collect()}
+    assert [got[i]["lang_pred"] == "und" for i in range(8)] == [True] * 4 + [False] * 4
+    # Of languages that fit alike the first by name leads.
+    twins = langid.fit_table(edge_docs(spark, [(i, "same words here", "ba"[i % 2], None, None) for i in range(40)]), "doc_id", "text", "lang", 100)
+    tie = langid.predict(edge_docs(spark, [(1, "same words", None, None, None)]), (twins[0], np.repeat(twins[1][:, :1], 2, axis=1))).collect()
+    assert tie[0]["lang_pred"] == "a"
+
+
+def plain_mixture(scores: list[list[float]]) -> list[float]:
+    """One document's words, one step at a time."""
+    n, langs = len(scores), len(scores[0])
+
+    def fit(pi: list[float]) -> tuple[list[float], float]:
+        like = [[math.exp(max(x - max(row), -60)) for x in row] for row in scores]
+        for _ in range(langid.EM_STEPS):
+            sums = [0.0] * langs
+            for row in like:
+                z = sum(p * x for p, x in zip(pi, row, strict=True))
+                sums = [s + p * x / z for s, p, x in zip(sums, pi, row, strict=True)]
+            pi = [s / n for s in sums]
+        return pi, sum(max(row) + math.log(sum(p * x for p, x in zip(pi, r, strict=True))) for row, r in zip(scores, like, strict=True))
+
+    full, _ = fit([1 / langs] * langs)
+    order = sorted(range(langs), key=lambda k: (-full[k], k))
+    alone = [sum(row[k] for row in scores) for k in range(langs)]
+    best = max(range(langs), key=lambda k: (alone[k], -k))
+    found, value = [float(k == best) for k in range(langs)], alone[best]
+    for k in range(2, langs + 1):
+        start = [full[x] + 1e-6 if x in order[:k] else 0.0 for x in range(langs)]
+        pi, v = fit([x / sum(start) for x in start])
+        if v - langid.PENALTY * (k - 1) * math.log(n + 1) > value:
+            found, value = pi, v - langid.PENALTY * (k - 1) * math.log(n + 1)
+    return found
+
+
+def test_mixtures_are_those_of_a_plain_version():
+    rng = np.random.default_rng(3)
+    langs, docs = 7, 40
+    sizes = rng.integers(1, 90, docs)
+    scores, doc = [], np.repeat(np.arange(docs), sizes)
+    for n in sizes:
+        spoken = rng.choice(langs, rng.integers(1, 7), replace=False)
+        rows = rng.normal(-30, 2, (n, langs))
+        rows[np.arange(n), rng.choice(spoken, n)] += 15
+        scores.append(rows.astype(np.float32))
+    got = langid.mixtures(np.concatenate(scores), doc, docs)
+    for have, rows in zip(got, scores, strict=True):
+        assert have == pytest.approx(plain_mixture(rows.tolist()), abs=2e-3)
+    assert max((x > 0).sum() for x in got) >= 5
+
+
+def test_lm_score_is_that_of_plain_counts(spark, small):
+    docs = table(spark, small, "documents").select("doc_id", "text")
+    got = {r["doc_id"]: r["score"] for r in lm.score(docs, chunk_bytes=20_000, bucket_ngrams=2_000).collect()}
+    seen = docs.agg(F.sum(F.octet_length("text") + 1).alias("b")).collect()[0]["b"]
+    chunks = max(lm.HELD_OUT, -(-seen // 20_000))
+    rows = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(None).cast("string")), F.lit(chunks)).cast("int")).collect()
+    role = {r["doc_id"]: "test" if crc(r["doc_id"]) == 1 else "dev" if r["chunk"] % lm.HELD_OUT == 0 else "train" for r in rows}
+    tokens = {r["doc_id"]: [*words(lower(r["text"])), None] for r in rows}
+
+    def counted(roles: tuple[str, ...]) -> tuple[Counter, Counter, int]:
+        own = [i for i in tokens if role[i] in roles]
+        return Counter(x for i in own for x in tokens[i]), Counter(p for i in own for p in zip([0, *tokens[i]], tokens[i], strict=False)), len(own)
+
+    def parts(w: list, one: Counter, two: Counter, n_docs: int) -> list[tuple[float, float, int]]:
+        total, out = sum(one.values()), []
+        for a, b in zip([0, *w], w, strict=False):
+            before = n_docs if a == 0 else one[a]
+            out.append((two[a, b] / before if before else 0.0, one[b] / total, min(int(math.log2(before)) + 1, lm.CONTEXTS - 1) if before else 0))
+        return out
+
+    one, two, n = counted(("train",))
+    held = [x for i in tokens if role[i] == "dev" for x in parts(tokens[i], one, two, n)]
+    assert held
+    weights = [[0.4, 0.5, 0.1] for _ in range(lm.CONTEXTS)]
+    for _ in range(lm.EM_STEPS):
+        sums = [[0.0] * 3 for _ in range(lm.CONTEXTS)]
+        for a, b, c in held:
+            r = [w * x for w, x in zip(weights[c], (a, b, 1 / (len(one) + 1)), strict=True)]
+            sums[c] = [s + x / sum(r) for s, x in zip(sums[c], r, strict=True)]
+        weights = [[x / sum(s) for x in s] if sum(s) else w for s, w in zip(sums, weights, strict=True)]
+    weights = [[w[0], w[1], max(w[2], lm.LEAST_UNIFORM)] for w in weights]
+    weights = [[x / sum(w) for x in w] for w in weights]
+    one, two, n = counted(("train", "dev"))
+    for i, w in tokens.items():
+        want = sum(math.log10(weights[c][0] * a + weights[c][1] * b + weights[c][2] / (len(one) + 1)) for a, b, c in parts(w, one, two, n))
+        assert got[i] == pytest.approx(want, rel=2e-3)
+
+
 def test_pipeline(spark, small):
     docs = table(spark, small, "documents")
     left = docs
