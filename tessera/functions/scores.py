@@ -54,11 +54,10 @@ def verdict(entail: Column, contradict: Column, has_evidence: Column) -> Column:
 
 
 def budget_weights(weight: Column, *keys: str) -> Column:
-    """Weights that add to 1 within ``keys``; equal ones where none is above 0."""
+    """Weights over their sum within ``keys``; equal ones where the sum is not above 0. Rows without a text are to be left out before."""
     w = Window.partitionBy(*keys)
-    positive = F.greatest(F.coalesce(weight, F.lit(0.0)), F.lit(0.0))
-    total = F.sum(positive).over(w)
-    return F.when(total > 0, positive / F.when(total > 0, total)).otherwise(1.0 / F.count(F.lit(1)).over(w))
+    total = F.sum(weight).over(w)
+    return F.when(total > 0, F.coalesce(weight, F.lit(0.0)) / F.when(total > 0, total)).otherwise(1.0 / F.count(F.lit(1)).over(w))
 
 
 def year_of(versions: Column, update_date: Column) -> Column:

@@ -20,6 +20,8 @@ DOI_ID = r"(?i)(?:https?://(?:dx\.)?doi\.org/|doi:\s*)(10\.\d{4,}/\S+)"
 ATOMIC = r"\b\d+|\b[A-Z]{2}[A-Z0-9\-]*\b|\b[A-Z][a-z]+-\d+\b"
 NOISE_TITLE = r"(?i)^(\d+\.?\s*)*$|^\s*$|^[ivx]+\.?\s*$|^\W+$|^(nan|none|null)$"
 PLACEHOLDER = r"\{\{formula:[^}]+\}\}|\bREF\b"
+TITLE_PLACES = [r"[\"“]([^\"”]{10,})[\"”]", r"'([^']{15,})'", r"^[^.]{3,}\.\s+([^.]{15,})\.", r"(?:[A-Z]\.\s*)+[A-Z][\w-]+,\s+([^,.]{15,})[,.]", r"^[^,]+,\s*([^,]{15,}),"]
+NLI_NAMES = {"entails": ["entailment", "entails", "support", "supported"], "neutral": ["neutral"], "contradicts": ["contradiction", "contradicts", "contradictory"]}
 FORMULA = r"\{\{formula:[^}]+\}\}"
 
 
@@ -100,8 +102,7 @@ def ids_in_text(raw: Column) -> Column:
 
 def title_hint(raw: Column) -> Column:
     """The likeliest title in a raw reference: quoted, else after the authors' part, else the first 120 characters."""
-    tries = [r"[\"“]([^\"”]{10,})[\"”]", r"'([^']{15,})'", r"^[^.]{3,}\.\s+([^.]{15,})\.", r"(?:[A-Z]\.\s*)+[A-Z][\w-]+,\s+([^,.]{15,})[,.]", r"^[^,]+,\s*([^,]{15,}),"]
-    return F.coalesce(*[F.nullif(F.trim(F.regexp_extract(raw, p, 1)), F.lit("")) for p in tries], F.trim(F.substring(raw, 1, 120)))
+    return F.coalesce(*[F.nullif(F.trim(F.regexp_extract(raw, p, 1)), F.lit("")) for p in TITLE_PLACES], F.trim(F.substring(raw, 1, 120)))
 
 
 def all_tokens(text: Column) -> Column:
@@ -133,14 +134,14 @@ def overlap(a: Column, b: Column) -> Column:
 
 
 def title_score(query: Column, candidate: Column, ratio: float = 1.5) -> Column:
-    """The best of Jaccard, containment of like lengths, and the candidate's coverage if it has three words."""
+    """The best of Jaccard, of the share that either word set has of the other where their sizes are alike,
+    and of the candidate's share in the query if it has three words."""
     a, b = title_tokens(query), title_tokens(candidate)
     na, nb, both = F.size(a), F.size(b), F.size(F.array_intersect(a, b))
-    x, y = title_norm(query), title_norm(candidate)
-    like = (F.length(x) <= F.length(y) * ratio) & (F.length(y) <= F.length(x) * ratio)
-    inside = F.when(like & (x.contains(y) | y.contains(x)), 1.0).otherwise(0.0)
+    alike = F.greatest(na, nb) <= F.least(na, nb) * ratio
+    within = F.when(alike, both / F.least(na, nb)).otherwise(0.0)
     cover = F.when(nb >= 3, both / nb).otherwise(0.0)
-    return F.when((na > 0) & (nb > 0), F.greatest(jaccard(a, b), inside, cover)).otherwise(0.0)
+    return F.when((na > 0) & (nb > 0), F.greatest(jaccard(a, b), within, cover)).otherwise(0.0)
 
 
 def claim_type(text: Column) -> Column:
@@ -187,18 +188,30 @@ def chunk_estimate(words: Column) -> Column:
 
 
 def metric_key(name: Column) -> Column:
-    """A metric's name without its bracketed kind, in lower case with underscores."""
-    return F.regexp_replace(F.lower(F.trim(F.regexp_replace(name, r"\[[^\]]*\]", ""))), r"[\s-]+", "_")
-
-
-def display_label(text: Column, words: int = 6) -> Column:
-    parts = F.split(F.trim(text), r"\s+")
-    return F.concat(F.array_join(F.slice(parts, 1, words), " "), F.when(F.size(parts) > words, "…").otherwise(""))
+    """A metric's name without the bracketed kind after it, in lower case, with underscores for spaces and hyphens."""
+    bare = F.regexp_replace(name, r"\s*\[[^\]]*\]\s*$", "")
+    bare = F.trim(F.regexp_replace(F.lower(F.replace(bare, F.lit("-"), F.lit(" "))), r"\s+", " "))
+    return F.replace(bare, F.lit(" "), F.lit("_"))
+
+
+def display_label(kind: Column, node: Column, text: Column, paper: Column, section: Column, index: Column, words: int = 6) -> Column:
+    """What a graph's node is called: a paper's id, a chunk's section and index, a claim's first words; else part of its own id."""
+    parts = F.array_remove(F.split(F.trim(F.coalesce(text, F.lit(""))), r"\s+"), "")
+    said = F.concat(F.array_join(F.slice(parts, 1, words), " "), F.when(F.size(parts) > words, "…").otherwise(""))
+    filled = lambda x: F.nullif(F.coalesce(x, F.lit("")), F.lit(""))
+    place = F.coalesce(F.substring(filled(section), 1, 22), F.lit("chunk"))
+    return (
+        F.when(kind == "paper", F.coalesce(filled(paper), F.substring(node, 1, 16)))
+        .when(kind == "chunk", F.concat_ws(" · ", place, index.cast("string")))
+        .when(kind == "claim", F.coalesce(filled(said), F.substring(node, -6, 6)))
+        .otherwise(F.substring(node, 1, 20))
+    )
 
 
 def key_phrases(text: Column, n: int = 2) -> Column:
-    """The first ``n`` pieces between full stops that aren't blank."""
-    return F.slice(F.filter(F.transform(F.split(text, r"\."), lambda x: F.trim(x)), lambda x: x != ""), 1, n)
+    """Of the first ``n`` pieces between full stops, those of over ten characters."""
+    pieces = F.transform(F.slice(F.split(text, r"\."), 1, n), lambda x: F.trim(x))
+    return F.filter(pieces, lambda x: F.length(x) > 10)
 
 
 def escape_latex(text: Column) -> Column:
@@ -212,8 +225,7 @@ def unescape_latex(text: Column) -> Column:
 def nli_label(raw: Column) -> Column:
     """The canonical label of an entailment model's one, or null."""
     low = F.translate(F.lower(F.trim(raw)), "_-", "  ")
-    return (
-        F.when(low.isin("entailment", "entails", "support", "supported"), "entails")
-        .when(low == "neutral", "neutral")
-        .when(low.isin("contradiction", "contradicts", "contradictory"), "contradicts")
-    )
+    found = F
+    for label, names in NLI_NAMES.items():
+        found = found.when(low.isin(*names), label)
+    return found.otherwise(F.lit(None).cast("string"))

@@ -30,35 +30,38 @@ def claim_scores(claims: DataFrame) -> DataFrame:
 
 
 def select_claims(scored: DataFrame, most: int = MOST_CLAIMS, least: int = LEAST_PER_SUB_QUERY) -> DataFrame:
-    """Each sub-query's best claims up to a floor, then the best of the rest up to the total.
+    """(query_id, claim_id, claim_score, ordinal): claims that fill their sub-queries up to a floor, then the best of the rest.
 
-    The floor may exceed the total. scored: (query_id, claim_id, sub_queries array<int>, claim_score).
-    A claim that serves two sub-queries counts for both: a greedy pass a query, whose
-    claims are few.
+    scored: (query_id, claim_id, text, sub_queries array<int>, n_sub_queries, claim_score). In
+    order of score, a claim goes to the first of its sub-queries that is not yet full; one
+    without any counts for sub-query 0. The floor is the greater of ``least`` and an even
+    share of ``most``, and may lead beyond ``most``. Of claims of one text the first counts.
+    Ordinals follow the order of choice. A query's claims are few, so they are one array.
     """
-    schema = "query_id long, claim_id string, claim_score double, ordinal int"
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values(["claim_score", "claim_id"], ascending=[False, True])
-        taken: list[str] = []
-        served: dict[int, int] = {}
-        for s in sorted({int(s) for x in ordered["sub_queries"] for s in x}):
-            for c, subs in zip(ordered["claim_id"], ordered["sub_queries"], strict=True):
-                if served.get(s, 0) >= least:
-                    break
-                if s in subs and c not in taken:
-                    taken.append(c)
-                    for t in subs:
-                        served[int(t)] = served.get(int(t), 0) + 1
-        for c in ordered["claim_id"]:
-            if len(taken) >= most:
-                break
-            if c not in taken:
-                taken.append(c)
-        out = ordered[ordered["claim_id"].isin(taken)]
-        return pd.DataFrame({"query_id": out["query_id"], "claim_id": out["claim_id"], "claim_score": out["claim_score"], "ordinal": range(1, len(out) + 1)})
-
-    return scored.select("query_id", "claim_id", "sub_queries", "claim_score").groupBy("query_id").applyInPandas(choose, schema)
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col("claim_score")).alias("down"), "claim_id", "text", "sub_queries")))
+    many = F.greatest(F.max("n_sub_queries"), F.lit(1))
+    widest = F.greatest(many, 1 + F.coalesce(F.max(F.array_max("sub_queries")), F.lit(0)))
+    per = scored.groupBy("query_id").agg(ranked.alias("ranked"), F.greatest(F.lit(least), F.floor(F.lit(most) / many)).cast("int").alias("floor"), widest.cast("int").alias("widest"))
+    strings = F.array().cast("array<string>")
+    start = F.struct(F.array_repeat(F.lit(0), F.col("widest")).alias("full"), strings.alias("taken"), strings.alias("texts"))
+
+    def fill(s: Column, x: Column) -> Column:
+        own = F.when(F.size(x["sub_queries"]) > 0, x["sub_queries"]).otherwise(F.array(F.lit(0)))
+        to = F.get(F.filter(own, lambda q: F.get(s["full"], q) < F.col("floor")), F.lit(0))
+        goes = to.isNotNull() & ~F.array_contains(s["texts"], x["text"])
+        return F.when(goes, F.struct(
+            F.transform(s["full"], lambda n, i: n + (i == to).cast("int")).alias("full"),
+            F.array_append(s["taken"], x["claim_id"]).alias("taken"), F.array_append(s["texts"], x["text"]).alias("texts"),
+        )).otherwise(s)
+
+    def rest(s: Column, x: Column) -> Column:
+        goes = (F.size(s["taken"]) < most) & ~F.array_contains(s["texts"], x["text"])
+        return F.when(goes, F.struct(s["full"].alias("full"), F.array_append(s["taken"], x["claim_id"]).alias("taken"), F.array_append(s["texts"], x["text"]).alias("texts"))).otherwise(s)
+
+    filled = per.withColumn("state", F.aggregate("ranked", start, fill)).withColumn("state", F.aggregate("ranked", F.col("state"), rest))
+    chosen = filled.select("query_id", "ranked", F.posexplode("state.taken").alias("at", "claim_id"))
+    score = F.get(F.filter("ranked", lambda x: x["claim_id"] == F.col("claim_id")), F.lit(0))["down"]
+    return chosen.select("query_id", "claim_id", (-score).alias("claim_score"), (F.col("at") + 1).cast("int").alias("ordinal"))
 
 
 def sentence_citations(sentences: DataFrame, selected: DataFrame) -> DataFrame:

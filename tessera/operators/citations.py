@@ -44,18 +44,26 @@ def resolve_in_text(refs: DataFrame) -> DataFrame:
 
 
 def match_registry(refs: DataFrame, registry: DataFrame, accept: float = 0.85) -> DataFrame:
-    """The best registry title of each reference that scores ``accept``, among those that share a word with its hint.
+    """The first registry title by priority, rank and DOI that scores ``accept`` with each reference's hint.
 
-    refs: (source_ref_id, raw); registry: (priority, rank, title, doi). Blocking is by the
-    rarest word of the hint, so a word that most titles have does not join all of them.
+    refs: (source_ref_id, raw); registry: (priority, rank, title, doi). A score of ``accept``
+    asks that the two share so much of one side's words. Then of that side's words, rarest
+    first, one of the first n - ceil(accept * n) + 1 is shared; pairs meet in those alone,
+    which loses no match and keeps words that most titles have out of the join.
     """
-    words = registry.select("priority", "rank", "title", "doi", F.explode(F.array_distinct(title_tokens(F.col("title")))).alias("word"))
-    rarity = words.groupBy("word").agg(F.count("*").alias("n"))
-    hinted = refs.select("source_ref_id", title_hint(F.col("raw")).alias("hint"))
-    asked = hinted.select("source_ref_id", "hint", F.explode(F.array_distinct(title_tokens(F.col("hint")))).alias("word")).join(rarity, "word")
-    rare = Window.partitionBy("source_ref_id").orderBy("n", "word")
-    asked = asked.withColumn("place", F.row_number().over(rare)).where("place <= 3").select("source_ref_id", "hint", "word")
-    met = asked.join(words, "word").select("source_ref_id", "hint", "priority", "rank", "title", "doi").distinct()
+    titles = registry.select("priority", "rank", "title", "doi", title_tokens(F.col("title")).alias("words"))
+    hints = refs.select("source_ref_id", title_hint(F.col("raw")).alias("hint")).withColumn("words", title_tokens(F.col("hint")))
+    each = lambda df: df.select(*[c for c in df.columns if c != "words"], F.size("words").alias("n"), F.explode("words").alias("word"))
+    a, b = each(hints), each(titles)
+    often = b.groupBy("word").agg(F.count("*").alias("often"))
+
+    def rarest(rows: DataFrame, keys: list[str]) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.coalesce("often", F.lit(0)), "word"))
+        return rows.join(often, "word", "left").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(accept * F.col("n") - 1e-9) + 1)
+
+    of_hint, of_title = ["source_ref_id", "hint"], ["priority", "rank", "title", "doi"]
+    met = rarest(a, ["source_ref_id"]).select("word", *of_hint).join(b.select("word", *of_title), "word")
+    met = met.unionByName(rarest(b, of_title).select("word", *of_title).join(a.select("word", *of_hint), "word")).select(*of_hint, *of_title).distinct()
     good = met.withColumn("match", title_score(F.col("hint"), F.col("title"))).where(F.col("match") >= accept)
     w = Window.partitionBy("source_ref_id").orderBy("priority", "rank", "doi")
     return good.withColumn("place", F.row_number().over(w)).where("place = 1").select("source_ref_id", "title", "doi", "match")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.retrieval import bounded
+from tessera.operators.tables import checkpoint
+
 
 def retrieval_metrics(ranked: DataFrame, gold: DataFrame, queries: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """Per query: rank of the first gold document, and hit, recall, precision, reciprocal rank and NDCG at each k.
@@ -34,22 +37,29 @@ def retrieval_metrics(ranked: DataFrame, gold: DataFrame, queries: DataFrame, ks
     return base.select(*out)
 
 
-def holders(documents: DataFrame, items: DataFrame, block: int = 1000) -> DataFrame:
+def holders(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(query_id, doc_id) where a document holds an item's whole text: gold for the item as a question.
 
-    documents: (doc_id, text); items: (query_id, text), a stated set that is looked for in
-    every text in blocks of bounded size. Blank items are held by none.
+    documents: (doc_id, text); items: (query_id, text). A holder has each word that stands
+    whole within the item, so the two meet in the item's rarest one and are then compared.
+    An item of one or two words has none such; it is looked for in every text. Blank items
+    are held by none.
     """
-    named = items.where(F.trim("text") != "").orderBy("query_id").collect()
-    out = None
-    for at in range(0, max(1, len(named)), block):
-        part = [F.struct(F.lit(r["query_id"]).alias("q"), F.lit(r["text"]).alias("t")) for r in named[at : at + block]]
-        if not part:
-            return documents.select(F.lit(0).cast("long").alias("query_id"), "doc_id").where("false")
-        held = F.transform(F.filter(F.array(*part), lambda x: F.col("text").contains(x["t"])), lambda x: x["q"])
-        found = documents.select(F.explode(held).alias("query_id"), "doc_id")
-        out = found if out is None else out.unionByName(found)
-    return out
+    named = items.where(F.trim("text") != "").select("query_id", F.col("text").alias("item"))
+    inner = F.regexp_extract_all(F.regexp_replace("item", r"^\S*|\S*$", ""), F.lit(r"(\S+)"), F.lit(1))
+    words = named.select("query_id", F.explode(F.array_distinct(inner)).alias("word"))
+    split = documents.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
+    met = checkpoint(split.join(bounded(words.select("word").distinct()), "word", "left_semi"))
+    often = met.groupBy("word").agg(F.count("*").alias("often"))
+    rarest = words.join(often, "word", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("n"), "word")).alias("x"))
+    pairs = rarest.select("query_id", F.col("x.word").alias("word")).join(met, "word").select("query_id", "doc_id")
+    held = pairs.join(named, "query_id").join(documents.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("item"))).select("query_id", "doc_id")
+    short = named.join(words.select("query_id").distinct(), "query_id", "left_anti")
+    if short.isEmpty():
+        return held.distinct()
+    # A stated set of short items against all rows.
+    every = documents.join(bounded(short), F.col("text").contains(F.col("item")))
+    return held.unionByName(every.select("query_id", "doc_id")).distinct()
 
 
 def graded_ndcg(ranked: DataFrame, k: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scores
 from tessera.functions.text import claim_type, judged_relation
+from tessera.operators.tables import checkpoint
 
 # Relations of evidence, and those that keep a claim within one hop.
 EVIDENCE = ["METHOD", "BACKGROUND", "RESULT_COMPARISON", "supports", "hop_evidence"]
@@ -54,42 +55,45 @@ def claims(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-def reach(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(src, dst) of every pair joined by a path, by doubling: rounds grow with the logarithm of the longest.
-
-    For graphs of one query each, which are small; keyed by query_id.
-    """
-    from tessera.operators.tables import checkpoint
-
-    now = checkpoint(edges.select("query_id", "src", "dst").distinct())
-    n = now.count()
-    for _ in range(max_rounds):
-        on = now.select("query_id", F.col("src").alias("dst"), F.col("dst").alias("next"))
-        now = checkpoint(now.unionByName(now.join(on, ["query_id", "dst"]).select("query_id", "src", F.col("next").alias("dst"))).distinct())
-        m = now.count()
-        if m == n:
-            return now
-        n = m
+def _peeled(edges: DataFrame) -> DataFrame:
+    """Edges whose ends both have an edge in and one out, by dropping others again and again."""
+    now, n = checkpoint(edges), -1
+    while n != (n := now.count()) and n:
+        into, out = now.select("query_id", F.col("dst").alias("src")).distinct(), now.select("query_id", F.col("src").alias("dst")).distinct()
+        now = checkpoint(now.join(into, ["query_id", "src"], "left_semi").join(out, ["query_id", "dst"], "left_semi"))
     return now
 
 
 def cyclic_nodes(edges: DataFrame) -> DataFrame:
-    """(query_id, node_id) on a cycle of evidence relations: those that reach themselves.
+    """(query_id, node_id) on a cycle of evidence relations.
 
-    Nodes without an edge in, or without one out, lie on none. They are peeled off first,
-    again and again, which leaves little of a nearly acyclic graph to search.
+    Nodes without an edge in or out are peeled off. In what is left, the greatest node that
+    leads to each node is its colour, and the nodes that lead back to a colour's own node
+    within the colour are one strongly connected component. Components are taken off until
+    nothing is left. Every step is a row a node, never a row a pair of nodes.
     """
-    from tessera.operators.tables import checkpoint
-
-    now = checkpoint(edges.where(F.col("relation").isin(*EVIDENCE)).select("query_id", "src", "dst").distinct())
-    n = now.count()
-    while n:
-        now = checkpoint(now.join(now.select("query_id", F.col("dst").alias("src")).distinct(), ["query_id", "src"], "left_semi").join(now.select("query_id", F.col("src").alias("dst")).distinct(), ["query_id", "dst"], "left_semi"))
-        m = now.count()
-        if m == n:
-            break
-        n = m
-    return reach(now).where("src = dst").select("query_id", F.col("src").alias("node_id"))
+    now = _peeled(edges.where(F.col("relation").isin(*EVIDENCE)).select("query_id", "src", "dst").distinct())
+    found = now.where("src = dst").select("query_id", F.col("src").alias("node_id"))
+    while not now.isEmpty():
+        nodes = now.select("query_id", F.col("src").alias("node")).distinct()
+        colour, moved = checkpoint(nodes.withColumn("c", F.col("node"))), 1
+        while moved:
+            came = now.join(colour.withColumnRenamed("node", "src"), ["query_id", "src"]).groupBy("query_id", F.col("dst").alias("node")).agg(F.max("c").alias("m"))
+            new = checkpoint(colour.join(came, ["query_id", "node"], "left").select("query_id", "node", F.greatest("c", F.coalesce("m", "c")).alias("c"), (F.col("m") > F.col("c")).alias("up")))
+            colour, moved = new.select("query_id", "node", "c"), new.where("up").count()
+        same = now.join(colour.withColumnRenamed("node", "src"), ["query_id", "src"]).join(colour.select("query_id", F.col("node").alias("dst"), "c"), ["query_id", "dst", "c"])
+        same = checkpoint(same.select("query_id", "src", "dst", "c"))
+        members = checkpoint(colour.where("node = c"))
+        front = members
+        while not front.isEmpty():
+            back = same.join(front.select("query_id", F.col("node").alias("dst")), ["query_id", "dst"]).select("query_id", F.col("src").alias("node"), "c").distinct()
+            front = checkpoint(back.join(members, ["query_id", "node"], "left_anti"))
+            members = checkpoint(members.unionByName(front))
+        large = members.groupBy("query_id", "c").agg(F.count("*").alias("n")).where("n > 1")
+        found = found.unionByName(members.join(large, ["query_id", "c"], "left_semi").select("query_id", F.col("node").alias("node_id")))
+        gone = members.select("query_id", F.col("node").alias("src"))
+        now = _peeled(now.join(gone, ["query_id", "src"], "left_anti").join(gone.withColumnRenamed("src", "dst"), ["query_id", "dst"], "left_anti"))
+    return found.distinct()
 
 
 def evidence_trail(claims_of: DataFrame, edges: DataFrame, kinds: DataFrame, depth: int = 5, most: int = 5) -> DataFrame:
@@ -106,7 +110,10 @@ def evidence_trail(claims_of: DataFrame, edges: DataFrame, kinds: DataFrame, dep
         new = first(new, ["query_id", "claim_id", "node_id"], ["relation"]).withColumn("depth", F.lit(d))
         if seen is not None:
             new = new.join(seen.select("query_id", "claim_id", "node_id"), ["query_id", "claim_id", "node_id"], "left_anti")
+        new = checkpoint(new)  # what the next level joins
         seen = new if seen is None else seen.unionByName(new)
+        if new.isEmpty():
+            break
         front = new.select("query_id", "claim_id", F.col("node_id").alias("at"))
     w = Window.partitionBy("query_id", "claim_id").orderBy("depth", "node_id")
     return seen.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scores
 from tessera.functions.text import all_tokens, fold_related_work
+from tessera.operators.tables import checkpoint
 
 #: Rows of query terms that a broadcast may hold; beyond it the join is shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -34,33 +35,39 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, term, tf) of the terms asked for. Counted inside each document's row, so no text is shuffled."""
-    wanted = bounded(terms.select("term").distinct())
+    """(doc_id, n_tokens, term, tf) of the terms asked for, and one row of a null term for each document.
+
+    Texts are read and split once: the rows are written, and the legs of a search share
+    them. Counts are added within a task first, so no text is shuffled.
+    """
+    wanted = bounded(terms.select("term").distinct()).withColumn("asked", F.lit(True))
     words = docs.select("doc_id", all_tokens(F.col("text")).alias("words"))
-    exploded = words.select("doc_id", F.size("words").alias("n_tokens"), F.explode("words").alias("term"))
-    return exploded.join(wanted, "term", "left_semi").groupBy("doc_id", "n_tokens", "term").agg(F.count("*").alias("tf"))
+    exploded = words.select("doc_id", F.size("words").alias("n_tokens"), F.explode(F.array_append("words", F.lit(None).cast("string"))).alias("term"))
+    met = exploded.join(wanted, "term", "left").where("asked OR term IS NULL")
+    return checkpoint(met.groupBy("doc_id", "n_tokens", "term").agg(F.count("*").alias("tf")))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, found: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank) of the best documents. Only positive scores count.
 
-    docs: (doc_id, text). queries: (query_id, text).
+    docs: (doc_id, text). queries: (query_id, text). found: their ``postings``, if at hand.
     """
     terms = query_terms(queries)
-    found = postings(docs, terms)
-    whole = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(all_tokens(F.col("text")))).alias("avg_tokens"))
-    frequency = found.groupBy("term").agg(F.count("*").alias("df"))
+    found = postings(docs, terms) if found is None else found
+    whole = found.where("term IS NULL").agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("n_tokens") * F.col("tf")) / F.sum("tf")).alias("avg_tokens"))
+    frequency = found.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = frequency.crossJoin(F.broadcast(whole)).select("term", "avg_tokens", idf.alias("idf"))  # a single row of totals
+    # A single row of totals; then a row a query and term, as few as the queries' words.
+    asked = bounded(terms).join(frequency.crossJoin(F.broadcast(whole)).select("term", "avg_tokens", idf.alias("idf")), "term")
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_tokens") / F.col("avg_tokens")))
-    scored = found.join(bounded(weighted), "term").join(bounded(terms), "term").groupBy("query_id", "doc_id").agg(settled(F.sum(F.col("idf") * tf)).alias("score"))
+    scored = found.join(bounded(asked), "term").groupBy("query_id", "doc_id").agg(settled(F.sum(F.col("idf") * tf)).alias("score"))
     return top_k(scored.where("score > 0"), k)
 
 
-def sparse(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def sparse(docs: DataFrame, queries: DataFrame, k: int = 10, found: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank) by the dot product of 1 + ln tf weights, each side at unit length over its asked-for terms."""
     terms = query_terms(queries)
-    found = postings(docs, terms).withColumn("w", 1 + F.log("tf"))
+    found = (postings(docs, terms) if found is None else found).where("term IS NOT NULL").withColumn("w", 1 + F.log("tf"))
     length = found.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
     asked = terms.withColumn("qw", 1 / F.sqrt(F.count("*").over(Window.partitionBy("query_id"))))
     scored = found.join(bounded(asked), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot")).join(length, "doc_id")
@@ -92,8 +99,8 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, block_rows: int =
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                docs = np.array(batch.column(0).to_pylist())
-                v = np.array(batch.column(1).to_pylist(), np.float64)
+                docs = batch.column(0).to_numpy()
+                v = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
                 s = np.round(q @ v.T, 9)
                 order = np.lexsort((np.broadcast_to(docs, s.shape), -s), axis=1)[:, :k]

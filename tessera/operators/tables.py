@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the session's ``spark.checkpoint.dir``; a session without one gets a folder of its own."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a local session without one gets a folder of its own, a cluster an error."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-ckpt-"))
+    return sc.getCheckpointDir()
 
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-ckpt-"))
-    return df.checkpoint(eager=True)
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a table in the shared folder, whose size the planner knows and whose columns are read one by one."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def latest(df: DataFrame, keys: list[str], order: list) -> DataFrame:

@@ -31,7 +31,6 @@ class Config:
     rerank: bool = True
     least_rerank: float = 0.0
     gamma: float = 0.10
-    claims_per_chunk: int = 3
     relevance: Callable[[Column, Column], Column] = field(default=lexical_relevance)
 
     def __post_init__(self) -> None:
@@ -54,7 +53,8 @@ class Engine:
         c = self.config
         legs = {"bm25": retrieval.bm25, "sparse": retrieval.sparse}
         docs = self.chunks.select("doc_id", "text")
-        found = [legs[name](docs, queries, c.prefetch) for name in c.legs]
+        shared = retrieval.postings(docs, retrieval.query_terms(queries))
+        found = [legs[name](docs, queries, c.prefetch, found=shared) for name in c.legs]
         hits = retrieval.reciprocal_rank_fusion(found, c.pool if c.rerank else c.top_k) if len(found) > 1 else retrieval.top_k(found[0].drop("rank"), c.pool)
         full = hits.join(self.chunks, "doc_id").join(queries.select("query_id", F.col("text").alias("query"), "targets"), "query_id")
         if c.rerank:
@@ -64,11 +64,11 @@ class Engine:
         return retrieval.diversity_cap(best, c.top_k, c.per_paper).select("query_id", "doc_id", "paper_id", "section", "text", "score", "rank")
 
     def claims(self, hits: DataFrame) -> DataFrame:
-        """Sentences of each hit as claims, the first few, all of them about the query."""
+        """Sentences of each hit as claims, all of them about the query."""
         from tessera.functions.text import sentences
 
-        each = hits.select("query_id", "doc_id", "rank", F.posexplode(F.slice(sentences(F.col("text")), 1, self.config.claims_per_chunk)).alias("i", "text"))
-        return each.select("query_id", (F.col("rank") * 100 + F.col("i")).alias("pos"), F.col("doc_id").cast("string").alias("chunk_uid"), F.lit("claim").alias("type"), "text", F.lit("finding").alias("subtype"), F.lit("BACKGROUND").alias("label"))
+        each = hits.select("query_id", "doc_id", "rank", F.posexplode(sentences(F.col("text"))).alias("i", "text"))
+        return each.select("query_id", (F.col("rank") * (1 << 32) + F.col("i")).alias("pos"), F.col("doc_id").cast("string").alias("chunk_uid"), F.lit("claim").alias("type"), "text", F.lit("finding").alias("subtype"), F.lit("BACKGROUND").alias("label"))
 
     def answer(self, queries: DataFrame) -> DataFrame:
         """(query_id, answer) of cited sentences."""
@@ -76,7 +76,7 @@ class Engine:
         nodes, edges = graph.claims(self.claims(hits))
         documents = hits.select("query_id", F.col("doc_id").cast("string").alias("chunk_uid"), "paper_id", "score", F.array(F.lit(0)).alias("sub_queries"))
         said = nodes.select("query_id", "claim_id", F.lit("Supported").alias("verdict"), F.lit(False).alias("low_confidence"))
-        kept = answers.collect_claims(nodes, documents, edges, said).join(queries.select("query_id", F.array("text").alias("sub_texts")), "query_id")
+        kept = answers.collect_claims(nodes, documents, edges, said).join(queries.select("query_id", F.array("text").alias("sub_texts"), F.lit(1).alias("n_sub_queries")), "query_id")
         chosen = answers.select_claims(answers.claim_scores(kept)).join(kept.select("query_id", "claim_id", "text", "chunk_uid", "paper_id"), ["query_id", "claim_id"])
         sentences = chosen.select("query_id", F.col("ordinal").alias("sentence_pos"), "text", F.array("ordinal").alias("claim_refs"))
         return answers.assemble(sentences, answers.sentence_citations(sentences, chosen))

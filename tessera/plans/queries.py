@@ -145,16 +145,19 @@ def token_jaccard(spark, d):
     return both.select("conv_id", "turn", F.round(text.jaccard(F.col("w"), F.col("next")), 6).alias("jaccard"), F.round(text.overlap(F.col("w"), F.col("next")), 6).alias("overlap"))
 
 
-@query(rf"""WITH t AS (SELECT p_partkey, p_name AS x, p_name || ' ' || p_brand AS y FROM part),
-w AS (SELECT p_partkey, {NORM.format('x')} AS x, {NORM.format('y')} AS y,
+@query(rf"""WITH t AS (SELECT p_partkey, p_name || ' in the deep sea of ' || p_type AS x, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' ' || p_type || ' ' || p_brand WHEN 2 THEN p_type ELSE p_name || ' sea' END AS y FROM part),
+w AS (SELECT p_partkey,
   list_distinct(list_filter(string_split_regex(lower(regexp_replace(x, '[^\p{{L}}\p{{N}}\s]', ' ', 'g')), '\s+'), lambda q: q <> '' AND NOT list_contains({_list(text.TITLE_STOP_WORDS)}, q))) AS a,
   list_distinct(list_filter(string_split_regex(lower(regexp_replace(y, '[^\p{{L}}\p{{N}}\s]', ' ', 'g')), '\s+'), lambda q: q <> '' AND NOT list_contains({_list(text.TITLE_STOP_WORDS)}, q))) AS b FROM t),
 n AS (SELECT *, len(list_intersect(a, b)) AS n FROM w)
 SELECT p_partkey, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE greatest(n / (len(a) + len(b) - n),
-  CASE WHEN length(x) <= 1.5 * length(y) AND length(y) <= 1.5 * length(x) AND (contains(x, y) OR contains(y, x)) THEN 1.0 ELSE 0.0 END,
+  CASE WHEN len(a) <= 1.5 * len(b) AND len(b) <= 1.5 * len(a) THEN greatest(n / len(a), n / len(b)) ELSE 0.0 END,
   CASE WHEN len(b) >= 3 THEN n / len(b) ELSE 0.0 END) END, 6) AS score FROM n""")
 def title_score(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.round(text.title_score(F.col("p_name"), F.concat_ws(" ", "p_name", "p_brand")), 6).alias("score"))
+    k = F.col("p_partkey") % 4
+    x = F.concat(F.col("p_name"), F.lit(" in the deep sea of "), F.col("p_type"))
+    y = F.when(k == 0, F.col("p_name")).when(k == 1, F.concat_ws(" ", "p_name", "p_type", "p_brand")).when(k == 2, F.col("p_type")).otherwise(F.concat_ws(" ", "p_name", F.lit("sea")))
+    return table(spark, d, "part").select("p_partkey", F.round(text.title_score(x, y), 6).alias("score"))
 
 
 @query(rf"""WITH {LINES}, m AS (SELECT doc_id, ord, CASE WHEN ord % 5 = 0 THEN '{{{{formula:' || substr(text, 1, 3) || '}}}} ' || substr(text, 1, 20) ELSE text END AS t FROM l)
@@ -176,10 +179,10 @@ def paper_year(spark, d):
     return table(spark, d, "orders").select("o_orderkey", scores.year_of(F.array(F.lit("none"), F.date_format("o_orderdate", "'on' d MMM yyyy")), F.lit("")).alias("year"))
 
 
-@query("""WITH w AS (SELECT conv_id, turn, greatest(length(text) - 100, 0)::DOUBLE AS w FROM conversations WHERE text IS NOT NULL)
+@query("""WITH w AS (SELECT conv_id, turn, (length(text) - 100)::DOUBLE AS w FROM conversations WHERE trim(text) <> '')
 SELECT conv_id, turn, round(CASE WHEN sum(w) OVER p > 0 THEN w / sum(w) OVER p ELSE 1.0 / count(*) OVER p END, 6) AS weight FROM w WINDOW p AS (PARTITION BY conv_id)""")
 def budget_weights(spark, d):
-    t = table(spark, d, "conversations").where("text IS NOT NULL")
+    t = table(spark, d, "conversations").where("trim(text) <> ''")
     return t.select("conv_id", "turn", F.round(scores.budget_weights((F.length("text") - 100).cast("double"), "conv_id"), 6).alias("weight"))
 
 
@@ -316,11 +319,12 @@ def hit_provenance(spark, d):
     return retrieval.provenance(_sectioned(spark, d).withColumn("sq_idx", F.col("query_id")), ("doc_id",)).select("doc_id", F.round("score", 6).alias("score"), "sub_queries")
 
 
-@query("""WITH c AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, (vec_id + 1) % 50 AS cited FROM embeddings WHERE vec_id % 10 = 0), k AS (SELECT vec_id AS u, embedding::DOUBLE[] AS w, vec_id % 50 AS paper FROM embeddings)
+@query("""WITH c AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, (vec_id + 1) % 50 AS cited FROM embeddings WHERE vec_id % 100 = 0), k AS (SELECT vec_id AS u, embedding::DOUBLE[] AS w, vec_id % 50 AS paper FROM embeddings)
 SELECT * FROM (SELECT id AS citation_id, u AS chunk_uid, round(list_cosine_similarity(v, w), 6) AS score, row_number() OVER (PARTITION BY id ORDER BY round(list_cosine_similarity(v, w), 9) DESC, u)::INT AS rank FROM c JOIN k ON cited = paper) WHERE rank <= 2""")
 def hop_join(spark, d):
+    """The stated queries, ids divisible by 100, against all rows."""
     e = table(spark, d, "embeddings")
-    cited = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("citation_id"), ((F.col("vec_id") + 1) % 50).cast("string").alias("arxiv"), F.lit("").alias("doi"), F.col("embedding").alias("vector"))
+    cited = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("citation_id"), ((F.col("vec_id") + 1) % 50).cast("string").alias("arxiv"), F.lit("").alias("doi"), F.col("embedding").alias("vector"))
     chunk = e.select(F.col("vec_id").alias("chunk_uid"), (F.col("vec_id") % 50).cast("string").alias("paper_arxiv"), F.lit(None).cast("string").alias("paper_doi"), F.col("embedding").alias("vector"))
     return retrieval.hop(cited, chunk, 2).select("citation_id", "chunk_uid", F.round("score", 6).alias("score"), "rank")
 
@@ -538,7 +542,7 @@ def judge_routing(spark, d):
 
 def _scored(spark, d):
     o = table(spark, d, "orders")
-    return o.select((F.col("o_custkey") % 100).cast("long").alias("query_id"), F.concat(F.lit("claim:"), F.col("o_orderkey")).alias("claim_id"), F.array((F.col("o_orderkey") % 3).cast("int"), (F.col("o_orderkey") % 5).cast("int")).alias("sub_queries"), F.col("o_totalprice").alias("claim_score"))
+    return o.select((F.col("o_custkey") % 100).cast("long").alias("query_id"), F.concat(F.lit("claim:"), F.col("o_orderkey")).alias("claim_id"), F.array((F.col("o_orderkey") % 3).cast("int"), (F.col("o_orderkey") % 5).cast("int")).alias("sub_queries"), F.lit(5).alias("n_sub_queries"), F.concat(F.lit("said "), F.col("o_orderkey") % 4000).alias("text"), F.col("o_totalprice").alias("claim_score"))
 
 
 @query()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import io
 import json
+import random
 import tarfile
 import uuid
 
@@ -14,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import imrad, scores, text
-from tessera.operators import answers, chunking, citations, graph, retrieval, sections, tables
+from tessera.operators import answers, chunking, citations, evaluation, graph, retrieval, sections, tables
 from tessera.plans.engine import Config
 from tessera.sources import readers, writers
 
@@ -144,3 +145,108 @@ def test_upsert_and_config(spark):
     assert sorted(map(tuple, tables.upsert(old, new, ["k"]).collect())) == [(1, "a"), (2, "B"), (3, "C")]
     with pytest.raises(ValueError):
         Config(top_k=0)
+
+
+def test_sentence_ends():
+    cut = lambda t: [t[b:e] for b, e in chunking.sentence_spans(t)]
+    assert cut("") == cut("  \n ") == []
+    assert cut(" One here.  Two (see Fig. 3) there! ") == ["One here.", "Two (see Fig. 3) there!"]
+    assert cut("The rate is 3.14 in all. By J. R. Smith et al. It holds.") == ["The rate is 3.14 in all.", "By J. R. Smith et al. It holds."]
+    assert cut('He said "no." Then left.') == ['He said "no."', "Then left."]
+    assert cut("Why? (Because.) [1] says so") == ["Why?", "(Because.)", "[1] says so"]
+    assert cut("end. lower goes on, e.g. This! Not i.e. That") == ["end. lower goes on, e.g. This!", "Not i.e. That"]
+    assert cut("! Odd start. And so on...") == ["!", "Odd start.", "And so on..."]
+    assert chunking.enclosing([(2, 5), (8, 9)], 0, 12) == (2, 5) and chunking.enclosing([(2, 5), (8, 9)], 6, 12) == (8, 9) == chunking.enclosing([(2, 5), (8, 9)], 8, 12)
+    assert chunking.enclosing([(2, 5), (8, 9), (10, 12)], 6, 12) == (10, 12) and chunking.enclosing([], 3, 7) == (0, 7)
+
+
+def test_titles_score_by_word_sets(spark):
+    pairs = [
+        ("BERT: Pre-training of Deep Bidirectional Transformers", "BERT: Pre-training of Deep Bidirectional Transformers for Language Understanding", 1.0),
+        ("deep learning", "deep learning of many unrelated graph problems at scale", 2 / 7), ("Attention", "Attention is all you need", 0.25), ("", "x", 0.0), ("$x$ energy gl_2", "energy gl 2", 1.0),
+    ]
+    df = spark.createDataFrame([(a, b, x) for a, b, x in pairs], "a string, b string, x double")
+    for r in df.withColumn("got", text.title_score(F.col("a"), F.col("b"))).collect():
+        assert r["got"] == pytest.approx(r["x"]), r
+
+
+def plain_selection(claims: list[tuple], n_sub: int, most: int, least: int) -> list[str]:
+    """claims: (id, text, sub-queries, score)."""
+    floor, full, chosen, said = max(least, most // max(n_sub, 1)), {}, [], set()
+    best_first = sorted(claims, key=lambda c: (-c[3], c[0]))
+    for c in best_first:
+        room = [q for q in (c[2] or [0]) if full.get(q, 0) < floor]
+        if c[1] not in said and room:
+            full[room[0]] = full.get(room[0], 0) + 1
+            chosen.append(c[0])
+            said.add(c[1])
+    for c in best_first:
+        if len(chosen) < most and c[1] not in said:
+            chosen.append(c[0])
+            said.add(c[1])
+    return chosen
+
+
+def test_claims_fill_their_sub_queries(spark):
+    rng = random.Random(4)
+    rows, want = [], {}
+    for q in range(40):
+        n_sub, own = rng.randrange(0, 6), []
+        for i in range(rng.randrange(1, 40)):
+            own.append((f"c{i:03d}", f"text {rng.randrange(30)}", [rng.randrange(max(n_sub, 1)) for _ in range(rng.randrange(0, 4))], round(rng.random(), 1)))
+        want[q] = plain_selection(own, n_sub, 12, 2)
+        rows += [(q, *c, n_sub) for c in own]
+    df = spark.createDataFrame([(q, i, t, s, n, x) for q, i, t, s, x, n in rows], "query_id long, claim_id string, text string, sub_queries array<int>, n_sub_queries int, claim_score double")
+    got: dict = {}
+    for r in answers.select_claims(df).orderBy("query_id", "ordinal").collect():
+        got.setdefault(r["query_id"], []).append(r["claim_id"])
+    assert got == want
+
+
+def test_registry_matches_are_those_of_all_pairs(spark):
+    rng = random.Random(5)
+    common, rare = ["model", "data", "learning", "deep", "system"], [f"term{i}" for i in range(60)]
+    titles = [" ".join(rng.choice(common if rng.random() < 0.6 else rare) for _ in range(rng.randrange(2, 9))) for _ in range(150)]
+    refs = []
+    for i in range(120):
+        t = rng.choice(titles).split()
+        if rng.random() < 0.5:
+            t = [rng.choice(rare) for _ in range(rng.randrange(0, 6))] + t
+        refs.append((i, '"' + " ".join(t) + ' and more words"' if rng.random() < 0.3 else '"' + " ".join(t).ljust(12) + '"'))
+    a = spark.createDataFrame(refs, "source_ref_id long, raw string")
+    b = spark.createDataFrame([(i % 3, i, t, f"10.1/{i}") for i, t in enumerate(titles)], "priority int, rank int, title string, doi string")
+    every = a.withColumn("hint", text.title_hint(F.col("raw"))).crossJoin(b).where(text.title_score(F.col("hint"), F.col("title")) >= 0.85)
+    want = {r["source_ref_id"]: r["x"]["doi"] for r in every.groupBy("source_ref_id").agg(F.min(F.struct("priority", "rank", "doi")).alias("x")).collect()}
+    assert {r["source_ref_id"]: r["doi"] for r in citations.match_registry(a, b).collect()} == want and len(want) > 60
+
+
+def test_cycles_are_strong_components(spark):
+    rng = random.Random(7)
+    edges = {(q, f"n{rng.randrange(25):02d}", f"n{rng.randrange(25):02d}") for q in range(6) for _ in range(10 + 8 * q)}
+    edges |= {(9, f"m{i:02d}", f"m{(i + 1) % 30:02d}") for i in range(30)} | {(10, f"m{i:02d}", f"m{i + 1:02d}") for i in range(30)} | {(11, "a", "a")}
+    reach = {(q, a, b) for q, a, b in edges}
+    while True:
+        more = {(q, a, d) for q, a, b in reach for p, c, d in edges if p == q and b == c} - reach
+        if not more:
+            break
+        reach |= more
+    df = spark.createDataFrame([(q, a, b, "supports") for q, a, b in edges], "query_id int, src string, dst string, relation string")
+    assert {(r["query_id"], r["node_id"]) for r in graph.cyclic_nodes(df).collect()} == {(q, a) for q, a, b in reach if a == b}
+
+
+def test_items_are_held_whole(spark):
+    docs = spark.createDataFrame([(1, "one two three four five"), (2, "xone two threex"), (3, None), (4, "two"), (5, "one\ntwo three")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "one two three"), (2, "two"), (3, " "), (4, "two three"), (5, "e two t"), (6, "absent word here")], "query_id long, text string")
+    got = {(r["query_id"], r["doc_id"]) for r in evaluation.holders(docs, items).collect()}
+    rows = {1: "one two three four five", 2: "xone two threex", 4: "two", 5: "one\ntwo three"}
+    want = {(q, d) for q, t in [(1, "one two three"), (2, "two"), (4, "two three"), (5, "e two t"), (6, "absent word here")] for d, x in rows.items() if t in x}
+    assert got == want
+
+
+def test_labels_of_nodes_and_metrics(spark):
+    label = lambda *v: one(spark, text.display_label(*[F.lit(x).cast("string") for x in v[:5]], F.lit(v[5]).cast("int")))
+    assert label("paper", "paper:1234567890123456", "", "", "", None) == "paper:1234567890" and label("paper", "p", "", "1706.03762", "", None) == "1706.03762"
+    assert label("chunk", "c", "", "", "Methods", 3) == "Methods · 3" and label("chunk", "c", "", "", None, None) == "chunk"
+    assert label("claim", "claim:abcdef", "a b c d e f g", "", "", None) == "a b c d e f…" and label("claim", "claim:abcdef", " ", "", "", None) == "abcdef"
+    assert one(spark, text.metric_key(F.lit("Claim-Coverage  score [GEval]"))) == "claim_coverage_score"
+    assert one(spark, text.key_phrases(F.lit("short. This one is long enough. Third piece here"))) == ["This one is long enough"]
