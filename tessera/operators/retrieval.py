@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessera.functions import scores
 from tessera.functions.text import all_tokens, fold_related_work
@@ -11,6 +21,10 @@ from tessera.operators.tables import checkpoint
 
 #: Rows of query terms that a broadcast may hold; beyond it the join is shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Cells of a block's matrix of terms and queries, and rows scored at once.
+BLOCK_CELLS, SLICE_ROWS = 8_000_000, 512
+#: Words as ``all_tokens`` has them.
+TOKEN = re.compile("[a-z0-9]+")
 
 
 def bounded(df: DataFrame) -> DataFrame:
@@ -29,88 +43,167 @@ def top_k(hits: DataFrame, k: int, by: str = "score", keys: tuple[str, ...] = ("
     return hits.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """Distinct (query_id, term)."""
-    return queries.select("query_id", F.explode(F.array_distinct(all_tokens(F.col("text")))).alias("term"))
+class Best:
+    """The best ``k`` documents of each of a block of queries, over the batches of a task; ties by document."""
 
+    def __init__(self, k: int, n_queries: int):
+        self.k = k
+        self.docs: np.ndarray | None = None
+        self.scores = np.zeros((n_queries, 0))
 
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, term, tf) of the terms asked for, and one row of a null term for each document.
+    def add(self, docs: np.ndarray, scores: np.ndarray) -> None:
+        """scores: (queries, docs), -inf where a document does not count."""
+        every = np.broadcast_to(docs, scores.shape)
+        docs = every if self.docs is None else np.concatenate([self.docs, every], axis=1)
+        scores = np.concatenate([self.scores, scores], axis=1)
+        order = np.lexsort((docs, -scores), axis=1)[:, : self.k]
+        self.docs, self.scores = np.take_along_axis(docs, order, 1), np.take_along_axis(scores, order, 1)
 
-    Texts are read and split once: the rows are written, and the legs of a search share
-    them. Counts are added within a task first, so no text is shuffled.
+    def rows(self, ids: list, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        if self.docs is not None:
+            q, at = np.nonzero(self.scores > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in q.tolist()], schema.types[0]), pa.array(self.docs[q, at], schema.types[1]), pa.array(self.scores[q, at])], schema=schema)
+
+
+def hits_of(docs: DataFrame, queries: DataFrame) -> tuple[StructType, pa.Schema]:
+    """The schema of scored hits, with the ids' own types."""
+    schema = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("doc_id", docs.schema["doc_id"].dataType), StructField("score", DoubleType())])
+    return schema, to_arrow_schema(schema)
+
+
+@dataclass
+class Postings:
+    """Counts of the queries' words in every document, a row a document: (doc_id, n_tokens, at, tf)."""
+
+    rows: DataFrame
+    ids: list
+    #: Terms of each query, by number, and how many terms there are.
+    asked: list[np.ndarray]
+    n_terms: int
+
+    def blocks(self) -> Iterator[tuple[list, np.ndarray]]:
+        """Ids of queries and (terms, queries) marks, as many at once as BLOCK_CELLS allow."""
+        step = max(1, BLOCK_CELLS // max(1, self.n_terms))
+        for lo in range(0, len(self.ids), step):
+            part = self.asked[lo : lo + step]
+            marks = np.zeros((self.n_terms, len(part)))
+            for q, t in enumerate(part):
+                marks[t, q] = 1.0
+            yield self.ids[lo : lo + step], marks
+
+
+def postings(docs: DataFrame, queries: DataFrame) -> Postings:
+    """Reads and splits every whole text once, for all legs of a search; no text is shuffled.
+
+    The queries are a stated set that the driver holds; its words are all that is counted.
+    docs: (doc_id, text), queries: (query_id, text). A null text has no words.
     """
-    wanted = bounded(terms.select("term").distinct()).withColumn("asked", F.lit(True))
-    words = docs.select("doc_id", all_tokens(F.col("text")).alias("words"))
-    exploded = words.select("doc_id", F.size("words").alias("n_tokens"), F.explode(F.array_append("words", F.lit(None).cast("string"))).alias("term"))
-    met = exploded.join(wanted, "term", "left").where("asked OR term IS NULL")
-    return checkpoint(met.groupBy("doc_id", "n_tokens", "term").agg(F.count("*").alias("tf")))
+    asked = queries.select("query_id", F.array_distinct(all_tokens(F.col("text"))).alias("t")).orderBy("query_id").collect()
+    number: dict[str, int] = {}
+    terms = [np.array([number.setdefault(x, len(number)) for x in r["t"]], np.int64) for r in asked]
+    schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), *StructType.fromDDL("n_tokens int, at array<int>, tf array<int>").fields])
+    out = to_arrow_schema(schema)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = number.get
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(lo, SLICE_ROWS)
+                n, at, tf = [], [], []
+                for text in part.column(1).to_pylist():
+                    words = TOKEN.findall(text.lower()) if text else []
+                    found = Counter(x for x in map(get, words) if x is not None)
+                    n.append(len(words))
+                    at.append(list(found))
+                    tf.append(list(found.values()))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, f.type) for c, f in zip((n, at, tf), list(out)[1:], strict=True))], schema=out)
+
+    rows = checkpoint(docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(count, schema))
+    return Postings(rows, [r["query_id"] for r in asked], terms, len(number))
+
+
+def _scored(found: Postings, queries: DataFrame, k: int, weigh: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], marks_of: Callable[[np.ndarray], np.ndarray], unit: bool = False) -> DataFrame:
+    """Top ``k`` of the products of documents' and queries' term weights.
+
+    A block of queries is one matrix. Each task multiplies its documents with it and keeps
+    ``k`` a query, so the shuffle holds those alone. weigh: from tf, n_tokens (of each count)
+    and term numbers; marks_of: from a block's marks to the queries' weights; unit: scores are
+    over the document's length.
+    """
+    schema, arrow = hits_of(found.rows, queries)
+    out = None
+    for ids, marks in found.blocks():
+        right = marks_of(marks)
+
+        def score(batches: Iterator[pa.RecordBatch], ids: list = ids, right: np.ndarray = right) -> Iterator[pa.RecordBatch]:
+            best = Best(k, len(ids))
+            for batch in batches:
+                for lo in range(0, batch.num_rows, SLICE_ROWS):
+                    part = batch.slice(lo, SLICE_ROWS)
+                    counts = pc.list_value_length(part.column(2)).to_numpy()
+                    doc, at, tf = np.repeat(np.arange(part.num_rows), counts), part.column(2).flatten().to_numpy(), part.column(3).flatten().to_numpy()
+                    left = np.zeros((part.num_rows, right.shape[0]))
+                    left[doc, at] = weigh(tf.astype(np.float64), part.column(1).to_numpy()[doc].astype(np.float64), at)
+                    s = left @ right
+                    if unit:
+                        s /= np.maximum(np.sqrt((left * left).sum(axis=1, keepdims=True)), 1e-300)
+                    best.add(np.array(part.column(0).to_pylist()), np.where(s > 0, np.round(s, 9), -np.inf).T)
+            yield from best.rows(ids, arrow)
+
+        hits = found.rows.select("doc_id", "n_tokens", "at", "tf").mapInArrow(score, schema)
+        out = hits if out is None else out.unionByName(hits)
+    return top_k(out if out is not None else queries.sparkSession.createDataFrame([], schema), k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, found: DataFrame | None = None) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, found: Postings | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank) of the best documents. Only positive scores count.
 
     docs: (doc_id, text). queries: (query_id, text). found: their ``postings``, if at hand.
     """
-    terms = query_terms(queries)
-    found = postings(docs, terms) if found is None else found
-    whole = found.where("term IS NULL").agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("n_tokens") * F.col("tf")) / F.sum("tf")).alias("avg_tokens"))
-    frequency = found.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # A single row of totals; then a row a query and term, as few as the queries' words.
-    asked = bounded(terms).join(frequency.crossJoin(F.broadcast(whole)).select("term", "avg_tokens", idf.alias("idf")), "term")
-    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_tokens") / F.col("avg_tokens")))
-    scored = found.join(bounded(asked), "term").groupBy("query_id", "doc_id").agg(settled(F.sum(F.col("idf") * tf)).alias("score"))
-    return top_k(scored.where("score > 0"), k)
-
-
-def sparse(docs: DataFrame, queries: DataFrame, k: int = 10, found: DataFrame | None = None) -> DataFrame:
-    """(query_id, doc_id, score, rank) by the dot product of 1 + ln tf weights, each side at unit length over its asked-for terms."""
-    terms = query_terms(queries)
-    found = (postings(docs, terms) if found is None else found).where("term IS NOT NULL").withColumn("w", 1 + F.log("tf"))
-    length = found.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    asked = terms.withColumn("qw", 1 / F.sqrt(F.count("*").over(Window.partitionBy("query_id"))))
-    scored = found.join(bounded(asked), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot")).join(length, "doc_id")
-    return top_k(scored.select("query_id", "doc_id", settled(F.col("dot") / F.col("len")).alias("score")), k)
+    found = found or postings(docs, queries)
+    whole = found.rows.agg(F.count("*").alias("n"), F.avg("n_tokens").alias("avg")).collect()[0]
+    df = np.zeros(found.n_terms)
+    for r in found.rows.select(F.explode("at").alias("at")).groupBy("at").count().collect():  # a row a term of the queries
+        df[r["at"]] = r["count"]
+    idf = np.log(1 + (whole["n"] - df + 0.5) / (df + 0.5))
+    mean = whole["avg"] or 1.0
+    return _scored(found, queries, k, lambda tf, n, at: tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / mean)), lambda marks: marks * idf[:, None])
+
+
+def sparse(docs: DataFrame, queries: DataFrame, k: int = 10, found: Postings | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank) by the dot product of 1 + ln tf weights, each side at unit length over the terms asked for."""
+    found = found or postings(docs, queries)
+    return _scored(found, queries, k, lambda tf, n, at: 1 + np.log(tf), lambda marks: marks / np.maximum(np.sqrt(marks.sum(axis=0)), 1e-300), unit=True)
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, block_rows: int = 4096, by: Column | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): exact cosine of a stated query set against all vectors, in blocks.
 
     vectors: (doc_id, vector). queries: (query_id, vector). A block of queries is one
-    broadcast array; each task scores its vectors against it and keeps ``k`` a query before
+    matrix; each task scores its vectors against it and keeps ``k`` a query before
     anything is shuffled.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    total = queries.count()
-    blocks = max(1, -(-total // block_rows))
+    schema, arrow = hits_of(vectors, queries)
+    held = queries.select("query_id", "vector").orderBy("query_id").collect()
     out = None
-    for i in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).orderBy("query_id").collect()
-        if not part:
-            continue
-        ids = np.array([r["query_id"] for r in part])
-        q = np.array([r["vector"] for r in part], np.float64)
+    for lo in range(0, len(held), block_rows):
+        part = held[lo : lo + block_rows]
+        ids, q = [r["query_id"] for r in part], np.array([r["vector"] for r in part], np.float64)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
 
-        def score(batches, ids=ids, q=q):  # noqa: ANN001, ANN202
+        def score(batches: Iterator[pa.RecordBatch], ids: list = ids, q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
+            best = Best(k, len(ids))
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                docs = batch.column(0).to_numpy()
-                v = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                s = np.round(q @ v.T, 9)
-                order = np.lexsort((np.broadcast_to(docs, s.shape), -s), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])), pa.array(docs[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], names=["query_id", "doc_id", "score"])
-
-        hits = vectors.select("doc_id", "vector").mapInArrow(score, "query_id long, doc_id long, score double")
+                for at in range(0, batch.num_rows, SLICE_ROWS):
+                    part = batch.slice(at, SLICE_ROWS)
+                    v = part.column(1).flatten().to_numpy().astype(np.float64).reshape(part.num_rows, -1)
+                    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+                    best.add(np.array(part.column(0).to_pylist()), np.round(q @ v.T, 9))
+            yield from best.rows(ids, arrow)
+
+        hits = vectors.select("doc_id", "vector").mapInArrow(score, schema)
         out = hits if out is None else out.unionByName(hits)
-    if out is None:
-        out = queries.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
-    return top_k(out, k)
+    return top_k(out if out is not None else queries.sparkSession.createDataFrame([], schema), k)
 
 
 def reciprocal_rank_fusion(legs: list[DataFrame], k: int, depth: int = 100) -> DataFrame:

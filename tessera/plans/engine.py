@@ -53,7 +53,7 @@ class Engine:
         c = self.config
         legs = {"bm25": retrieval.bm25, "sparse": retrieval.sparse}
         docs = self.chunks.select("doc_id", "text")
-        shared = retrieval.postings(docs, retrieval.query_terms(queries))
+        shared = retrieval.postings(docs, queries)
         found = [legs[name](docs, queries, c.prefetch, found=shared) for name in c.legs]
         hits = retrieval.reciprocal_rank_fusion(found, c.pool if c.rerank else c.top_k) if len(found) > 1 else retrieval.top_k(found[0].drop("rank"), c.pool)
         full = hits.join(self.chunks, "doc_id").join(queries.select("query_id", F.col("text").alias("query"), "targets"), "query_id")

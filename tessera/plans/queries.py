@@ -269,7 +269,9 @@ rs AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS scor
 
 @query(f"WITH {RRF} SELECT * FROM (SELECT query_id, doc_id, round(score, 6) AS score, {_RANK}::INT AS rank FROM rs) WHERE rank <= 15")
 def rrf_fusion(spark, d):
-    return _shown(retrieval.reciprocal_rank_fusion([retrieval.bm25(*corpus(spark, d), 100), retrieval.sparse(*corpus(spark, d), 100)], 15))
+    docs, asked = corpus(spark, d)
+    found = retrieval.postings(docs, asked)
+    return _shown(retrieval.reciprocal_rank_fusion([leg(docs, asked, 100, found=found) for leg in (retrieval.bm25, retrieval.sparse)], 15))
 
 
 _SCALED = "(score - min(score) OVER w) / CASE WHEN max(score) OVER w > min(score) OVER w THEN max(score) OVER w - min(score) OVER w ELSE 1 END"
@@ -280,7 +282,9 @@ a AS (SELECT query_id, doc_id, {_SCALED} AS x FROM bm WINDOW w AS (PARTITION BY
 m AS (SELECT query_id, doc_id, round(0.5 * coalesce(x, 0) + 0.5 * coalesce(y, 0), 9) AS score FROM a FULL JOIN b USING (query_id, doc_id))
 SELECT * FROM (SELECT query_id, doc_id, round(score, 6) AS score, {_RANK}::INT AS rank FROM m) WHERE rank <= 10""")
 def alpha_fusion(spark, d):
-    return _shown(retrieval.alpha_fusion(retrieval.bm25(*corpus(spark, d), 50), retrieval.sparse(*corpus(spark, d), 50), 10))
+    docs, asked = corpus(spark, d)
+    found = retrieval.postings(docs, asked)
+    return _shown(retrieval.alpha_fusion(*[leg(docs, asked, 50, found=found) for leg in (retrieval.bm25, retrieval.sparse)], 10))
 
 
 def _sectioned(spark, d):
