@@ -123,9 +123,9 @@ def title_tokens(title: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Of two token sets; 0 if either is empty."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), both / F.size(F.array_union(a, b))).otherwise(0.0)
+    """Of two token sets, each made once; 0 if either is empty."""
+    share = lambda x, y: F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).otherwise(0.0)
+    return F.get(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda x: share(x["a"], x["b"])), F.lit(0))
 
 
 def overlap(a: Column, b: Column) -> Column:

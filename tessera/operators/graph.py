@@ -99,23 +99,25 @@ def cyclic_nodes(edges: DataFrame) -> DataFrame:
 def evidence_trail(claims_of: DataFrame, edges: DataFrame, kinds: DataFrame, depth: int = 5, most: int = 5) -> DataFrame:
     """(query_id, claim_id, node_id, depth, relation): chunks reached from a claim, nearest first.
 
-    A walk goes on only from chunk to chunk. kinds: (query_id, node_id, node_type).
+    A walk goes on only from chunk to chunk, and only for a claim that has fewer than
+    ``most`` chunks: what is farther away would not be among them. kinds: (query_id, node_id, node_type).
     """
+    keys = ["query_id", "claim_id"]
     chunk = kinds.where("node_type = 'chunk'").select("query_id", F.col("node_id").alias("dst")).distinct()
-    step = edges.where(F.col("relation").isin(*EVIDENCE)).join(chunk, ["query_id", "dst"], "left_semi")
-    front = claims_of.select("query_id", "claim_id", F.col("claim_id").alias("at"))
+    step = checkpoint(edges.where(F.col("relation").isin(*EVIDENCE)).join(chunk, ["query_id", "dst"], "left_semi").select("query_id", F.col("src").alias("at"), "dst", "relation"))
+    front = claims_of.select(*keys, F.col("claim_id").alias("at"))
     seen = None
     for d in range(1, depth + 1):
-        new = front.join(step.withColumnRenamed("src", "at"), ["query_id", "at"]).select("query_id", "claim_id", F.col("dst").alias("node_id"), "relation")
-        new = first(new, ["query_id", "claim_id", "node_id"], ["relation"]).withColumn("depth", F.lit(d))
+        new = front.join(step, ["query_id", "at"]).groupBy(*keys, F.col("dst").alias("node_id")).agg(F.min("relation").alias("relation")).withColumn("depth", F.lit(d))
         if seen is not None:
-            new = new.join(seen.select("query_id", "claim_id", "node_id"), ["query_id", "claim_id", "node_id"], "left_anti")
+            new = new.join(seen.select(*keys, "node_id"), [*keys, "node_id"], "left_anti")
         new = checkpoint(new)  # what the next level joins
         seen = new if seen is None else seen.unionByName(new)
-        if new.isEmpty():
+        few = seen.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") < most)
+        front = new.join(few, keys, "left_semi").select(*keys, F.col("node_id").alias("at"))
+        if d < depth and front.isEmpty():
             break
-        front = new.select("query_id", "claim_id", F.col("node_id").alias("at"))
-    w = Window.partitionBy("query_id", "claim_id").orderBy("depth", "node_id")
+    w = Window.partitionBy(*keys).orderBy("depth", "node_id")
     return seen.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
 
 

@@ -225,7 +225,8 @@ def alpha_fusion(a: DataFrame, b: DataFrame, k: int, alpha: float = 0.5) -> Data
 
 def rerank(hits: DataFrame, score: Column, k: int, least: float = 0.15) -> DataFrame:
     """Hits under a new score, those of at least ``least``, ranked anew. Any expression or Pandas UDF may score."""
-    return top_k(hits.drop("rank").withColumn("score", score).where(F.col("score") >= least), k)
+    # Ranked before the threshold, so that the score stands under the window and is taken once.
+    return top_k(hits.drop("rank").withColumn("score", score), k).where(F.col("score") >= least)
 
 
 def section_boost(hits: DataFrame, gamma: float = 0.10, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
