@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -32,10 +33,19 @@ def map_rows(df: DataFrame, columns: list[str], fn: Callable[..., dict[str, list
                 part = batch.slice(at, SLICE_ROWS)
                 got = fn(*(part.column(i).to_pylist() for i in range(part.num_columns)))
                 yield pa.RecordBatch.from_arrays([got[f.name] if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], type=f.type) for f in out], schema=out)
+        release()
 
     return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Give back what a task has freed: a worker goes on to other stages, beside other workers."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

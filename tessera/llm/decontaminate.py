@@ -20,7 +20,7 @@ import re
 from collections.abc import Callable, Iterable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -323,11 +323,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, id_col:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The documents in which no item stands, with all their columns; judged row by row, so ids may be null or repeat."""
     def judge(matcher: Matcher) -> Callable[[Column], Column]:
-        def clean(texts: pd.Series) -> pd.Series:
-            every = [None if t is None else str(t) for t in texts]
-            return pd.Series([not m for at in range(0, len(every), SLICE_ROWS) for m in matcher.find(every[at : at + SLICE_ROWS])], dtype=bool)
+        @F.arrow_udf("boolean")
+        def clean(texts: pa.Array) -> pa.Array:
+            parts = (texts.slice(at, SLICE_ROWS).to_pylist() for at in range(0, len(texts), SLICE_ROWS))
+            return pa.array([not m for part in parts for m in matcher.find(part)], pa.bool_())
 
-        return F.pandas_udf(clean, "boolean")
+        return clean
 
     for matcher in matchers(benchmark, item_col, item_text_col, edits):
         docs = docs.where(judge(matcher)(F.col(f"`{text_col}`")))

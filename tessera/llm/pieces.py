@@ -33,9 +33,9 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: A segment ends with a run of letters, or before a space or a line end: no piece reaches over those.
 SEGMENT = re.compile(rf" *[^{LETTERS} \n]*[{LETTERS}]+| *[^{LETTERS} \n]+|\n| +")
 #: Held segments, and their candidates and ids; beyond that all begin anew.
-HELD, HELD_CELLS = 300_000, 4_000_000
+HELD, HELD_CELLS = 100_000, 1_500_000
 #: Segments encoded at once, and rows of a table merged at once.
-AT_ONCE, TABLE_ROWS = 1 << 16, 1 << 14
+AT_ONCE, TABLE_ROWS = 1 << 15, 1 << 13
 _M = (1 << 64) - 1
 _NEVER = np.iinfo(np.int32).max
 _EMPTY = -1

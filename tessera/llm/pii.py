@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tessera.llm.common import map_rows
+from tessera.llm.common import SLICE_ROWS, map_rows, release
 
 #: Order of kinds among spans that start together.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
@@ -196,7 +196,14 @@ def redact_column(docs: DataFrame, text_col: str = "text", threshold: float = 0.
     rows are changed one by one, so ids may be null or repeat; an empty table gives none.
     """
 
-    def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([redact(t, threshold) if isinstance(t, str) else None for t in texts], dtype=object)
+    place = docs.columns.index(text_col)
 
-    return docs.withColumn(text_col, F.pandas_udf(clean, "string")(F.col(f"`{text_col}`")))
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                texts = pa.array([redact(t, threshold) for t in part.column(place).to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([texts if i == place else c for i, c in enumerate(part.columns)], schema=part.schema)
+        release()
+
+    return docs.mapInArrow(clean, docs.schema)
