@@ -206,4 +206,6 @@ def redact_column(docs: DataFrame, text_col: str = "text", threshold: float = 0.
                 yield pa.RecordBatch.from_arrays([texts if i == place else c for i, c in enumerate(part.columns)], schema=part.schema)
         release()
 
-    return docs.mapInArrow(clean, docs.schema)
+    # Columns go by place, so that names of any kind may stand beside the text.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(clean, plain.schema).toDF(*docs.columns)
