@@ -118,3 +118,46 @@ def cache_key(query: Column, mode: Column, top_k: Column) -> Column:
 def storage_gb(points: Column, dim: int, width: int = 4) -> Column:
     """Gigabytes of vectors with 30 % for their index."""
     return points * dim * width * 1.30 / 1e9
+
+
+# Sections that a sub-query may ask for.
+TARGETS = ["Introduction", "Methods", "Results", "Discussion"]
+
+
+def target_sections(names: Column) -> Column:
+    """The sections that the names stand for, in any case and with underscores for spaces; unknown names fall away."""
+    wanted = F.create_map(*[F.lit(x) for t in ["Abstract", *TARGETS] for x in (t.lower(), t)])
+    return F.filter(F.transform(names, lambda x: F.try_element_at(wanted, F.translate(F.lower(F.trim(x)), " ", "_"))), lambda x: x.isNotNull())
+
+
+def section_name(imrad: Column, section: Column) -> Column:
+    """The label of a chunk's section: the classified one, else its title; empty if it has neither."""
+    return F.lower(F.trim(F.coalesce(imrad, section, F.lit(""))))
+
+
+def cluster(title: Column, abstract: Column, keywords: dict[str, list[str]]) -> Column:
+    """The first cluster with a keyword in the title or abstract; null if none has."""
+    text = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(abstract, F.lit(""))))
+    found = F
+    for name, words in keywords.items():
+        found = found.when(F.exists(F.array(*map(F.lit, words)), lambda w: text.contains(w)), name)
+    return found.otherwise(F.lit(None).cast("string"))
+
+
+def paper_meta(title: Column, doi: Column, arxiv_id: Column, versions: Column, update_date: Column, authors_parsed: Column, authors_text: Column, categories: Column) -> Column:
+    """A paper's metadata in one struct."""
+    parts = F.filter(F.split(F.coalesce(categories, F.lit("")), r"[\s,;]+"), lambda x: x != "")
+    return F.struct(
+        F.nullif(F.trim(F.regexp_replace(title, r"\s+", " ")), F.lit("")).alias("title"), doi.alias("doi"), arxiv_id.alias("arxiv_id"),
+        year_of(versions, update_date).alias("year"), authors(authors_parsed, authors_text).alias("authors"), parts.alias("categories"),
+    )
+
+
+def projected(value: Column, sample: Column, whole: float, overhead: float = 1.1) -> Column:
+    """A sample's cost carried on to the whole, with an overhead."""
+    return F.when(sample > 0, value / sample * whole * overhead)
+
+
+def task_of(index: Column, tasks: int) -> Column:
+    """Round-robin assignment of numbered batches."""
+    return F.pmod(index, F.lit(tasks)).cast("int")

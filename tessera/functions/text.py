@@ -229,3 +229,39 @@ def nli_label(raw: Column) -> Column:
     for label, names in NLI_NAMES.items():
         found = found.when(low.isin(*names), label)
     return found.otherwise(F.lit(None).cast("string"))
+
+
+def cite_spans(raw: Column, schema: str = "array<struct<raw:string,arxiv_id:string,doi:string>>") -> Column:
+    """The spans of a payload's JSON object; empty where it is missing, no JSON or no object with spans."""
+    held = F.try_parse_json(raw)
+    spans = F.try_variant_get(held, "$.cite_spans", schema)
+    return F.when(F.schema_of_variant(held).startswith("OBJECT"), F.coalesce(spans, F.array().cast(schema))).otherwise(F.array().cast(schema))
+
+
+def citations_block(raws: Column) -> Column:
+    """The raw references of a chunk for a prompt, each once, in order."""
+    distinct = F.array_distinct(F.filter(F.transform(raws, lambda x: F.trim(F.coalesce(x, F.lit("")))), lambda x: x != ""))
+    listed = F.array_join(F.transform(distinct, lambda x: F.concat(F.lit('- "'), x, F.lit('"'))), "\n")
+    return F.when(F.size(distinct) > 0, F.concat(F.lit("Available citations:\n"), listed)).otherwise("Available citations: none")
+
+
+def cited_ids(ids: Column) -> Column:
+    """Ids that aren't blank, each once, in order of first appearance."""
+    return F.array_distinct(F.filter(F.transform(ids, lambda x: F.trim(F.coalesce(x, F.lit("")))), lambda x: x != ""))
+
+
+def main_categories(categories: Column, most: int = 3) -> Column:
+    """What stands before the first full stop of the first ``most`` categories."""
+    return F.transform(F.slice(F.filter(F.split(F.trim(categories), r"\s+"), lambda x: x != ""), 1, most), lambda x: F.substring_index(x, ".", 1))
+
+
+def unwrapped(text: Column) -> Column:
+    """The text inside a literal ``'text': '...'``, if it stands in one."""
+    inner = F.regexp_extract(text, r"(?s)'text':\s*['\"](.+)", 1)
+    return F.when(inner != "", F.regexp_replace(inner, "['\"}]+$", "")).otherwise(text)
+
+
+def verdict_of(raw: Column) -> Column:
+    """The verdict of a judge's JSON reply, with or without a fence; ``Inconclusive`` if it is no JSON."""
+    bare = F.regexp_replace(F.trim(raw), r"^`+(?:json)?\s*|`+$", "")
+    return F.coalesce(F.try_variant_get(F.try_parse_json(bare), "$.verdict", "string"), F.lit("Inconclusive"))

@@ -166,3 +166,54 @@ def corpus_profile(documents: DataFrame) -> DataFrame:
         F.sum(words).alias("n_words"),
         F.max(words).alias("longest"),
     )
+
+
+def averaged(report: DataFrame) -> DataFrame:
+    """Macro (plain) and weighted (by support) means of a class report, and micro F1, which is the accuracy."""
+    weighted = lambda c: F.sum(F.col(c) * F.col("support")) / F.sum("support")
+    return report.agg(
+        *[F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")],
+        *[weighted(c).alias(f"weighted_{c}") for c in ("precision", "recall", "f1")],
+        weighted("recall").alias("micro_f1"),
+    )
+
+
+def paper_hit(ranked: DataFrame, k: int) -> DataFrame:
+    """Whether one of the first k hits is of the gold paper. ranked: (query_id, rank, paper_id, gold_paper)."""
+    return ranked.groupBy("query_id").agg(F.coalesce(F.bool_or((F.col("rank") <= k) & (F.col("paper_id") == F.col("gold_paper"))), F.lit(False)).alias("paper_hit"))
+
+
+def answer_contained(ranked: DataFrame, k: int) -> DataFrame:
+    """Whether the first k texts, joined in order, hold one of the answers in any case. ranked: (query_id, rank, text, answers array)."""
+    top = ranked.where(F.col("rank") <= k).groupBy("query_id", "answers").agg(F.sort_array(F.collect_list(F.struct("rank", "text"))).alias("t"))
+    joined = F.lower(F.array_join(F.transform("t", lambda x: x["text"]), " "))
+    return top.select("query_id", F.exists("answers", lambda a: joined.contains(F.lower(a))).alias("answer_contained"))
+
+
+def means_by(df: DataFrame, system: str, by: list[str], metrics: list[str], rank: str) -> DataFrame:
+    """Means of metrics by system, and by system with each of ``by``, in one pass; the rank's mean is over what was found."""
+    sets = [[F.col(system)], *[[F.col(system), F.col(b)] for b in by]]
+    return df.groupingSets(sets, system, *by).agg(F.count("*").alias("n"), *[F.avg(m).alias(m) for m in metrics], F.avg(rank).alias(f"avg_{rank}"))
+
+
+def sub_query_summary(hits: DataFrame, targets: Column) -> DataFrame:
+    """By query and sub-query: hits, the share of them in its target sections, and the range of their scores."""
+    return hits.groupBy("query_id", "sq_idx").agg(F.count("*").alias("n"), F.avg(F.array_contains(targets, F.col("section")).cast("double")).alias("section_rate"), F.max("score").alias("best"), F.min("score").alias("worst"))
+
+
+def id_coverage(chunks: DataFrame) -> DataFrame:
+    """Chunks, papers, and the papers and citation spans that have ids, in one pass.
+
+    chunks: (paper_id, arxiv_id, doi, n_spans, n_spans_with_id).
+    """
+    paper = lambda c: F.count_distinct(F.when(F.col(c).isNotNull(), F.col("paper_id")))
+    return chunks.agg(
+        F.count("*").alias("n_chunks"), F.count_distinct("paper_id").alias("n_papers"), paper("arxiv_id").alias("papers_with_arxiv"), paper("doi").alias("papers_with_doi"),
+        (F.count("*") / F.count_distinct("paper_id")).alias("chunks_per_paper"), F.sum("n_spans").alias("n_spans"), (F.sum("n_spans_with_id") / F.sum("n_spans")).alias("span_coverage"),
+    )
+
+
+def key_presence(papers: DataFrame, column: str) -> DataFrame:
+    """How many papers' maps have each key with a value that isn't blank."""
+    each = papers.select(F.explode(column).alias("key", "value")).where(F.trim("value") != "")
+    return each.groupBy("key").agg(F.count("*").alias("n"))

@@ -168,3 +168,32 @@ def scorecard(documents: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataF
     n = nodes.groupBy("query_id").agg(F.count("*").alias("n_nodes"), F.count_if(F.col("node_type") == "claim").alias("n_claims"))
     e = edges.groupBy("query_id").agg(F.count("*").alias("n_edges"))
     return d.join(n, "query_id", "left").join(e, "query_id", "left").fillna(0, ["n_nodes", "n_claims", "n_edges"])
+
+
+def stage_papers(hits: DataFrame) -> DataFrame:
+    """A query's papers with their chunks counted, in order of first appearance. hits: (query_id, rank, paper_id)."""
+    found = hits.groupBy("query_id", "paper_id").agg(F.count("*").alias("n_chunks"), F.min("rank").alias("first_rank"))
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("first_rank", "paper_id")))
+
+
+def direct_evidence(claim_edges: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, claim_id, chunk_uid, text) of the chunks that a claim's evidence edges lead to."""
+    step = claim_edges.where(F.col("relation").isin(*EVIDENCE)).select("query_id", F.col("src").alias("claim_id"), F.col("dst").alias("chunk_uid")).distinct()
+    return step.join(chunks.select("chunk_uid", "text"), "chunk_uid")
+
+
+def flat_nodes(hits: DataFrame) -> DataFrame:
+    """The nodes of a graph without edges: one a retrieved chunk."""
+    return hits.select("query_id", F.col("chunk_uid").alias("node_id"), F.lit("chunk").alias("node_type"), "text")
+
+
+def best_citation(cited: DataFrame) -> DataFrame:
+    """Each claim's citation of the greatest alignment, the first among equals. cited: (claim_id, link_pos, alignment, ...)."""
+    return first(cited, ["claim_id"], [F.desc_nulls_last("alignment"), F.asc("link_pos")])
+
+
+def route(mode: str, contradicted: Column, multi_hop: Column) -> Column:
+    """Who judges a claim: ``full`` sends contradictions and multi-hop claims to the model, ``nli``, ``llm`` and ``none`` send all one way."""
+    if mode not in ("full", "nli", "llm", "none"):
+        raise ValueError(f"no such mode of judging: {mode}")
+    return F.when(contradicted | multi_hop, "llm").otherwise("nli") if mode == "full" else F.lit(mode)

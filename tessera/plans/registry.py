@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.plans import lookup_queries  # noqa: F401  adds its queries
 from tessera.plans.queries import ORACLES, QUERIES, flagship
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
