@@ -192,7 +192,7 @@ def best_citation(cited: DataFrame) -> DataFrame:
     return first(cited, ["claim_id"], [F.desc_nulls_last("alignment"), F.asc("link_pos")])
 
 
-def route(mode: str, contradicted: Column, multi_hop: Column) -> Column:
+def route_by(mode: str, contradicted: Column, multi_hop: Column) -> Column:
     """Who judges a claim: ``full`` sends contradictions and multi-hop claims to the model, ``nli``, ``llm`` and ``none`` send all one way."""
     if mode not in ("full", "nli", "llm", "none"):
         raise ValueError(f"no such mode of judging: {mode}")

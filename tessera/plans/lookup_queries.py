@@ -219,7 +219,7 @@ def best_citation(spark, d):
 @query("SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' OR o_orderkey % 2 = 0 THEN 'llm' ELSE 'nli' END AS f, 'nli' AS a, 'llm' AS b, 'none' AS c FROM orders")
 def ablation_routes(spark, d):
     odd, multi = F.col("o_orderpriority") == "5-LOW", F.col("o_orderkey") % 2 == 0
-    return table(spark, d, "orders").select("o_orderkey", *[graph.route(m, odd, multi).alias(x) for m, x in (("full", "f"), ("nli", "a"), ("llm", "b"), ("none", "c"))])
+    return table(spark, d, "orders").select("o_orderkey", *[graph.route_by(m, odd, multi).alias(x) for m, x in (("full", "f"), ("nli", "a"), ("llm", "b"), ("none", "c"))])
 
 
 @query("SELECT doc_id, len(list_distinct(m)) AS n_refs, len(m) AS n_markers FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[a-z]+tion') AS m FROM documents)")

@@ -372,6 +372,13 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["hybrid_retrieval"] = flagship
+_SET = f"list_distinct(list_filter(regexp_extract_all(lower(coalesce({{}}, '')), '[a-z0-9]+'), lambda w: NOT list_contains({_list(text.ANSWER_STOP_WORDS)}, w)))"
+ORACLES["hybrid_retrieval"] = f"""WITH {RRF}, h AS (SELECT query_id, doc_id FROM (SELECT *, {_RANK} AS rank FROM rs) WHERE rank <= 30),
+dw AS (SELECT doc_id, {_SET.format('text')} AS a FROM documents WHERE doc_id IN (SELECT doc_id FROM h)), qw2 AS (SELECT item_id AS query_id, {_SET.format('text')} AS b FROM benchmark),
+j AS (SELECT query_id, doc_id, {_list(TITLES)}[doc_id % {len(TITLES)} + 1] AS section, len(a) AS na, len(b) AS nb, len(list_intersect(a, b)) AS n FROM h JOIN dw USING (doc_id) JOIN qw2 USING (query_id)),
+k AS (SELECT query_id, doc_id, section, CASE WHEN na > 0 AND nb > 0 THEN n / (na + nb - n) ELSE 0.0 END::DOUBLE AS score FROM j),
+b AS (SELECT query_id, doc_id, section, CASE WHEN section = 'Methods' THEN score + 0.1::DOUBLE * max(score) OVER (PARTITION BY query_id) ELSE score END AS score FROM k)
+SELECT * FROM (SELECT query_id, doc_id, doc_id::VARCHAR AS paper_id, section, round(score, 6) AS score, {_RANK}::INT AS rank FROM b) WHERE rank <= 15"""
 
 
 # -- sections

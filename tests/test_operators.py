@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import imrad, scores, text
 from tessera.operators import answers, chunking, citations, evaluation, graph, retrieval, sections, tables
+from tessera.plans import queries
 from tessera.plans.engine import Config
 from tessera.sources import readers, writers
 
@@ -250,3 +251,24 @@ def test_labels_of_nodes_and_metrics(spark):
     assert label("claim", "claim:abcdef", "a b c d e f g", "", "", None) == "a b c d e f…" and label("claim", "claim:abcdef", " ", "", "", None) == "abcdef"
     assert one(spark, text.metric_key(F.lit("Claim-Coverage  score [GEval]"))) == "claim_coverage_score"
     assert one(spark, text.key_phrases(F.lit("short. This one is long enough. Third piece here"))) == ["This one is long enough"]
+
+
+def test_claim_queries_are_those_of_a_plain_choice(spark, small):
+    scored: dict = {}
+    for r in queries._scored(spark, small).collect():
+        scored.setdefault(r["query_id"], []).append((r["claim_id"], r["text"], r["sub_queries"], r["claim_score"]))
+    want = {q: plain_selection(own, 5, 12, 2) for q, own in scored.items()}
+    got: dict = {}
+    for r in queries.claim_selection(spark, small).orderBy("query_id", "ordinal").collect():
+        got.setdefault(r["query_id"], []).append(r["claim_id"])
+    assert got == want
+    # A sentence cites its own claim and the one before; numbers follow first appearance.
+    cited = {(r["query_id"], r["sentence_pos"], r["chunk_uid"]): r["number"] for r in queries.citation_numbering(spark, small).collect()}
+    plain = {}
+    for q, ids in want.items():
+        seen: dict = {}
+        for pos in range(1, len(ids) + 1):
+            for ordinal in (pos, pos - 1):
+                if 1 <= ordinal <= len(ids):
+                    plain[q, pos, ids[ordinal - 1]] = seen.setdefault(ids[ordinal - 1], len(seen) + 1)
+    assert cited == plain
