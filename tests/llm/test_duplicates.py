@@ -213,6 +213,18 @@ def test_substrings_of_edge_rows(spark):
     assert by[8][0] == by[8][1] and substrings.dedup(edge_docs(spark).limit(0)).count() == 0
 
 
+def test_repeats_compact_and_are_verified_at_their_sources(spark):
+    found = [(1, 10, 3, 0, 5), (1, 13, 2, 0, 8), (1, 15, 4, 0, 11), (1, 19, 1, 2, 12), (1, 20, 1, 2, 13), (3, 0, 5, 1, 0)]
+    spans = substrings.compact(spark.createDataFrame(found, "key long, start long, windows long, src_key long, src_start long"))
+    assert sorted(map(tuple, spans.select("key", "start", "windows", "src_key", "src_start").collect())) == [(1, 10, 5, 0, 5), (1, 15, 4, 0, 11), (1, 19, 2, 2, 12), (3, 0, 5, 1, 0)]
+    one, other = [b"a%d" % i for i in range(60)], [b"a%d" % (i + 7) for i in range(53)]
+    at = lambda what, start: {"start": start, "windows": 9, "what": what, "src_key": 4, "src_start": 10}
+    for words, wrong in ((other, False), ([*other[:20], b"x", *other[21:]], True)):
+        rows = [(substrings.checks(one, [at(substrings.SOURCE, 10)]),), (substrings.checks(words, [at(substrings.REMOVE, 3), at(substrings.SPELL, 0)]),), (None,)]
+        assert substrings.differ(spark.createDataFrame(rows, "checks binary")) == wrong
+    assert substrings.differ(spark.createDataFrame([], "checks binary")) is False
+
+
 def plain_edits(item: list[str], text: list[str]) -> int:
     cost = [0] * (len(text) + 1)
     for x in item:
