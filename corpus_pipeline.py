@@ -1,34 +1,41 @@
-"""The corpus pipeline: five stages over ``documents``, each calling one operator of the library."""
+"""The corpus pipeline: five stages over ``documents``, each calling one operator of the library.
+
+Every stage takes null, empty and very long texts, null and repeated ids, repeated rows,
+an empty table (which gives none) and further columns of any name; what it makes of them its docstring says.
+"""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, pieces, pii, quality, simhash
-from tessera.llm.common import shared_folder, table
+from tessera.llm.common import discard, stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
+    """Documents that no quality rule rejects. Null, empty and short texts are rejected; equal rows share a verdict."""
     return quality.keep(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8."""
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8.
+
+    The one of least id stays; where ids are null or repeat, the first in order of id (null last)
+    and text. Null and empty texts are one group, and of equal rows one stays.
+    """
     return simhash.drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item stands."""
+    """Documents in which no benchmark item stands, judged row by row. Null and empty texts stay."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind; n_chars follows a changed text."""
+    """All documents, with personal data replaced by its kind; n_chars follows the text. A null text stays null, with 0 characters."""
     clean = pii.redact_column(docs)
     if "n_chars" not in docs.columns:
         return clean
@@ -36,7 +43,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document."""
+    """Piece ids of every row. A null text has null ids, an empty one none; a null id hashes like zero."""
     return pieces.encode(docs)
 
 
@@ -53,11 +60,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn, each written as Parquet to the shared folder and read again as the next one's input."""
-    docs = table(spark, sf_dir, "documents")
-    at = f"{shared_folder(spark)}/corpus_pipeline_{uuid.uuid4().hex}"
-    for i, (name, stage) in enumerate(STAGES):
-        path = f"{at}/{i}_{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    """The stages in turn, each written as Parquet to the shared folder and read again as the next one's input.
+
+    What a stage has read is deleted once its own output is whole; the last one's stays for the caller.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir))
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
