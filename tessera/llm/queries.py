@@ -1,4 +1,8 @@
-"""The registered queries of this subpackage, with SQL where SQL can say the same."""
+"""The registered queries of this subpackage, with SQL where SQL can say the same.
+
+Each applies its operator to the whole of its table. Of null, empty and very long texts,
+ties, repeated rows and empty tables each makes what its operator's docstring states.
+"""
 
 from __future__ import annotations
 
@@ -19,42 +23,52 @@ def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """urls.judge: every page's url by rules and by the reputation of its host."""
     return urls.judge(table(spark, sf_dir, "pages"), page_outcomes(spark, sf_dir))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """quality.judge: counts and verdicts of every document."""
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """decontaminate.matches: every benchmark item in every document."""
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pieces.encode: ids of every document, with merge dropout."""
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """simhash.near_duplicates: every document's fingerprint and component."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """substrings.dedup: what is left of every document without repeated windows."""
     return substrings.dedup(table(spark, sf_dir, "documents"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pii.scan: personal data of every document."""
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """secrets.scan: secrets of every document."""
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lm.score: every document under a model of the training ones."""
     return lm.score(table(spark, sf_dir, "documents"))
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """langid.identify: the languages of every document."""
     return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "langs")
 
 
