@@ -711,8 +711,7 @@ def knn_neighbor_sample(spark, d):
 
 
 def _fresh(spark) -> str:
-    tables.checkpoint(spark.range(1))  # gives a session without a shared folder one of its own
-    return f"{spark.sparkContext.getCheckpointDir()}/stream_{uuid.uuid4().hex}"
+    return f"{tables.shared_folder(spark)}/stream_{uuid.uuid4().hex}"
 
 
 @query("SELECT event_id, user_id, event_type FROM events")
@@ -727,6 +726,5 @@ def stream_ingest(spark, d):
 def stream_windowed_counts(spark, d):
     at, schema = _fresh(spark), table(spark, d, "events").schema
     counts = ingest.windowed_counts(ingest.file_stream(spark, f"{d}/events.parquet", schema), "ts", "event_type")
-    write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{at}/table")
-    counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{at}/table").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    ingest.keep_updates(counts, f"{at}/table", f"{at}/log").awaitTermination()
+    return ingest.latest_updates(spark, f"{at}/table", ["start", "event_type"], "n").withColumn("start", F.col("start").cast("timestamp_ntz"))

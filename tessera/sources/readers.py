@@ -39,8 +39,9 @@ def batch_files(spark: SparkSession, folder: str, schema: StructType | str, stem
 def tar_lines(spark: SparkSession, path: str) -> DataFrame:
     """(member, line_no, line) of the ``.jsonl`` and ``.jsonl.gz`` members of tar archives, plain or gzipped.
 
-    An archive can't be split, so each is one task's stream: lines leave it in batches and
-    no member is held whole. Blank and undecodable lines fall away.
+    An archive can't be split: its compressed bytes are one cell, of 2 GB at most (larger ones
+    are to be cut beforehand), from which lines leave in batches; no member is held
+    whole. Blank and undecodable lines fall away.
     """
 
     def lines(content: bytes) -> Iterator[tuple[str, int, str]]:

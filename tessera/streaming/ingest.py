@@ -42,6 +42,23 @@ def windowed_counts(stream: DataFrame, time: str, key: str, window: str = "1 hou
     return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, window).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
 
 
+def keep_updates(counts: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Write what each batch has changed to a folder of its own.
+
+    The state of windows that the watermark has passed is freed; a batch that is run again replaces its folder.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    return counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_updates(spark: SparkSession, table: str, keys: list[str], value: str) -> DataFrame:
+    """The last written value of each key."""
+    return spark.read.parquet(table).groupBy(*keys).agg(F.max_by(value, "batch").alias(value))
+
+
 def sections_when_complete(stream: DataFrame, time: str, late: str = "1 hour", gap: str = "30 minutes") -> DataFrame:
     """Sections of papers whose chunks have stopped coming for ``gap``: a session window a section, so none is cut by page or batch.
 

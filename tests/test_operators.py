@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import gzip
 import io
 import json
@@ -19,6 +20,7 @@ from tessera.operators import answers, chunking, citations, evaluation, graph, r
 from tessera.plans import queries
 from tessera.plans.engine import Config
 from tessera.sources import readers, writers
+from tessera.streaming import ingest
 
 
 def one(spark, column):
@@ -272,3 +274,30 @@ def test_claim_queries_are_those_of_a_plain_choice(spark, small):
                 if 1 <= ordinal <= len(ids):
                     plain[q, pos, ids[ordinal - 1]] = seen.setdefault(ids[ordinal - 1], len(seen) + 1)
     assert cited == plain
+
+
+def test_windows_over_several_batches_and_late_rows(spark, tmp_path):
+    schema = "ts timestamp, kind string"
+    at = lambda h, m: datetime.datetime(2024, 1, 1, h, m)
+    batches = [[(at(1, 5), "a"), (at(1, 50), "a"), (at(2, 1), "b")], [(at(1, 59), "a"), (at(9, 0), "a")], [(at(1, 30), "a"), (at(9, 30), "a")]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"), mode="append")
+        counts = ingest.windowed_counts(ingest.file_stream(spark, str(tmp_path / "in"), schema), "ts", "kind")
+        ingest.keep_updates(counts, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
+    got = {(r["start"].hour, r["kind"]): r["n"] for r in ingest.latest_updates(spark, str(tmp_path / "out"), ["start", "kind"], "n").collect()}
+    # The last row of one o'clock comes after the watermark has passed its window.
+    assert got == {(1, "a"): 3, (2, "b"): 1, (9, "a"): 2}
+
+
+def test_sections_are_given_when_their_paper_has_ended(spark, tmp_path):
+    schema = "paper_id string, title_norm string, chunk_index int, text string, time timestamp"
+    at = lambda h, m: datetime.datetime(2024, 1, 1, h, m)
+    rows = [("p", "intro", 1, "second", at(1, 10)), ("p", "intro", 0, "first", at(1, 0)), ("q", "intro", 0, "other", at(8, 0))]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = ingest.sections_when_complete(ingest.file_stream(spark, str(tmp_path / "in"), schema), "time")
+    out, log = str(tmp_path / "out"), str(tmp_path / "log")
+    for _ in range(2):
+        stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+        spark.createDataFrame([("r", "end", 0, "x", at(20, 0))], schema).coalesce(1).write.parquet(str(tmp_path / "in"), mode="append")
+    got = {(r["paper_id"], r["chunk_index_min"], r["n_chunks"], r["text"]) for r in spark.read.parquet(out).collect()}
+    assert ("p", 0, 2, "first") in got
