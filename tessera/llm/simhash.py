@@ -287,7 +287,7 @@ def reach(similarity: float) -> int:
 def bands(hashes: np.ndarray, seed: int = 5) -> np.ndarray:
     """BANDS keys of a set, each of its least hashes under JOINED permutations; none for an empty one.
 
-    Two sets share a key of similarity**JOINED chance, so at 0.8 all keys miss about 1 pair in 400.
+    Two sets share a key of similarity**JOINED chance, so at 0.8 all keys miss about 1 pair in 640.
     """
     if not hashes.size:
         return np.zeros(0, np.uint64)
@@ -439,7 +439,7 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str
     What is left open is compared in tiles by fingerprint, and pairs within reach, of like
     size and of two groups are confirmed by their sets (32 bits a shingle), in the tile. So
     every pair that shares a key is looked at or joined by others; a link is lost only where
-    two texts share no key, about 1 in 400 of those at just 0.8.
+    two texts share no key, about 1 in 640 of those at just 0.8.
     """
     radius = reach(similarity)
     own = stored(sketches(docs, words, id_col, text_col))
