@@ -8,10 +8,12 @@ anchor but not all words branch somewhere: the first source of each is spelt out
 edges, and those are settled one by one in the same way. Only the branching part of
 the repeated part of the graph is ever handled edge by edge.
 
-Repeats that follow each other in a text and in their source do not branch between them:
-they are compacted into one long span. Paths and edges are found equal by 64-bit hashes;
-then both texts are read at the coordinates of each span, and 128-bit digests of the words
-that stand there are compared. Should one differ, all is done again under another seed.
+Of the repeated paths and edges a join of their places finds which follows which, and
+the degree of the node between. Where it does not branch they are linked, and joins of
+doubling reach compact each chain of links into one long span. Paths and edges are found
+equal by 64-bit hashes; then both texts are read at the coordinates of each span, and 128-bit
+digests of the words that stand there are compared. Should one differ, all is done again
+under another seed.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import SLICE_ROWS, checkpoint, discard, stored
@@ -191,13 +193,68 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 RANGE = "struct<start:int,windows:int,what:int,src_key:bigint,src_start:int>"
 
 
+def classes(found: DataFrame) -> DataFrame:
+    """Repeats (key, start, windows, src_key, src_start) with (ck, cs), the first source of their path in all texts.
+
+    A task names the first that it saw itself, which may be a repeat of an earlier one elsewhere.
+    So a path of many repeats meets its first source once a chunk of texts, not once a repeat.
+    """
+    elsewhere = found.select(F.col("key").alias("src_key"), F.col("start").alias("src_start"), F.col("src_key").alias("ck"), F.col("src_start").alias("cs"))
+    named = found.select("src_key", "src_start").distinct().join(elsewhere, ["src_key", "src_start"], "left")
+    first = named.select("src_key", "src_start", F.coalesce("ck", "src_key").alias("ck"), F.coalesce("cs", "src_start").alias("cs"))
+    return found.join(first, ["src_key", "src_start"])
+
+
+def degrees(repeats: DataFrame) -> DataFrame:
+    """(ck, cs, windows, n, m, least, most) of each repeated path: its places, those that another such path follows, and the least and greatest to follow."""
+    sources = repeats.select(F.col("ck").alias("key"), F.col("cs").alias("start"), "windows", "ck", "cs").distinct()
+    places = repeats.select("key", "start", "windows", "ck", "cs").unionByName(sources)
+    after = places.select("key", "start", F.col("ck").alias("nk"), F.col("cs").alias("ns"))
+    steps = places.withColumn("start", F.col("start") + F.col("windows")).join(after, ["key", "start"], "left")
+    follower = F.struct("nk", "ns")
+    return steps.groupBy("ck", "cs").agg(F.first("windows").alias("windows"), F.count("*").alias("n"), F.count("ns").alias("m"), F.min(follower).alias("least"), F.max(follower).alias("most"))
+
+
+def links(degree: DataFrame) -> DataFrame:
+    """(ck, cs, to): paths with the one path that they always follow and that nothing else follows.
+
+    All places of the one lead to the other, and both have as many: the node between them
+    does not branch. Their first sources then follow each other in one text.
+    """
+    leads = degree.where("m = n AND least = most AND least.nk = ck").select("ck", F.col("least.ns").alias("cs"), F.col("cs").alias("to"), "n")
+    return leads.join(degree.select("ck", "cs", "n"), ["ck", "cs", "n"]).select("ck", "cs", "to")
+
+
+def heads(linked: DataFrame) -> DataFrame:
+    """(ck, cs, to) with the first path of each chain of links in ``to``, by joins that double their reach each round.
+
+    Until it is done, no two paths point to the same one: no join key is hot.
+    """
+    now = stored(linked.withColumn("done", F.lit(False)))
+    while not now.where("NOT done").isEmpty():
+        ahead = now.select("ck", F.col("cs").alias("to"), F.col("to").alias("far"), F.col("done").alias("end"))
+        moved = now.where("NOT done").join(ahead, ["ck", "to"], "left").select("ck", "cs", F.coalesce("far", "to").alias("to"), F.coalesce("end", F.lit(True)).alias("done"))
+        before, now = now, stored(moved.unionByName(now.where("done")))
+        discard(before)
+    return now
+
+
 def compact(found: DataFrame) -> DataFrame:
-    """Spans (key, start, windows, src_key, src_start): repeats that follow each other in their text and in one source as one."""
-    w = Window.partitionBy("key").orderBy("start")
-    ahead = lambda c: F.lag(c).over(w) + F.lag("windows").over(w)
-    goes_on = (ahead("start") == F.col("start")) & (F.lag("src_key").over(w) == F.col("src_key")) & (ahead("src_start") == F.col("src_start"))
-    runs = found.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("key", "run").agg(F.min("start").alias("start"), F.sum("windows").alias("windows"), F.min("src_key").alias("src_key"), F.min("src_start").alias("src_start")).drop("run")
+    """Spans (key, start, windows, src_key, src_start): the places of repeated paths, nonbranching chains of them as one.
+
+    found: places of repeated paths. Every place of a chain is a place of its first path.
+    """
+    repeats = stored(classes(found))
+    degree = stored(degrees(repeats))
+    chained = heads(links(degree))
+    members = degree.select("ck", "cs", "windows").join(chained.select("ck", "cs", "to"), ["ck", "cs"], "left")
+    chains = members.select("ck", F.coalesce("to", "cs").alias("head"), (F.col("cs") + F.col("windows")).alias("end")).groupBy("ck", "head").agg(F.max("end").alias("end"))
+    chains = chains.select("ck", F.col("head").alias("cs"), (F.col("end") - F.col("head")).alias("windows"))
+    named = repeats.select("src_key", "src_start", "ck", "cs").distinct().join(chains, ["ck", "cs"])
+    spans = repeats.select("key", "start", "src_key", "src_start").join(named, ["src_key", "src_start"])
+    out = stored(spans.select("key", "start", "windows", F.col("ck").alias("src_key"), F.col("cs").alias("src_start")))
+    discard(repeats, degree, chained)
+    return out
 
 
 def ranges_of(settled: DataFrame, spans: DataFrame) -> DataFrame:
@@ -357,14 +414,14 @@ def _attempt(own: DataFrame, seed: int) -> DataFrame | None:
 
     spark = own.sparkSession
     settled = stored(_settled(own.mapInArrow(lambda b: scan(b, seed), RECORD)))
-    spans = stored(compact(settled.where(F.col("what") == REMOVE).drop("what")))
+    spans = compact(settled.where(F.col("what") == REMOVE).drop("what"))
     first = _arrow_schema(spark, FIRST)
     joined = own.mapInArrow(squeeze, "key long, z binary").join(ranges_of(settled, spans), "key", "left").select("key", "z", "ranges")
     step = checkpoint(joined.mapInArrow(lambda b: apply_paths(b, first, seed), FIRST))
     discard(settled, spans)
     spelt = step.where(F.col("hashes").isNotNull())
     more = stored(_settled(spelt.select("key", "hashes", "starts").mapInArrow(edges, RECORD)).where(F.col("what") == REMOVE))
-    spans = stored(compact(more.drop("what")))
+    spans = compact(more.drop("what"))
     last = "key long, n_words long, n_removed long, kept_sha256 string, checks binary"
     last_schema = _arrow_schema(spark, last)
     rest = spelt.select("key", "z", "mask").join(ranges_of(more, spans), "key", "left").select("key", "z", "mask", "ranges")

@@ -225,6 +225,56 @@ def test_repeats_compact_and_are_verified_at_their_sources(spark):
     assert substrings.differ(spark.createDataFrame([], "checks binary")) is False
 
 
+def plain_chains(found: list[tuple]) -> list[tuple]:
+    """Spans of (key, start, windows, src_key, src_start) places, chained where no place goes on otherwise."""
+    first = {(k, s): (a, b) for k, s, _, a, b in found}
+    path = {(k, s): first.get(src, src) for (k, s), src in first.items()}
+    width = {path[k, s]: n for k, s, n, _, _ in found}
+    path |= {p: p for p in width}
+    places: dict = {}
+    for at, p in path.items():
+        places.setdefault(p, []).append(at)
+    then = {p: {path.get((k, s + width[p])) for k, s in at} for p, at in places.items()}
+    link = {p: q for p, (q, *more) in then.items() if not more and q is not None and len(places[q]) == len(places[p])}
+    spans = []
+    for p in set(places) - set(link.values()):
+        n, q = width[p], p
+        while q in link:
+            q = link[q]
+            n += width[q]
+        spans += [(k, s, n, *p) for k, s in places[p] if (k, s) != p]
+    return sorted(spans)
+
+
+def test_chains_of_paths(spark):
+    rng = random.Random(8)
+    passages = [[(i, j) for j in range(rng.randrange(1, 40))] for i in range(9)]
+    texts = []
+    for _ in range(60):
+        text: list = []
+        for _ in range(rng.randrange(1, 6)):
+            c = rng.choice(passages)
+            text += c[: rng.randrange(1, len(c) + 1)] if rng.random() < 0.5 else c
+        texts.append(text)
+    widths = {w: 1 + sum(w) % 5 for c in passages for w in c}
+    seen, near, found = {}, {}, []
+    for k, text in enumerate(texts):
+        s = 0
+        for w in text:
+            if w in seen:  # a repeat names the first of its ten texts, which names the first of all
+                found.append((k, s, widths[w], *near.get((k // 10, w), seen[w])))
+            seen.setdefault(w, (k, s))
+            near.setdefault((k // 10, w), (k, s))
+            s += widths[w]
+    schema = "key long, start long, windows long, src_key long, src_start long"
+    got = substrings.compact(spark.createDataFrame(found, schema)).select("key", "start", "windows", "src_key", "src_start")
+    want = plain_chains(found)
+    assert sorted(map(tuple, got.collect())) == want and len(want) < len(found)
+    assert substrings.compact(spark.createDataFrame([], schema)).count() == 0
+    copy = [(1, 2 * i, 2, 0, 2 * i) for i in range(3000)]
+    assert [tuple(r) for r in substrings.compact(spark.createDataFrame(copy, schema)).select("key", "start", "windows", "src_key", "src_start").collect()] == [(1, 0, 6000, 0, 0)]
+
+
 def plain_edits(item: list[str], text: list[str]) -> int:
     cost = [0] * (len(text) + 1)
     for x in item:
