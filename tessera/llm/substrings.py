@@ -193,26 +193,27 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 RANGE = "struct<start:int,windows:int,what:int,src_key:bigint,src_start:int>"
 
 
-def classes(found: DataFrame) -> DataFrame:
-    """Repeats (key, start, windows, src_key, src_start) with (ck, cs), the first source of their path in all texts.
+def sources(found: DataFrame) -> DataFrame:
+    """(src_key, src_start, windows, ck, cs): each source that repeats (key, start, windows, src_key, src_start) name, with the first source of its path in all texts.
 
     A task names the first that it saw itself, which may be a repeat of an earlier one elsewhere.
     So a path of many repeats meets its first source once a chunk of texts, not once a repeat.
     """
     elsewhere = found.select(F.col("key").alias("src_key"), F.col("start").alias("src_start"), F.col("src_key").alias("ck"), F.col("src_start").alias("cs"))
-    named = found.select("src_key", "src_start").distinct().join(elsewhere, ["src_key", "src_start"], "left")
-    first = named.select("src_key", "src_start", F.coalesce("ck", "src_key").alias("ck"), F.coalesce("cs", "src_start").alias("cs"))
-    return found.join(first, ["src_key", "src_start"])
+    named = found.groupBy("src_key", "src_start").agg(F.max("windows").alias("windows")).join(elsewhere, ["src_key", "src_start"], "left")
+    return named.select("src_key", "src_start", "windows", F.coalesce("ck", "src_key").alias("ck"), F.coalesce("cs", "src_start").alias("cs"))
 
 
-def degrees(repeats: DataFrame) -> DataFrame:
-    """(ck, cs, windows, n, m, least, most) of each repeated path: its places, those that another such path follows, and the least and greatest to follow."""
-    sources = repeats.select(F.col("ck").alias("key"), F.col("cs").alias("start"), "windows", "ck", "cs").distinct()
-    places = repeats.select("key", "start", "windows", "ck", "cs").unionByName(sources)
+def degrees(places: DataFrame) -> DataFrame:
+    """(ck, cs, windows, n, m, least, most) of each repeated path (ck, cs): its places, and what follows there.
+
+    places: (key, start, windows, ck, cs), first sources included. Of the ``m`` followers whose
+    first source lies in the same text, it holds the least and the greatest start of that.
+    """
     after = places.select("key", "start", F.col("ck").alias("nk"), F.col("cs").alias("ns"))
     steps = places.withColumn("start", F.col("start") + F.col("windows")).join(after, ["key", "start"], "left")
-    follower = F.struct("nk", "ns")
-    return steps.groupBy("ck", "cs").agg(F.first("windows").alias("windows"), F.count("*").alias("n"), F.count("ns").alias("m"), F.min(follower).alias("least"), F.max(follower).alias("most"))
+    near = F.when(F.col("nk") == F.col("ck"), F.col("ns"))
+    return steps.groupBy("ck", "cs").agg(F.max("windows").alias("windows"), F.count("*").alias("n"), F.count(near).alias("m"), F.min(near).alias("least"), F.max(near).alias("most"))
 
 
 def links(degree: DataFrame) -> DataFrame:
@@ -221,7 +222,7 @@ def links(degree: DataFrame) -> DataFrame:
     All places of the one lead to the other, and both have as many: the node between them
     does not branch. Their first sources then follow each other in one text.
     """
-    leads = degree.where("m = n AND least = most AND least.nk = ck").select("ck", F.col("least.ns").alias("cs"), F.col("cs").alias("to"), "n")
+    leads = degree.where("m = n AND least = most").select("ck", F.col("least").alias("cs"), F.col("cs").alias("to"), "n")
     return leads.join(degree.select("ck", "cs", "n"), ["ck", "cs", "n"]).select("ck", "cs", "to")
 
 
@@ -244,16 +245,19 @@ def compact(found: DataFrame) -> DataFrame:
 
     found: places of repeated paths. Every place of a chain is a place of its first path.
     """
-    repeats = stored(classes(found))
-    degree = stored(degrees(repeats))
+    named = stored(sources(found))
+    again = found.select("key", "start", "src_key", "src_start")
+    once = named.groupBy("ck", "cs").agg(F.max("windows").alias("windows")).select(F.col("ck").alias("key"), F.col("cs").alias("start"), "windows", "ck", "cs")
+    places = stored(again.join(named, ["src_key", "src_start"]).select("key", "start", "windows", "ck", "cs").unionByName(once))
+    degree = stored(degrees(places))
+    discard(places)
     chained = heads(links(degree))
     members = degree.select("ck", "cs", "windows").join(chained.select("ck", "cs", "to"), ["ck", "cs"], "left")
     chains = members.select("ck", F.coalesce("to", "cs").alias("head"), (F.col("cs") + F.col("windows")).alias("end")).groupBy("ck", "head").agg(F.max("end").alias("end"))
     chains = chains.select("ck", F.col("head").alias("cs"), (F.col("end") - F.col("head")).alias("windows"))
-    named = repeats.select("src_key", "src_start", "ck", "cs").distinct().join(chains, ["ck", "cs"])
-    spans = repeats.select("key", "start", "src_key", "src_start").join(named, ["src_key", "src_start"])
+    spans = again.join(named.select("src_key", "src_start", "ck", "cs").join(chains, ["ck", "cs"]), ["src_key", "src_start"])
     out = stored(spans.select("key", "start", "windows", F.col("ck").alias("src_key"), F.col("cs").alias("src_start")))
-    discard(repeats, degree, chained)
+    discard(named, degree, chained)
     return out
 
 
