@@ -114,3 +114,18 @@ def parse_items(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["id", "pos", "item"])
 
     return texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInPandas(run, "id long, pos int, item string")
+
+
+def answerable(claims: DataFrame, said: DataFrame) -> DataFrame:
+    """Claims whose verdict lets them into an answer: the judge's, or the node's own where the judge said none.
+
+    claims: (query_id, claim_id, ..., verdict); said: (query_id, claim_id, verdict).
+    """
+    judge = said.select("query_id", "claim_id", F.nullif("verdict", F.lit("")).alias("_said"))
+    joined = claims.join(judge, ["query_id", "claim_id"], "left").withColumn("verdict", F.coalesce("_said", "verdict"))
+    return joined.where(F.col("verdict").isin("Supported", "Inconclusive")).select(*claims.columns)
+
+
+def whole_question(queries: DataFrame) -> DataFrame:
+    """A query that was not taken apart, as its own sub-query of full weight. queries: (query_id, text)."""
+    return queries.select("query_id", F.lit(0).alias("sq_idx"), "text", F.array(F.lit("Introduction"), F.lit("Introduction")).alias("sections"), F.lit(1.0).alias("weight"))

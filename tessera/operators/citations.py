@@ -110,3 +110,46 @@ def link_claims(linked: DataFrame, spans: DataFrame, cutoff: float = 0.85) -> Da
     fuzzy = pick(close, [F.desc("ratio"), "cite_index"]).select(*keys, "paper_id", F.lit("similar").alias("how"))
     last = rest.join(fuzzy, keys, "left_anti").withColumn("ids", ids_in_text(F.col("raw"))).select(*keys, F.nullif(F.when(F.col("ids.arxiv") != "", F.col("ids.arxiv")).otherwise(F.col("ids.doi")), F.lit("")).alias("paper_id"), F.lit("in_text").alias("how"))
     return equal.unionByName(fuzzy).unionByName(last.where("paper_id IS NOT NULL"))
+
+
+# Ids as they stand in bibliography entries.
+ENTRY_DOI = r"10\.\d{4,}/\S+"
+ENTRY_ARXIV = r"(?i)(?:arxiv[^\d]*)?([0-9]{4}\.[0-9]{4,5}|(?:hep-ph|hep-th|cs|math|eess|stat|physics)/[0-9]{7})"
+# Where an entry keeps its ids, first ones first: keys, fields of such a key's object, a list, raw texts.
+DOI_PLACES = (("doi", "DOI", "ids"), ("doi", "DOI"), "contained_links")
+ARXIV_PLACES = (("arxiv_id", "arxivId", "eprint", "ids"), ("arxiv", "arxiv_id", "eprint"), "contained_arXiv_ids")
+OPENALEX_PLACES = (("openalex_id", "open_alex_id", "openAlexId", "ids"), ("openalex_id", "open_alex_id", "openAlexId"))
+
+
+def entry_ids(entry: Column) -> Column:
+    """(doi, arxiv_id, openalex_id, title) of a bibliography entry in JSON, whose keys hold texts, objects or lists.
+
+    The first place that has an id gives it; no JSON gives nulls.
+    """
+    held = F.try_parse_json(entry)
+
+    def text(path: str) -> Column:
+        kind = F.schema_of_variant(F.try_variant_get(held, path, "variant"))
+        return F.when(kind == "STRING", F.nullif(F.trim(F.try_variant_get(held, path, "string")), F.lit("")))
+
+    def match(x: Column, pattern: str) -> Column:
+        return F.nullif(F.regexp_extract(x, pattern, 0), F.lit(""))
+
+    def any_of(path: str, pattern: str) -> Column:
+        listed = F.try_variant_get(held, path, "array<string>")
+        return F.get(F.filter(F.transform(listed, lambda x: match(x, pattern)), lambda x: x.isNotNull()), F.lit(0))
+
+    raw = F.coalesce(text("$.raw_text"), text("$.raw"))
+
+    def found(places: tuple, pattern: str, lists: bool) -> Column:
+        keys, fields, links = places
+        tried = []
+        for k in keys:
+            tried += [match(text(f"$.{k}"), pattern), *[text(f"$.{k}.{f}") for f in fields]]
+            if lists:
+                tried.append(any_of(f"$.{k}", pattern))
+        return F.coalesce(*tried, any_of(f"$.{links}", pattern), match(raw, pattern))
+
+    openalex = [x for k in OPENALEX_PLACES[0] for x in (text(f"$.{k}"), *[text(f"$.{k}.{f}") for f in OPENALEX_PLACES[1]])]
+    title = [F.when(F.length(text(f"$.{k}")) > 5, text(f"$.{k}")) for k in ("title", "bib_entry_raw")]
+    return F.struct(found(DOI_PLACES, ENTRY_DOI, True).alias("doi"), found(ARXIV_PLACES, ENTRY_ARXIV, False).alias("arxiv_id"), F.coalesce(*openalex).alias("openalex_id"), F.coalesce(*title).alias("title"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scores
-from tessera.functions.text import claim_type, judged_relation
+from tessera.functions.text import claim_type, display_label, judged_relation
 from tessera.operators.tables import checkpoint
 
 # Relations of evidence, and those that keep a claim within one hop.
@@ -197,3 +197,34 @@ def route_by(mode: str, contradicted: Column, multi_hop: Column) -> Column:
     if mode not in ("full", "nli", "llm", "none"):
         raise ValueError(f"no such mode of judging: {mode}")
     return F.when(contradicted | multi_hop, "llm").otherwise("nli") if mode == "full" else F.lit(mode)
+
+
+def viewer_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes as a viewer shows them: a label, a short id, at most 800 characters of text on one line, a rounded score.
+
+    nodes: (query_id, node_id, node_type, text, paper_id, section, chunk_index, score).
+    """
+    node, line = F.col("node_id"), F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
+    short = F.concat(F.substring(node, 1, 32), F.when(F.length(node) > 32, "…").otherwise(""))
+    return nodes.select(
+        "query_id", "node_id", F.col("node_type").alias("type"),
+        display_label(F.col("node_type"), node, F.col("text"), F.col("paper_id"), F.col("section"), F.col("chunk_index")).alias("label"),
+        F.when(F.col("node_type") == "paper", F.coalesce(F.nullif("paper_id", F.lit("")), node)).otherwise(short).alias("display_id"),
+        F.substring(line, 1, 800).alias("full_text"), F.round(F.coalesce("score", F.lit(0.0)), 4).alias("score"),
+    )
+
+
+def viewer_edges(edges: DataFrame) -> DataFrame:
+    """Edges as a viewer shows them; those without a relation are ``related``. edges: (query_id, src, dst, relation, score)."""
+    kind = F.coalesce(F.nullif("relation", F.lit("")), F.lit("related"))
+    return edges.select("query_id", F.col("src").alias("source"), F.col("dst").alias("target"), kind.alias("relation"), F.round(F.coalesce("score", F.lit(0.0)), 4).alias("score"))
+
+
+def tallies(nodes: DataFrame, judged: DataFrame) -> DataFrame:
+    """(query_id, kind, bucket, n): a query's nodes by type, its claims by verdict and by who judged them; ``?`` if not said.
+
+    nodes: (query_id, node_type); judged: (query_id, verdict, verifier).
+    """
+    by = lambda df, kind, c: df.select("query_id", F.lit(kind).alias("kind"), F.coalesce(c, F.lit("?")).alias("bucket"))
+    each = by(nodes, "node_type", "node_type").unionByName(by(judged, "verdict", "verdict")).unionByName(by(judged, "verifier", "verifier"))
+    return each.groupBy("query_id", "kind", "bucket").agg(F.count("*").alias("n"))

@@ -86,3 +86,14 @@ def chunk_numbers(chunks: DataFrame, order: list[str]) -> DataFrame:
     """chunk_index from 0 and total_chunks of each paper."""
     w = Window.partitionBy("paper_id")
     return chunks.withColumns({"chunk_index": F.row_number().over(w.orderBy(*order)) - 1, "total_chunks": F.count("*").over(w)})
+
+
+def title_sources(labelled: DataFrame) -> DataFrame:
+    """(title_norm, source, n): where the labels of titles outside the usual ones come from."""
+    odd = labelled.where(~F.coalesce(F.col("label").isin(*imrad.ORDER), F.lit(False)))
+    return odd.groupBy("title_norm", "source").agg(F.count("*").alias("n"))
+
+
+def coverage(labelled: DataFrame) -> DataFrame:
+    """Sections, those with a label, and their share; 0 of none."""
+    return labelled.agg(F.count("*").alias("n_sections"), F.count("label").alias("n_labelled"), F.coalesce(F.round(F.count("label") / F.nullif(F.count("*"), F.lit(0)), 6), F.lit(0.0)).alias("coverage"))
