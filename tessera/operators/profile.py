@@ -79,7 +79,7 @@ def per_paper(papers: DataFrame) -> DataFrame:
 
 
 def paper_profile(papers: DataFrame) -> DataFrame:
-    """One row of counts over all papers, in one pass without a shuffle of rows; papers as in ``per_paper``.
+    """One row of counts over all papers, 0 of none, in one pass without a shuffle of rows; papers as in ``per_paper``.
 
     A cited reference resolves by the first of DOI, arXiv and third-party id that its entry has.
     """
@@ -99,4 +99,4 @@ def paper_profile(papers: DataFrame) -> DataFrame:
         *[F.sum(c).alias(c) for c in sums], F.sum(F.col("cited") - F.col("cited_doi") - F.col("cited_arxiv") - F.col("cited_openalex")).alias("cited_without_id"),
         F.sum(size("b")).alias("bib_entries"), *[entries(_has(c)).alias(f"bib_{c}") for c in ("doi", "arxiv_id", "openalex_id", "title")],
         entries(lambda x: x["year"]).alias("bib_year"), entries(some).alias("bib_any_id"), entries(lambda x: ~some(x)).alias("bib_without_id"),
-    )
+    ).fillna(0)
