@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, langid, lm, pieces, pii, quality, secrets, simhash, substrings, urls
+from tessera.llm import bpe, decontaminate, langid, lm, pieces, pii, quality, secrets, simhash, substrings, urls
 from tessera.llm.common import table
 
 
@@ -72,6 +72,13 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "langs")
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bpe.encode: ids of every document, and the text that they decode to."""
+    done = bpe.encode(table(spark, sf_dir, "documents"), decoded=True)
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return done.select("doc_id", "n_tokens", ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_urls": op1_urls,
     "op2_quality": op2_quality,
@@ -83,5 +90,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_lm": op9_lm,
     "op10_langid": op10_langid,
+    "op13_bpe": op13_bpe,
 }
 ORACLES: dict[str, str] = {"op1_urls": urls.ORACLE, "op2_quality": quality.ORACLE}
