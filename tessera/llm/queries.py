@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, langid, lm, pieces, pii, quality, secrets, simhash, substrings, urls
+from tessera.llm import bpe, collocations, decontaminate, langid, lm, pieces, pii, quality, secrets, simhash, substrings, urls, variants
 from tessera.llm.common import table
 
 
@@ -72,6 +72,16 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "langs")
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """variants.group: the spelling variants among the words of all documents, one in 199 of which loses a letter."""
+    return variants.group(variants.dictionary(table(spark, sf_dir, "documents"), slip=199))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """collocations.mine: each language's best phrases."""
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """bpe.encode: ids of every document, and the text that they decode to."""
     done = bpe.encode(table(spark, sf_dir, "documents"), decoded=True)
@@ -90,6 +100,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_lm": op9_lm,
     "op10_langid": op10_langid,
+    "op11_variants": op11_variants,
+    "op12_collocations": op12_collocations,
     "op13_bpe": op13_bpe,
 }
-ORACLES: dict[str, str] = {"op1_urls": urls.ORACLE, "op2_quality": quality.ORACLE}
+ORACLES: dict[str, str] = {"op1_urls": urls.ORACLE, "op2_quality": quality.ORACLE, "op12_collocations": collocations.ORACLE}
