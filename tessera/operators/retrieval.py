@@ -176,18 +176,32 @@ def sparse(docs: DataFrame, queries: DataFrame, k: int = 10, found: Postings | N
     return _scored(found, queries, k, lambda tf, n, at: 1 + np.log(tf), lambda marks: marks / np.maximum(np.sqrt(marks.sum(axis=0)), 1e-300), unit=True)
 
 
+def matrix(vectors: pa.Array) -> np.ndarray:
+    """Rows of unit length; none is null, and all have one width. A zero vector stays zero."""
+    v = vectors.flatten().to_numpy().astype(np.float64).reshape(len(vectors), -1)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
+def of_width(df: DataFrame, width: int) -> DataFrame:
+    """Rows whose vector has that many numbers, none of them null."""
+    return df.where((F.size("vector") == width) & ~F.exists("vector", lambda x: x.isNull()))
+
+
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, block_rows: int = 4096, by: Column | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): exact cosine of a stated query set against all vectors, in blocks.
 
     vectors: (doc_id, vector). queries: (query_id, vector). A block of queries is one
     matrix; each task scores its vectors against it and keeps ``k`` a query before
-    anything is shuffled.
+    anything is shuffled. Null vectors, and those with another width than the query's, are not met.
     """
     schema, arrow = hits_of(vectors, queries)
-    held = queries.select("query_id", "vector").orderBy("query_id").collect()
+    widths: dict[int, list] = {}
+    for r in queries.where("vector IS NOT NULL").select("query_id", "vector").orderBy("query_id").collect():
+        if r["vector"] and None not in r["vector"]:
+            widths.setdefault(len(r["vector"]), []).append(r)
     out = None
-    for lo in range(0, len(held), block_rows):
-        part = held[lo : lo + block_rows]
+    for width, lo in ((w, lo) for w, held in widths.items() for lo in range(0, len(held), block_rows)):
+        part = widths[width][lo : lo + block_rows]
         ids, q = [r["query_id"] for r in part], np.array([r["vector"] for r in part], np.float64)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
 
@@ -196,12 +210,10 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, block_rows: int =
             for batch in batches:
                 for at in range(0, batch.num_rows, SLICE_ROWS):
                     part = batch.slice(at, SLICE_ROWS)
-                    v = part.column(1).flatten().to_numpy().astype(np.float64).reshape(part.num_rows, -1)
-                    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                    best.add(np.array(part.column(0).to_pylist()), np.round(q @ v.T, 9))
+                    best.add(np.array(part.column(0).to_pylist()), np.round(q @ matrix(part.column(1)).T, 9))
             yield from best.rows(ids, arrow)
 
-        hits = vectors.select("doc_id", "vector").mapInArrow(score, schema)
+        hits = of_width(vectors, width).select("doc_id", "vector").mapInArrow(score, schema)
         out = hits if out is None else out.unionByName(hits)
     return top_k(out if out is not None else queries.sparkSession.createDataFrame([], schema), k)
 

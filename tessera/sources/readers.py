@@ -1,13 +1,7 @@
-"""Readers: JSON lines, archives of them, wrapped rows and attribute stores."""
+"""Readers: JSON lines, wrapped rows and attribute stores; archives of lines are in ``archives``."""
 
 from __future__ import annotations
 
-import gzip
-import io
-import tarfile
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -36,47 +30,6 @@ def batch_files(spark: SparkSession, folder: str, schema: StructType | str, stem
     return spark.read.schema(schema).json(found, mode="DROPMALFORMED") if found else spark.createDataFrame([], schema)
 
 
-def tar_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(member, line_no, line) of the ``.jsonl`` and ``.jsonl.gz`` members of tar archives, plain or gzipped.
-
-    An archive can't be split: its compressed bytes are one cell, of 2 GB at most (larger ones
-    are to be cut beforehand), from which lines leave in batches; no member is held
-    whole. Blank and undecodable lines fall away.
-    """
-
-    def lines(content: bytes) -> Iterator[tuple[str, int, str]]:
-        with tarfile.open(fileobj=io.BytesIO(content), mode="r|*") as archive:
-            for member in archive:
-                if not member.isfile() or not member.name.endswith((".jsonl", ".jsonl.gz")):
-                    continue
-                stream = archive.extractfile(member)
-                if member.name.endswith(".gz"):
-                    stream = gzip.GzipFile(fileobj=stream)
-                for i, raw in enumerate(stream):
-                    try:
-                        text = raw.decode().strip()
-                    except UnicodeDecodeError:
-                        continue
-                    if text:
-                        yield member.name, i, text
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                held: list[tuple[str, int, str]] = []
-                for row in lines(content.as_py()):
-                    held.append(row)
-                    if len(held) >= 4096:
-                        yield _batch(held)
-                        held = []
-                yield _batch(held)
-
-    def _batch(rows: list[tuple[str, int, str]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["member", "line_no", "line"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "member string, line_no long, line string")
-
-
 def parsed(lines: DataFrame, schema: StructType | str, column: str = "line") -> DataFrame:
     """Objects of a text column; those that aren't fall away."""
     return lines.select(F.from_json(column, schema).alias("o"), F.try_parse_json(column).alias("v")).where("v IS NOT NULL AND o IS NOT NULL").select("o.*")

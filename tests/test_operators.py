@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import datetime
-import gzip
-import io
 import json
 import random
-import tarfile
 import uuid
 
 import pytest
@@ -115,15 +112,6 @@ def test_items_of_answers(spark):
 
 
 def test_readers_and_writers(spark, tmp_path):
-    lines = [json.dumps({"paper_id": "p1", "n": 1}), "", "{broken", json.dumps({"paper_id": "p2", "n": 2})]
-    data = "\n".join(lines).encode()
-    with tarfile.open(tmp_path / "a.tar.gz", "w:gz") as tar:
-        for name, body in (("x/one.jsonl", data), ("two.jsonl.gz", gzip.compress(data)), ("skip.txt", b"no")):
-            info = tarfile.TarInfo(name)
-            info.size = len(body)
-            tar.addfile(info, io.BytesIO(body))
-    got = readers.parsed(readers.tar_lines(spark, f"{tmp_path}/a.tar.gz"), "paper_id string, n int").collect()
-    assert sorted(r["paper_id"] for r in got) == ["p1", "p1", "p2", "p2"]
     assert readers.jsonl(spark, f"{tmp_path}/missing.jsonl", "a int").count() == 0
     df = spark.createDataFrame([(i, i % 3, f"t{i}") for i in range(30)], "id int, shard int, text string")
     assert writers.write_shards(df.where("shard < 2"), f"{tmp_path}/shards").count() == 20
