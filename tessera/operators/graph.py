@@ -128,9 +128,9 @@ def hop_depth(claim_nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return claim_nodes.select("query_id", "claim_id").join(out, ["query_id", "claim_id"], "left").select("query_id", "claim_id", F.when(F.coalesce("odd", F.lit(False)), "multi").otherwise("single").alias("hop_depth"))
 
 
-def verdicts(evidence: DataFrame) -> DataFrame:
+def verdicts(evidence: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Blended scores and verdict of each claim. evidence: (claim_id, entails, contradicts, neutral) a chunk, nulls without any."""
-    agg = evidence.groupBy("claim_id").agg(
+    agg = evidence.groupBy(*(keys or ["claim_id"])).agg(
         scores.evidence_blend(F.col("entails")).alias("entail"), scores.evidence_blend(F.col("contradicts")).alias("contradict"), F.count("entails").alias("n_evidence")
     )
     return agg.withColumn("verdict", scores.verdict(F.col("entail"), F.col("contradict"), F.col("n_evidence") > 0))

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tessera.operators import hops, tables, vectors
+from tessera.operators import hops, models, tables, vectors
 from tessera.plans.queries import _RANK, DENSE, _shown, query, table
 from tessera.sources import archives, readers
 
@@ -87,3 +87,22 @@ def hop_edges(spark, d):
 SELECT query_id, CASE WHEN part % 4 = 0 THEN 'a' ELSE 'd' END || part AS node_id, 'paper' AS node_type FROM s UNION ALL SELECT query_id, 'chunk:' || part || ':' || copy, 'chunk' FROM s, (VALUES (1), (2)) v(copy)""")
 def hop_nodes(spark, d):
     return _expanded(spark, d).nodes
+
+
+@query("SELECT o_orderpriority, o_orderstatus, count(*) AS n, count(DISTINCT upper('say ' || o_orderpriority || o_orderstatus)) AS replies, min(upper('say ' || o_orderpriority || o_orderstatus)) AS reply, 1::BIGINT AS calls FROM orders GROUP BY ALL")
+def memoised_calls(spark, d):
+    """A reply for every order, of a few distinct prompts; a second run over all of them asks nothing."""
+    asks = models.Calls(scratch(spark, "calls"), "upper", lambda prompts: [p.upper() for p in prompts], batch_rows=4)
+    o = table(spark, d, "orders").select("o_orderpriority", "o_orderstatus", F.concat(F.lit("say "), "o_orderpriority", "o_orderstatus").alias("prompt"))
+    asks.over(o)
+    said = asks.over(o)
+    times = spark.read.parquet(asks.folder).groupBy("key").agg(F.count("*").alias("calls"))
+    each = said.withColumn("key", asks.key(F.col("prompt"))).join(times, "key")
+    return each.groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"), F.count_distinct("reply").alias("replies"), F.min("reply").alias("reply"), F.max("calls").alias("calls"))
+
+
+@query("SELECT doc_id, length(text) AS n_chars, 'DOC ' || doc_id || ' ' || length(text) AS said FROM documents")
+def staged_model(spark, d):
+    """Every document through a stage, in batches by length."""
+    stage = models.Stage("lengths", lambda: lambda rows: [f"DOC {i} {len(t)}" for i, t in rows], "string", batch_tokens=8192)
+    return stage.over(table(spark, d, "documents").select("doc_id", "text", F.length("text").cast("long").alias("n_chars")), ["doc_id", "text"], "said").drop("text")

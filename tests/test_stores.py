@@ -12,7 +12,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import hops, retrieval, vectors
+from tessera.operators import hops, models, retrieval, vectors
+from tessera.plans.engine import Config, Engine
 from tessera.sources import archives, readers
 
 
@@ -156,3 +157,105 @@ def test_hops_have_one_outcome_each(spark):
     by = hops.expand(*args, budget=13, by_openalex=True)
     assert [r["outcome"] for r in by.outcomes.where("claim_id = 'claim:l'").collect()] == ["success"]
     assert hops.expand(args[0].limit(0), *args[1:]).counts().count() == 0
+
+
+# -- models
+
+
+def test_stage_batches_are_bounded_and_in_order(spark):
+    seen = []
+    stage = models.Stage("bounds", lambda: lambda rows: seen.append(rows) or [x[0].upper() for x in rows], "string", window=50, batch_rows=7, batch_tokens=40, tokens=len)
+    rng = random.Random(2)
+    rows = [("x" * rng.randint(0, 60),) if i % 9 else (None,) for i in range(50)]
+    assert stage.run(rows) == [None if t is None else t.upper() for (t,) in rows]
+    assert all(len(b) <= 7 and (len(b) == 1 or max(map(len, (t for (t,) in b))) * len(b) <= 40) for b in seen)
+    df = spark.createDataFrame([(i, *r, "s") for i, r in enumerate(rows)], "i int, t string, s string").repartition(3)
+    got = models.Stage("upper", lambda: lambda rows: [x[0].upper() + x[1] for x in rows], "string", window=8, batch_rows=3).over(df, ["t", "s"], "u")
+    assert got.columns == ["i", "t", "s", "u"] and {r["i"]: r["u"] for r in got.collect()} == {i: None if t is None else t.upper() + "s" for i, (t,) in enumerate(rows)}
+    with pytest.raises(ValueError):
+        models.Stage("short", lambda: lambda rows: [], "string").run([("a",)])
+
+
+def test_stage_is_loaded_once_a_worker(spark, tmp_path):
+    def load(folder=str(tmp_path)):
+        import os
+
+        open(f"{folder}/{os.getpid()}-{os.urandom(4).hex()}", "w").close()
+        return lambda rows: [len(x[0]) for x in rows]
+
+    df = spark.range(1000).select(F.col("id").cast("string").alias("t")).repartition(24)
+    assert models.Stage("once", load, "int").over(df, ["t"], "n").agg(F.sum("n")).collect()[0][0] == 10 + 180 + 2700
+    pids = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    assert len(pids) == len(set(pids))
+
+
+def calls(tmp_path, **more):
+    def ask(prompts, log=f"{tmp_path}/asked"):
+        with open(log, "a") as f:
+            f.write("".join(p + "\n" for p in prompts))
+        if any("bad" in p for p in prompts):
+            raise RuntimeError("refused")
+        return [p[::-1] for p in prompts]
+
+    return models.Calls(f"{tmp_path}/calls", "m", ask, **({"attempts": 2, "wait": 0.0, "batch_rows": 1, "tasks": 3} | more))
+
+
+def asked(tmp_path):
+    p = tmp_path / "asked"
+    return sorted(p.read_text().split("\n")[:-1]) if p.exists() else []
+
+
+def test_calls_are_made_once(spark, tmp_path):
+    df = spark.createDataFrame([(1, "abc"), (2, "abc"), (3, None), (4, ""), (5, "de"), (6, "bad")], "i int, prompt string")
+    c = calls(tmp_path)
+    got = {r["i"]: r["reply"] for r in c.over(df).collect()}
+    assert got == {1: "cba", 2: "cba", 3: None, 4: "", 5: "ed", 6: None}
+    assert asked(tmp_path) == ["", "abc", "bad", "bad", "de"]
+    assert [r["error"] for r in c.failures(spark).collect()] == ["RuntimeError: refused"]
+    again = {r["i"]: r["reply"] for r in c.over(df.where("i < 6")).collect()}
+    assert again == {i: x for i, x in got.items() if i < 6} and asked(tmp_path) == ["", "abc", "bad", "bad", "de"]
+    c.over(df.union(spark.createDataFrame([(7, "new")], df.schema))).collect()
+    assert asked(tmp_path) == ["", "abc", "bad", "bad", "bad", "bad", "de", "new"]
+    assert calls(tmp_path, settings="t=1").missing(df).count() == 4 and c.missing(df).count() == 1
+    assert c.over(df.limit(0)).count() == 0
+
+
+def test_a_failing_batch_fails_whole(spark, tmp_path):
+    df = spark.createDataFrame([(p,) for p in ("a", "b", "bad", "c")], "prompt string")
+    c = calls(tmp_path, batch_rows=8, tasks=1, attempts=1)
+    assert [r["reply"] for r in c.over(df).collect()] == [None] * 4 and c.known(spark).count() == 0 and c.failures(spark).count() == 4
+    assert {r["reply"] for r in c.over(df.where("prompt != 'bad'")).collect()} == {"a", "b", "c"}
+    assert c.failures(spark).count() == 1
+
+
+def test_a_call_that_hangs_is_given_up(tmp_path):
+    import time
+
+    c = models.Calls("x", "m", lambda p: time.sleep(60), timeout=0.1, attempts=2, wait=0.0)
+    began = time.monotonic()
+    assert c._tried(["a", "b"]) == ([None, None], "TimeoutError: no reply within 0.1 s") and time.monotonic() - began < 5
+    assert models.Calls("x", "m", lambda p: ["one"], attempts=1)._tried(["a", "b"])[1].startswith("ValueError")
+
+
+def test_what_models_say(spark):
+    df = spark.createDataFrame([([("ENTAILMENT", 0.7), ("label_2", 0.2), ("neutral", 0.1)], ("method ", 0.6)), (None, ("?", 0.9)), ([], None)], "s array<struct<label:string,score:double>>, i struct<label:string,confidence:double>")
+    got = df.select(models.entailment(F.col("s"), {2: "contradiction"}).alias("e"), models.intent(F.col("i")).alias("i")).collect()
+    assert [tuple(r["e"]) for r in got] == [(0.7, 0.2, 0.1), (None, None, None), (0.0, 0.0, 0.0)]
+    assert [tuple(r["i"]) for r in got] == [("METHOD", 0.6), ("BACKGROUND", 0.0), ("BACKGROUND", 0.0)]
+    q = spark.range(1).select(models.query_text(F.lit("a"), "query: "), models.query_text(F.lit("a"), "query: ", "find"), models.passage_text(F.lit("a"), "p: ")).collect()[0]
+    assert tuple(q) == ("query: a", "Instruct: find\nQuery: a", "p: a")
+
+
+def test_engine_judges_claims(spark):
+    nodes = spark.createDataFrame([(1, f"claim:{c}", t) for c, t in zip("abcde", ["red fish swims", "blue bird sings", "green cow flies", "old dog barks", "nothing known here"])], "query_id int, claim_id string, text string")
+    edges = spark.createDataFrame([(1, "claim:a", "k1", "METHOD"), (1, "claim:b", "k1", "METHOD"), (1, "claim:c", "k2", "hop_evidence"), (1, "claim:d", "k3", "supports"), (1, "claim:d", "claim:a", "contradicts")], "query_id int, src string, dst string, relation string")
+    texts = spark.createDataFrame([(1, "k1", "the red fish swims far"), (1, "k2", "green cow flies"), (1, "k3", "an old dog barks")], "query_id int, chunk_uid string, text string")
+    said = lambda **kw: {r["claim_id"][-1]: (r["route"], r["verdict"], r["low_confidence"]) for r in Engine(None, Config(**kw)).judged(nodes, edges, texts).collect()}
+    assert said() == {"a": ("nli", "Supported", False), "b": ("nli_then_llm", "Inconclusive", True), "c": ("llm", "Inconclusive", True), "d": ("llm", "Inconclusive", True), "e": ("nli_then_llm", "Inconclusive", True)}
+    judge = models.Stage("judge", lambda: lambda rows: ["Supported" if e else "Not-Supported" for _, e in rows], "string")
+    nli = models.Stage("nli", lambda: lambda rows: [{"entails": 0.0, "contradicts": 1.0, "neutral": 0.0} for _ in rows], "struct<entails:double,contradicts:double,neutral:double>")
+    assert {k: v[1] for k, v in said(judge=judge).items()} == dict(a="Supported", b="Supported", c="Supported", d="Supported", e="Not-Supported")
+    assert {v[0] for v in said(judging="llm", judge=judge).values()} == {"llm"} and said(judging="none")["e"] == ("none", "Supported", False)
+    assert said(entailment=nli, judging="nli")["a"][:2] == ("nli", "Contradictory") or said(entailment=nli, judging="nli")["a"][1] != "Supported"
+    with pytest.raises(ValueError):
+        Config(judging="odd")
