@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.replies import items as items_of
 from tessera.functions.text import jaccard, token_set
 
 MOST_CLAIMS, LEAST_PER_SUB_QUERY = 12, 2
@@ -90,27 +92,14 @@ def assemble(sentences: DataFrame, cited: DataFrame) -> DataFrame:
 def parse_items(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, pos, item) objects of the JSON list or object inside a model's answer; fences and prose around it are ignored.
 
-    Items that are not objects fall away; an answer without any gives no row.
+    What is left open is closed and what is astray dropped, so a broken answer gives what it
+    holds; a value deeper than ``replies.DEEPEST`` is null. Items that are not objects fall away; an answer
+    without any gives no row.
     """
-    import json
-    import re
-
-    fence = re.compile(r"```(?:json)?")
-
-    def items(text: str | None) -> list[dict]:
-        bare = fence.sub("", text or "")
-        decoder = json.JSONDecoder()
-        for m in re.finditer(r"[\[{]", bare):
-            try:
-                got, _ = decoder.raw_decode(bare, m.start())
-            except ValueError:
-                continue
-            return [x for x in (got if isinstance(got, list) else [got]) if isinstance(x, dict)]
-        return []
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = [(i, k, json.dumps(x, sort_keys=True)) for i, t in zip(pdf["id"], pdf["t"], strict=True) for k, x in enumerate(items(t))]
+            rows = [(i, k, json.dumps(x, sort_keys=True)) for i, t in zip(pdf["id"], pdf["t"], strict=True) for k, x in enumerate(items_of(t))]
             yield pd.DataFrame(rows, columns=["id", "pos", "item"])
 
     return texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInPandas(run, "id long, pos int, item string")
