@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ranks import running
 from tessera.operators.retrieval import bounded
 from tessera.operators.tables import checkpoint
 
@@ -124,28 +125,23 @@ def top_values(df: DataFrame, column: Column, n: int) -> DataFrame:
 
 
 def percentile_by_index(df: DataFrame, column: str, percents: list[int]) -> DataFrame:
-    """sorted[int(n * p / 100)] for each percent, from counts of values: no sort of all rows in one task.
-
-    Values are counted first; what is ranked is the distinct ones.
-    """
+    """sorted[int(n * p / 100)] for each percent, from counts of values in ranges: no task sees all of them."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    w = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    run = counts.withColumn("upto", F.sum("n").over(w)).join(F.broadcast(total))  # one row
-    asked = run.select("value", "n", "upto", "total", F.explode(F.array(*map(F.lit, percents))).alias("p"))
+    run = running(counts, ["value"], {"before": F.col("n")})
+    total = run.agg(F.sum("n").alias("total"))
+    asked = run.join(F.broadcast(total)).select("value", "n", "before", "total", F.explode(F.array(*map(F.lit, percents))).alias("p"))  # one row
     index = F.least(F.floor(F.col("total") * F.col("p") / 100), F.col("total") - 1)
-    return asked.where((F.col("upto") > index) & (F.col("upto") - F.col("n") <= index)).select("p", "value")
+    return asked.where((F.col("before") + F.col("n") > index) & (F.col("before") <= index)).select("p", "value")
 
 
 def concentration(df: DataFrame, value: str, shares: list[int]) -> DataFrame:
-    """Percent of the total held by the greatest p percent of rows, from counts of values."""
+    """Percent of the total held by the greatest p percent of rows, from counts of values in ranges."""
     counts = df.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("v")).alias("total"))
-    w = Window.orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, 0)
-    run = counts.withColumn("upto", F.sum("n").over(w)).join(F.broadcast(total))  # one row
-    asked = run.select("*", F.explode(F.array(*map(F.lit, shares))).alias("p"))
+    run = running(counts, [F.desc("v")], {"before": F.col("n")})
+    total = run.agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("v")).alias("total"))
+    asked = run.join(F.broadcast(total)).select("*", F.explode(F.array(*map(F.lit, shares))).alias("p"))  # one row
     top = F.greatest(F.lit(1), F.floor(F.col("rows") * F.col("p") / 100))
-    inside = F.greatest(F.lit(0), F.least(F.col("n"), top - (F.col("upto") - F.col("n"))))
+    inside = F.greatest(F.lit(0), F.least(F.col("n"), top - F.col("before")))
     return asked.groupBy("p").agg((F.sum(inside * F.col("v")) / F.first("total")).alias("share"))
 
 

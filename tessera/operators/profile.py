@@ -32,7 +32,7 @@ def _total(of: Column | str, value) -> Column:
     return F.aggregate(F.transform(of, value), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def per_paper(papers: DataFrame) -> DataFrame:
+def per_paper(papers: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """What each paper has: its sections' marks and words, and its bibliography's ids.
 
     papers: (title, authors array, year, doi, arxiv_id, categories array, abstract,
@@ -57,7 +57,7 @@ def per_paper(papers: DataFrame) -> DataFrame:
         return F.struct(x["ref_id"].alias("ref_id"), F.coalesce(F.schema_of_variant(held).startswith("OBJECT"), F.lit(False)).alias("is_object"), entry_ids(x["entry"]).alias("ids"), F.coalesce(year.rlike(YEAR), F.lit(False)).alias("year"))
 
     parts = papers.select(
-        *[F.coalesce(text(F.col(c)) != "", F.lit(False)).alias(f"has_{c}") for c in ("title", "doi", "abstract")],
+        *keep, *[F.coalesce(text(F.col(c)) != "", F.lit(False)).alias(f"has_{c}") for c in ("title", "doi", "abstract")],
         *[F.coalesce(F.size(c) > 0, F.lit(False)).alias(f"has_{c}") for c in ("authors", "categories")],
         F.coalesce(F.col("year").rlike(YEAR), F.lit(False)).alias("has_year"),
         F.coalesce(F.col("arxiv_id").rlike(ENTRY_ARXIV), F.lit(False)).alias("has_arxiv_id"),
@@ -78,12 +78,14 @@ def per_paper(papers: DataFrame) -> DataFrame:
     )
 
 
-def paper_profile(papers: DataFrame) -> DataFrame:
+def paper_profile(papers: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """One row of counts over all papers, 0 of none, in one pass without a shuffle of rows; papers as in ``per_paper``.
 
+    With ``by`` a row for each of its values that there is; the counts of parts add up to those of the whole.
+
     A cited reference resolves by the first of DOI, arXiv and third-party id that its entry has.
     """
-    p = per_paper(papers)
+    p = per_paper(papers, by)
     size = lambda x: F.size(x).cast("long")
     doi, arxiv = F.array_intersect("cites", "by_doi"), F.array_intersect("cites", F.array_except("by_arxiv", "by_doi"))
     third = F.array_intersect("cites", F.array_except(F.array_except("by_openalex", "by_doi"), "by_arxiv"))
@@ -92,7 +94,7 @@ def paper_profile(papers: DataFrame) -> DataFrame:
     some = lambda x: x["ids"]["doi"].isNotNull() | x["ids"]["arxiv_id"].isNotNull() | x["ids"]["openalex_id"].isNotNull()
     flags = ["title", "authors", "year", "doi", "arxiv_id", "year_in_id", "categories", "abstract"]
     sums = ["n_sections", "empty_titles", "noise_titles", "usual_titles", "words", "figures", "tables", "markers", "chunks", "cited", "cited_doi", "cited_arxiv", "cited_openalex"]
-    return p.agg(
+    return p.groupBy(*by).agg(
         F.count("*").alias("n_papers"), *[F.count_if(F.col(f"has_{c}")).alias(f"has_{c}") for c in flags], F.count_if(~F.col("has_abstract")).alias("abstract_empty"),
         F.count_if(F.col("words") > 0).alias("has_body"), F.count_if(F.col("words") == 0).alias("body_empty"),
         F.count_if((F.col("words") > 0) & (F.col("named") == 0)).alias("without_titles"), F.count_if(F.col("cited") == 0).alias("without_citations"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scores
+from tessera.operators.ranks import placed
 
 # Section labels no question is drawn from.
 EXCLUDED = ["", "abstract", "references", "bibliography", "acknowledgements", "acknowledgments", "appendix", "supplementary", "related work", "table of contents"]
@@ -83,7 +84,7 @@ def styles(df: DataFrame, category: str, key: str, quota: int, n_styles: int = 7
     i = F.row_number().over(Window.partitionBy(category).orderBy(key)) - 1
     styled = df.withColumn("style", F.pmod(i, F.lit(n_styles)))
     few = first_per(styled, [category, "style"], quota, [key]).drop("place")
-    return few.withColumn("golden_id", F.format_string("g_%04d", F.row_number().over(Window.orderBy(category, key)) - 1))
+    return placed(few, [category, key]).withColumn("golden_id", F.format_string("g_%04d", "place")).drop("place")
 
 
 def best_sections(sections: DataFrame, priority: list[str], least: int = 150, most: int = 1200) -> DataFrame:

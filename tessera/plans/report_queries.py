@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import answers, citations, graph, profile, sections
+from tessera.operators import answers, citations, graph, profile, resume, sections, tables
 from tessera.plans.queries import LINES, NORM, lines, query, table
 
 
@@ -91,11 +93,13 @@ def bib_entry_ids(spark, d):
     return table(spark, d, "part").select("p_partkey", citations.entry_ids(entry).alias("x")).select("p_partkey", "x.*")
 
 
-@query("""WITH c AS (SELECT count(*) FILTER (WHERE o_orderkey % 4 = 0) AS a, count(*) FILTER (WHERE o_orderkey % 4 = 1) AS b, count(*) FILTER (WHERE o_orderkey % 4 = 2) AS e, count(*) FILTER (WHERE o_orderkey % 4 = 3) AS f FROM orders)
+_PROFILE = """WITH c AS (SELECT count(*) FILTER (WHERE o_orderkey % 4 = 0) AS a, count(*) FILTER (WHERE o_orderkey % 4 = 1) AS b, count(*) FILTER (WHERE o_orderkey % 4 = 2) AS e, count(*) FILTER (WHERE o_orderkey % 4 = 3) AS f FROM orders)
 SELECT a + b + e + f AS n_papers, b + e + f AS has_title, a + e + f AS has_authors, a + b + f AS has_year, f AS has_doi, a + b AS has_arxiv_id, a + b AS has_year_in_id, a + b AS has_categories, a + b + e AS has_abstract, f AS abstract_empty,
 a + b AS has_body, e + f AS body_empty, a AS without_titles, e + f AS without_citations, 2 * a + 2 * b AS n_sections, a AS empty_titles, a AS noise_titles, b AS usual_titles, 6 * a + 5 * b AS words, a AS figures, b AS tables, 2 * a + 3 * b AS markers,
-3 * a + 3 * b + e + f AS chunks, 2 * a + 2 * b AS cited, b AS cited_doi, b AS cited_arxiv, a AS cited_openalex, a AS cited_without_id, 2 * a + 2 * b AS bib_entries, b AS bib_doi, b AS bib_arxiv_id, a AS bib_openalex_id, b AS bib_title, 2 * b AS bib_year, a + 2 * b AS bib_any_id, a AS bib_without_id FROM c""")
-def paper_profile(spark, d):
+3 * a + 3 * b + e + f AS chunks, 2 * a + 2 * b AS cited, b AS cited_doi, b AS cited_arxiv, a AS cited_openalex, a AS cited_without_id, 2 * a + 2 * b AS bib_entries, b AS bib_doi, b AS bib_arxiv_id, a AS bib_openalex_id, b AS bib_title, 2 * b AS bib_year, a + 2 * b AS bib_any_id, a AS bib_without_id FROM c"""
+
+
+def _papers(spark, d):
     """Papers of four kinds, told apart by their key: marks, blank titles, entries of every form, and nothing at all."""
     k = F.col("o_orderkey") % 4
     pair = lambda names, rows: F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, r, strict=True)]) for r in rows])
@@ -104,10 +108,25 @@ def paper_profile(spark, d):
     entries = [("ab", '{"doi": "10.1234/z", "year": 1999, "title": "A long title"}'), ("cd", '{"ids": {"arxiv": "1203.00001"}, "Year": "in 2001"}'), ("ee", "not json")]
     others = [("ab", '{"openalex_id": "W1"}'), ("zz", '{"raw": "nothing"}')]
     s, b = ("section", "text"), ("ref_id", "entry")
-    papers = table(spark, d, "orders").select(
+    return table(spark, d, "orders").select(
+        F.pmod("o_orderkey", F.lit(11)).alias("shard"),
         F.when(k == 0, " ").otherwise("T").alias("title"), F.when(k != 1, F.array(F.lit("A"))).alias("authors"), F.when(k == 2, "n.d.").otherwise("2003-01-01").alias("year"),
         F.when(k == 3, "10.1/x").alias("doi"), F.when(k == 0, "2101.00001").when(k == 1, "cs/0701001").when(k == 2, "none").alias("arxiv_id"), F.when(k < 2, F.array(F.lit("cs.CL"))).alias("categories"),
         F.when(k != 3, "text").otherwise("").alias("abstract"), F.when(k == 0, pair(s, bare)).when(k == 1, pair(s, full)).when(k == 2, F.slice(pair(s, full), 1, 0)).alias("sections"),
         F.when(k == 0, pair(b, others)).when(k == 1, pair(b, entries)).alias("bibs"),
     )
-    return profile.paper_profile(papers)
+
+
+@query(_PROFILE)
+def paper_profile(spark, d):
+    return profile.paper_profile(_papers(spark, d))
+
+
+@query(_PROFILE)
+def resumed_profile(spark, d):
+    """The same by shards: three of eleven, then a run that goes on with the others."""
+    papers = _papers(spark, d)
+    columns = profile.paper_profile(papers.limit(0)).columns
+    held = resume.Resumable(f"{tables.shared_folder(spark)}/profile-{uuid.uuid4().hex}", "shard", lambda rows: profile.paper_profile(rows, ("shard",)), resume.sums(columns), per_run=4)
+    held.step(papers, 3)
+    return held.run(papers)

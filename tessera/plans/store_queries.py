@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tessera.operators import hops, models, tables, vectors
+from tessera.operators import hops, models, ranks, tables, vectors
 from tessera.plans.queries import _RANK, DENSE, _shown, query, table
-from tessera.sources import archives, readers
+from tessera.sources import archives, deltas, readers
 
 
 def scratch(spark, name: str) -> str:
@@ -106,3 +106,30 @@ def staged_model(spark, d):
     """Every document through a stage, in batches by length."""
     stage = models.Stage("lengths", lambda: lambda rows: [f"DOC {i} {len(t)}" for i, t in rows], "string", batch_tokens=8192)
     return stage.over(table(spark, d, "documents").select("doc_id", "text", F.length("text").cast("long").alias("n_chars")), ["doc_id", "text"], "said").drop("text")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'Y' WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey % 5 <> 0 OR o_orderkey % 10 = 0""")
+def merged_updates(spark, d):
+    """All orders as a base of keys; then some change, some go and some come back, each as a delta beside it."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    t = deltas.DeltaTable(scratch(spark, "deltas"), ("o_orderkey",), most=2)
+    t.update(o)
+    t.update(o.where("o_orderkey % 3 = 0").withColumn("status", F.lit("X")))
+    t.update(o.limit(0), gone=o.where("o_orderkey % 5 = 0"))  # compacts
+    t.update(o.where("o_orderkey % 10 = 0").withColumn("status", F.lit("Y")))
+    return t.read(spark)
+
+
+@query("""SELECT o_orderpriority, count(*) AS n, sum(place)::BIGINT AS places FROM (SELECT o_orderpriority, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS place FROM orders) GROUP BY ALL""")
+def ranged_places(spark, d):
+    """Each order's place by price, from offsets of ranges."""
+    placed = ranks.placed(table(spark, d, "orders"), [F.desc("o_totalprice"), "o_orderkey"])
+    return placed.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.sum("place").alias("places"))
+
+
+@query()
+def merged_samples(spark, d):
+    """A sample of 500 line items as the merge of the samples of seven parts."""
+    i = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").distinct()
+    keys = i.columns
+    return ranks.merged([ranks.bottom(i.where(F.col("l_orderkey") % 7 == k), keys, 500) for k in range(7)], keys, 500).drop("_h")

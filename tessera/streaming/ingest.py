@@ -19,20 +19,23 @@ def file_stream(spark: SparkSession, folder: str, schema: StructType | str, form
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).format(form).load(folder)
 
 
-def ingest(stream: DataFrame, table: str, checkpoint: str, keys: list[str], order: list[str]) -> StreamingQuery:
+def ingest(stream: DataFrame, table: str, checkpoint: str, keys: list[str], order: list[str], buckets: int = 64) -> StreamingQuery:
     """Append rows whose keys the table lacks; of a batch's rows of one key, the first in order.
 
-    A batch that is run again after a failure finds its own folder and replaces it, so
+    The table is dealt by a bucket of the key: a batch reads the keys, and nothing else, of the buckets
+    that its own rows fall in. A batch that is run again after a failure finds its own folder and replaces it, so
     each is written once.
     """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
     def write(batch: DataFrame, number: int) -> None:
-        new = latest(batch, keys, [F.col(o) for o in order])
+        new = latest(batch, keys, [F.col(o) for o in order]).withColumn("_bucket", bucket)
         spark = batch.sparkSession
-        if exists(spark, f"{table}/batch=*"):
-            before = spark.read.parquet(table).where(F.col("batch") != number)
+        if exists(spark, f"{table}/batch=*/_bucket=*"):
+            hit = [r[0] for r in batch.select(bucket.alias("b")).distinct().collect()]  # at most ``buckets``
+            before = spark.read.parquet(table).where((F.col("batch") != number) & F.col("_bucket").isin(hit))
             new = new.join(before.select(*keys), keys, "left_anti")
-        new.write.mode("overwrite").parquet(f"{table}/batch={number}")
+        new.write.partitionBy("_bucket").mode("overwrite").parquet(f"{table}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
