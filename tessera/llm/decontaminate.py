@@ -4,8 +4,9 @@ A random walk over a word sequence (a step repeats or consumes the word under it
 hash of step and word says) embeds edit distance into Hamming distance. Item-sized
 windows of a document and the items of that size meet when sampled coordinates of their
 embeddings agree; walks are repeated until the chance to miss falls under the target,
-as often as the size's own rate of meeting asks. Sizes that would need too many walks
-are looked for exactly instead: every place near a shared run is verified.
+as often as the size's own rate of meeting asks. Longer items are edited in more places
+and agree in fewer coordinates, so they sample fewer: the most of three that USUAL_WALKS
+repetitions bring to the target, and one coordinate with as many as it asks for otherwise.
 What meets is verified by exact edit distance.
 
 Windows are taken where an item may stand at all: an item of n words within d edits
@@ -29,9 +30,10 @@ from tessera.llm.common import SLICE_ROWS, map_rows
 WORD = re.compile(r"\w+")
 #: Edits allowed as a share of an item's words, and the longest shared run looked for.
 EDITS, RUN = 0.2, 4
-#: Coordinates that must agree, and the recall that repetitions are chosen for.
+#: Coordinates that must agree, at most, and the recall that repetitions are chosen for.
 SAMPLED, RECALL = 3, 0.99
-MOST_WALKS = 96
+#: Repetitions up to which a size samples more than one coordinate, and that its rate of meeting is taken from.
+USUAL_WALKS = 96
 #: Edited copies that a size's rate of meeting is taken from; the lowest counts.
 COPIES = 12
 #: Items and bytes of items looked for at once; larger benchmarks go in blocks.
@@ -79,8 +81,8 @@ class Matcher:
         self.runs = np.minimum(RUN, self.sizes // (self.allowed + 1))
         self.widest = int(self.sizes.max(initial=0))
         self._seeds()
-        #: Of each item; 0 where places near shared runs are verified without walks.
-        self.walks = self._walks(recall)
+        #: Of each item: repetitions, and coordinates that must agree in each.
+        self.walks, self.sampled = self._walks(recall)
         self._index()
 
     # -- where an item may stand
@@ -108,12 +110,9 @@ class Matcher:
             h ^= h >> np.uint64(29)
         return h
 
-    def _windows(self, x: np.ndarray, floor: np.ndarray, ceiling: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, size) of windows near the diagonals of shared runs, and (item, diagonal, place) of the runs of items that have no walks.
-
-        floor, ceiling: each word's document's bounds.
-        """
-        found, exact = [], [np.zeros((3, 0), np.int64)]
+    def _windows(self, x: np.ndarray, doc: np.ndarray, floor: np.ndarray, ceiling: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size) of windows near the diagonals of shared runs. doc, floor, ceiling: each word's document and its bounds."""
+        found = []
         for q, (unique, first, item, offset) in self.seeds.items():
             n = x.size - q + 1
             if n <= 0:
@@ -131,55 +130,53 @@ class Matcher:
             place = np.minimum(np.searchsorted(unique, key), unique.size - 1)
             hit = unique[place] == key
             at, place = at[hit], place[hit]
+            if not at.size:
+                continue
             count = first[place + 1] - first[place]
             posting = np.repeat(first[place] - np.cumsum(count) + count, count) + np.arange(count.sum())
             at = np.repeat(at, count)
             which = item[posting]
-            start, reach = at - offset[posting], self.allowed[which]
-            alone = self.walks[which] == 0
-            exact.append(np.stack([which[alone], start[alone], at[alone]]))
-            at, which, start, reach = at[~alone], which[~alone], start[~alone], reach[~alone]
-            # An indel before the run moves the true start by one each.
-            for shift in range(-int(reach.max(initial=0)), int(reach.max(initial=0)) + 1):
-                ok = np.abs(shift) <= reach
-                s = np.clip(start[ok] + shift, floor[at[ok]], ceiling[at[ok]] - 1)
-                found.append(np.unique(np.stack([s, self.sizes[which[ok]]]), axis=1))
-        s, n = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-        return s, n, np.concatenate(exact, axis=1)
-
-    def _regions(self, runs: np.ndarray, doc: np.ndarray, floor: np.ndarray, ceiling: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, begin, end) of stretches that hold every place of an item near its runs; stretches that meet are one."""
-        if not runs.shape[1]:
-            return []
-        item, start, at = runs[:, np.lexsort((runs[1], doc[runs[2]], runs[0]))]
+            start = at - offset[posting]
+            found.append(self._starts(which, start, at, doc, floor, ceiling))
+        return tuple(np.unique(np.concatenate(found, axis=1), axis=1)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def _starts(self, item: np.ndarray, start: np.ndarray, at: np.ndarray, doc: np.ndarray, floor: np.ndarray, ceiling: np.ndarray) -> np.ndarray:
+        """(start, size) of windows about runs, given by item, diagonal and place, where enough of an item's runs lie near each other."""
+        order = np.lexsort((start, doc[at], item))
+        item, start, at = item[order], start[order], at[order]
         d, n = self.allowed[item], self.sizes[item]
-        lo, hi = np.maximum(floor[at], start - d), np.minimum(ceiling[at], start + n + 3 * d)
-        first = np.append(True, (item[1:] != item[:-1]) | (doc[at[1:]] != doc[at[:-1]]) | (lo[1:] > hi[:-1]))
-        begins = np.flatnonzero(first)
-        counts = np.diff(np.append(begins, item.size))
+        # An indel before a run moves the true start by one each.
+        lo, hi = np.maximum(floor[at], start - d), np.minimum(ceiling[at] - 1, start + d)
+        begins = np.flatnonzero(np.append(True, (item[1:] != item[:-1]) | (doc[at[1:]] != doc[at[:-1]]) | (lo[1:] > hi[:-1] + 1)))
         # Within d edits all but q each of an item's runs of q words stand in the text.
-        q = self.runs[item[begins]]
-        enough = counts >= n[begins] - q + 1 - q * d[begins]
-        return list(zip(item[begins][enough].tolist(), lo[begins][enough].tolist(), np.maximum.reduceat(hi, begins)[enough].tolist(), strict=True))
+        q, d, n = self.runs[item[begins]], d[begins], n[begins]
+        counts = np.diff(np.append(begins, item.size))
+        enough = counts >= n - q + 1 - q * d
+        low = np.minimum(lo[begins], ceiling[at[begins]] - 1)[enough]
+        count = np.maximum(np.maximum.reduceat(hi, begins)[enough], low) - low + 1
+        s = np.repeat(low - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+        return np.stack([s, np.repeat(n[enough], count)])
 
     # -- walks
 
     def _random(self, *shape: int) -> np.ndarray:
-        return np.random.default_rng([self.seed, *shape]).integers(0, 1 << 63, shape, np.uint64) * np.uint64(2) + np.uint64(1)
+        """Odd numbers; fewer rows are the first ones of more."""
+        return np.random.default_rng([self.seed, *shape[1:]]).integers(0, 1 << 63, shape, np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def keys(self, x: np.ndarray, start: np.ndarray, size: np.ndarray, end: np.ndarray, walks: int) -> np.ndarray:
-        """(walks, windows) hashes of the sampled coordinates of each window's embedding under each walk.
+    def keys(self, x: np.ndarray, start: np.ndarray, size: np.ndarray, end: np.ndarray, walks: int, sampled: np.ndarray) -> np.ndarray:
+        """(walks, windows) hashes of the ``sampled`` coordinates of each window's embedding under each walk.
 
         end: where each window's document ends; words from there on, or beyond the size,
         are the padding word 0.
         """
         steps = 2 * self.widest
-        step_key = self._random(MOST_WALKS, steps)[:walks]
-        chosen = np.random.default_rng([self.seed, 1]).random((MOST_WALKS, SAMPLED))[:walks]
+        step_key = self._random(walks, steps)
+        chosen = np.random.default_rng([self.seed, 1]).random((walks, SAMPLED))
         at = np.zeros((walks, start.size), np.int64)
         out = np.broadcast_to(size.astype(np.uint64) * _P, at.shape).copy()
         # A walk has consumed a window after about two steps a word.
         coordinate = np.floor(chosen[:, :, None] * (1.8 * size)[None, None, :]).astype(np.int64)
+        coordinate[:, np.arange(SAMPLED)[:, None] >= sampled] = -1
         last = np.minimum(size, end - start)
         for j in range(min(steps, int(coordinate.max(initial=-1)) + 1)):
             word = np.where(at < last, x[np.minimum(start + at, x.size - 1)], 0).astype(np.uint64)
@@ -189,9 +186,9 @@ class Matcher:
             at += (((word + np.uint64(1)) * step_key[:, j : j + 1]) >> np.uint64(63)).astype(np.int64)
         return out
 
-    def _walks(self, recall: float) -> np.ndarray:
-        """Repetitions for the recall by size, from the lowest rate at which edited copies of its items meet them; 0 if too many."""
-        walks = np.zeros(self.sizes.size, np.int64)
+    def _walks(self, recall: float) -> tuple[np.ndarray, np.ndarray]:
+        """Repetitions and coordinates by size, from the lowest rate at which edited copies of its items meet them."""
+        walks, sampled = np.zeros(self.sizes.size, np.int64), np.zeros(self.sizes.size, np.int64)
         for n in np.unique(self.sizes).tolist():
             own = np.flatnonzero(self.sizes == n)
             rng = np.random.default_rng([self.seed, 2, n])
@@ -204,11 +201,14 @@ class Matcher:
                     copy[k : k + (kind != 1)] = [] if kind == 2 and len(copy) > 1 else [0]
                 rows += [self.items[i], np.array((copy + [0] * n)[:n], np.int64)]
             start = np.arange(2 * COPIES) * n
-            got = self.keys(np.concatenate(rows), start, np.full(start.size, n), start + n, MOST_WALKS)
-            p = min(0.999, float((got[:, ::2] == got[:, 1::2]).mean(axis=0).min()))
-            needed = math.ceil(math.log(1 - recall) / math.log(1 - p)) if p else MOST_WALKS + 1
-            walks[own] = needed if needed <= MOST_WALKS else 0
-        return walks
+            for c in range(SAMPLED, 0, -1):
+                got = self.keys(np.concatenate(rows), start, np.full(start.size, n), start + n, USUAL_WALKS, np.full(start.size, c))
+                # A copy that never met in so many walks counts as if it had in the next.
+                p = min(0.999, max(1 / (USUAL_WALKS + 1), float((got[:, ::2] == got[:, 1::2]).mean(axis=0).min())))
+                walks[own], sampled[own] = math.ceil(math.log(1 - recall) / math.log(1 - p)), c
+                if walks[own[0]] <= USUAL_WALKS:
+                    break
+        return walks, sampled
 
     def _index(self) -> None:
         self.table: list[tuple[np.ndarray, np.ndarray]] = []
@@ -216,13 +216,12 @@ class Matcher:
             return
         flat = np.concatenate(self.items)
         start = np.cumsum(self.sizes) - self.sizes
-        own = np.flatnonzero(self.walks)
-        for w, row in enumerate(self.keys(flat, start[own], self.sizes[own], (start + self.sizes)[own], int(self.walks.max(initial=0)))):
-            meant = self.walks[own] > w
-            order = np.argsort(row[meant], kind="stable")
-            self.table.append((row[meant][order], own[meant][order]))
-        self.walks_of_size = np.zeros(self.widest + 1, np.int64)
-        self.walks_of_size[self.sizes] = self.walks
+        for w, row in enumerate(self.keys(flat, start, self.sizes, start + self.sizes, int(self.walks.max()), self.sampled)):
+            own = np.flatnonzero(self.walks > w)
+            order = np.argsort(row[own], kind="stable")
+            self.table.append((row[own][order], own[order]))
+        self.walks_of_size, self.sampled_of_size = (np.zeros(self.widest + 1, np.int64) for _ in range(2))
+        self.walks_of_size[self.sizes], self.sampled_of_size[self.sizes] = self.walks, self.sampled
 
     # -- texts
 
@@ -241,40 +240,31 @@ class Matcher:
         ends = np.cumsum(sizes)
         doc = np.repeat(np.arange(len(texts)), sizes)
         floor, ceiling = (ends - sizes)[doc], ends[doc]
-        start, size, runs = self._windows(x, floor, ceiling)
-        for i, lo, hi in self._regions(runs, doc, floor, ceiling):
-            part, d, n = x[lo:hi], int(self.allowed[i]), int(self.sizes[i])
-            # A place of n + d words at most holds n - d words of the item.
-            known = np.append(0, np.cumsum(np.isin(part, self.items[i])))
-            if (known[min(n + d, part.size) :] - known[: known.size - min(n + d, part.size)]).max() < n - d:
-                continue
-            edits, b, e = edit_distance_within(self.items[i], part)
-            if edits <= d:
-                k, low = int(doc[lo]), int(floor[lo])
-                best = (edits, lo + b - low, lo + e - low)
-                found[k][i] = min(found[k].get(i, best), best)
-        pairs = set()
+        start, size = self._windows(x, doc, floor, ceiling)
+        met: list[np.ndarray] = []
         order = np.argsort(self.walks_of_size[size], kind="stable")
         start, size = start[order], size[order]
         for lo in range(0, start.size, 4096):
             s, n = start[lo : lo + 4096], size[lo : lo + 4096]
             walks = int(self.walks_of_size[n].max())
-            for (sorted_keys, order), row in zip(self.table[:walks], self.keys(x, s, n, ceiling[s], walks), strict=True):
-                left, right = np.searchsorted(sorted_keys, row), np.searchsorted(sorted_keys, row, "right")
-                for w in np.flatnonzero(right > left):
-                    pairs.update((int(i), int(s[w])) for i in order[left[w] : right[w]])
-        done: dict[int, int] = {}
-        for i, s in sorted(pairs):
-            d = int(self.allowed[i])
-            if done.get(i, -1) >= s:
-                continue
-            k = int(doc[s])
-            lo, hi = max(int(floor[s]), s - d), min(int(ceiling[s]), s + int(self.sizes[i]) + 3 * d)
+            for (sorted_keys, order), row in zip(self.table[:walks], self.keys(x, s, n, ceiling[s], walks, self.sampled_of_size[n]), strict=True):
+                left = np.searchsorted(sorted_keys, row)
+                count = np.searchsorted(sorted_keys, row, "right") - left
+                which = np.repeat(left - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+                met.append(np.unique(np.stack([order[which], np.repeat(s, count)]), axis=1))
+        if not met:
+            return [[] for _ in texts]
+        item, s = np.unique(np.concatenate(met, axis=1), axis=1)
+        # Places of an item whose texts overlap are verified as one stretch.
+        d = self.allowed[item]
+        begins = np.flatnonzero(np.append(True, (item[1:] != item[:-1]) | (doc[s[1:]] != doc[s[:-1]]) | (s[1:] - d[1:] > s[:-1] + self.sizes[item[:-1]] + 3 * d[:-1])))[: item.size]
+        for i, first, last in zip(item[begins].tolist(), s[begins].tolist(), s[np.append(begins[1:], item.size) - 1].tolist(), strict=True):
+            d, n, low = int(self.allowed[i]), int(self.sizes[i]), int(floor[first])
+            lo, hi = max(low, first - d), min(int(ceiling[first]), last + n + 3 * d)
             edits, b, e = edit_distance_within(self.items[i], x[lo:hi])
             if edits <= d:
-                best = (edits, lo + b - int(floor[s]), lo + e - int(floor[s]))
+                k, best = int(doc[first]), (edits, lo + b - low, lo + e - low)
                 found[k][i] = min(found[k].get(i, best), best)
-                done[i] = lo + b + d  # starts so near lead to the same place
         return [[(self.ids[i], b, e, edits) for i, (edits, b, e) in sorted(f.items())] for f in found]
 
 

@@ -347,3 +347,23 @@ def test_edit_distance():
         edits, s, e = decontaminate.edit_distance_within(a, b)
         assert edits == plain_edits(a.tolist(), b.tolist()) and 0 <= s <= e <= b.size
         assert plain_edits(a.tolist(), b[s:e].tolist()) == edits
+
+
+def test_walks_find_items_of_every_size():
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in range(3000)]
+    drawn = lambda n: [words[k] for k in rng.zipf(1.25, n) % 3000]
+    for n in (10, 40, 100, 300, 1000):
+        items = [(i, drawn(n)) for i in range(3)]
+        matcher = decontaminate.Matcher([(i, " ".join(w)) for i, w in items])
+        assert (matcher.walks > 0).all() and (matcher.sampled > 0).all()
+        texts, met = [], 0
+        for k in range(100 if n < 100 else 12):
+            copy, d = list(items[k % 3][1]), int(0.2 * n)
+            for _ in range(d):
+                at, kind = int(rng.integers(0, len(copy))), rng.integers(0, 3)
+                copy[at : at + (kind != 1)] = [] if kind == 2 else ["changed"]
+            texts.append(" ".join(drawn(60) + copy + drawn(60)))
+        for k, got in enumerate(matcher.find(texts)):
+            met += any(i == k % 3 and e <= 0.2 * n for i, _, _, e in got)
+        assert met >= 0.99 * len(texts), (n, met, matcher.walks.tolist(), matcher.sampled.tolist())
