@@ -91,7 +91,8 @@ def mixtures(scores: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
     """(n_docs, languages) proportions, zero outside each document's chosen set.
 
     scores: words by languages, in order of ``doc``, which says whose they are; each
-    document has a word at least.
+    document has a word at least. Every size of set is tried for every document, so what
+    stands beside a document does not matter.
     """
     n_lang = scores.shape[1]
     begins = np.searchsorted(doc, np.arange(n_docs))
@@ -118,17 +119,12 @@ def mixtures(scores: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
     alone = np.add.reduceat(scores.astype(np.float64), begins, axis=0)
     best[np.arange(n_docs), alone.argmax(axis=1)] = 1.0
     best_value = alone.max(axis=1)
-    idle = 0
     for k in range(2, n_lang + 1):
         start = np.where(place < k, full + 1e-6, 0.0)
         pi, value = fit(start / start.sum(axis=1, keepdims=True))
         value = value - PENALTY * (k - 1) * np.log(count + 1.0)
         better = value > best_value
         best[better], best_value[better] = pi[better], value[better]
-        # Sets of further languages that two sizes running suit no document suit none.
-        idle = 0 if better.any() else idle + 1
-        if idle == 2:
-            break
     return best
 
 

@@ -278,3 +278,22 @@ def test_pipeline_of_edge_rows(spark, small):
     empty = edge_docs(spark).limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, small).count() == 0
+
+
+def test_mixtures_do_not_depend_on_neighbours():
+    rng = np.random.default_rng(8)
+    for n_lang in (2, 5, 9):
+        sizes = rng.integers(1, 60, 40)
+        home = rng.integers(0, n_lang, (40, 3))
+        scores = [(rng.normal(-20, 4, (n, n_lang)) + 9 * np.eye(n_lang)[home[d][rng.integers(0, 3, n)]]).astype(np.float32) for d, n in enumerate(sizes)]
+        # A document of evenly mixed words over all languages, which a small set does not suit.
+        scores.append((np.full((4 * n_lang, n_lang), -40.0) + 39.0 * np.eye(n_lang)[np.arange(4 * n_lang) % n_lang]).astype(np.float32))
+        alone = [langid.mixtures(s, np.zeros(len(s), np.int64), 1)[0] for s in scores]
+        assert (alone[-1] > 0).sum() == n_lang
+        for batch in (2, 7, 41):
+            order = rng.permutation(41)
+            for lo in range(0, 41, batch):
+                part = order[lo : lo + batch]
+                got = langid.mixtures(np.concatenate([scores[i] for i in part]), np.repeat(np.arange(part.size), [len(scores[i]) for i in part]), part.size)
+                for i, pi in zip(part, got, strict=True):
+                    assert np.array_equal(pi, alone[i])
