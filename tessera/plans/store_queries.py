@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tessera.operators import hops, models, ranks, tables, vectors
-from tessera.plans.queries import _RANK, DENSE, _shown, query, table
+from tessera.functions import imrad
+from tessera.operators import classifier, hops, models, ranks, sections, tables, vectors
+from tessera.plans.queries import DENSE, _chunks, _shown, query, table
 from tessera.sources import archives, deltas, readers
 
 
@@ -133,3 +134,12 @@ def merged_samples(spark, d):
     i = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").distinct()
     keys = i.columns
     return ranks.merged([ranks.bottom(i.where(F.col("l_orderkey") % 7 == k), keys, 500) for k in range(7)], keys, 500).drop("_h")
+
+
+@query()
+def classified_sections(spark, d):
+    """Labels of all sections: by title where it is a usual one, else by a classifier that learned from those."""
+    folded = tables.checkpoint(sections.fold(_chunks(spark, d)))
+    known = folded.withColumn("label", imrad.heuristic_label(F.col("title_norm")))
+    model = classifier.fit(known, sections.CLASSES, sample=20_000)
+    return sections.label(folded, model.classified(folded)).select("paper_id", "title_norm", "label", "source")

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import hops, models, retrieval, vectors
+from tessera.operators import classifier, hops, models, retrieval, sections, vectors
 from tessera.plans.engine import Config, Engine
 from tessera.sources import archives, readers
 
@@ -259,3 +259,38 @@ def test_engine_judges_claims(spark):
     assert said(entailment=nli, judging="nli")["a"][:2] == ("nli", "Contradictory") or said(entailment=nli, judging="nli")["a"][1] != "Supported"
     with pytest.raises(ValueError):
         Config(judging="odd")
+
+
+# -- the section classifier
+
+
+def test_section_classifier(spark):
+    rng = random.Random(11)
+    own = {"Introduction": "problem motivation recent interest", "Methods": "algorithm step compute parameter", "Results": "table accuracy percent improved", "Discussion": "limits future however explain"}
+    shared = "the of and a we in to is that for".split()
+
+    def rows(n, weights):
+        out = []
+        for i in range(n):
+            label = rng.choices(list(own), weights)[0]
+            w = [rng.choice(own[label].split()) if rng.random() < 0.25 else rng.choice(shared) for _ in range(30)]
+            out.append((f"p{i}", f"s{i}", rng.choice(["Notes", None, f"About {label.lower()}"]), " ".join(w) if i % 50 else None, label, i))
+        return spark.createDataFrame(out, "paper_id string, title_norm string, title string, text string, label string, chunk_index_min int")
+
+    classes = [*own, "Related Work"]
+    train, held = rows(600, [8, 4, 2, 1]), rows(300, [1, 1, 1, 1])
+    model = classifier.fit(train.unionByName(train.limit(3).withColumn("label", F.lit("odd"))), classes)
+    assert model.classes == list(own)
+    report = model.report(held).collect()[0]
+    assert report["macro_f1"] > 0.9
+    said = model.over(held).collect()
+    assert all(abs(sum(r["probs"]) - 1) < 1e-9 and r["class_confidence"] == max(r["probs"]) and r["class"] == model.classes[r["probs"].index(max(r["probs"]))] for r in said)
+    again = classifier.fit(train.repartition(7), classes)
+    assert np.allclose(again.model.coefficientMatrix.toArray(), model.model.coefficientMatrix.toArray(), atol=1e-6)
+    folded = held.select("paper_id", "title_norm", "title", "text", "chunk_index_min").withColumn("title_norm", F.when(F.col("chunk_index_min") == 0, "methods").otherwise(F.col("title_norm")))
+    named = {r["paper_id"]: r for r in sections.label(folded, model.classified(folded)).collect()}
+    assert named["p0"]["source"] == "heuristic" and named["p1"]["source"] == "classifier" and named["p1"]["probs"] is not None
+    few = classifier.fit(train, classes, sample=300)
+    assert few.report(held).collect()[0]["macro_f1"] > 0.8
+    with pytest.raises(ValueError):
+        classifier.fit(train.where("label = 'Methods'"), classes)
