@@ -54,10 +54,11 @@ def verdict(entail: Column, contradict: Column, has_evidence: Column) -> Column:
 
 
 def budget_weights(weight: Column, *keys: str) -> Column:
-    """Weights over their sum within ``keys``; equal ones where the sum is not above 0. Rows without a text are to be left out before."""
+    """Weights over their sum within ``keys``, null and negative ones 0; equal ones where the sum is not above 0. ``answers.weighed`` leaves out blank texts before."""
     w = Window.partitionBy(*keys)
+    weight = F.greatest(F.coalesce(weight, F.lit(0.0)), F.lit(0.0))
     total = F.sum(weight).over(w)
-    return F.when(total > 0, F.coalesce(weight, F.lit(0.0)) / F.when(total > 0, total)).otherwise(1.0 / F.count(F.lit(1)).over(w))
+    return F.when(total > 0, weight / F.when(total > 0, total)).otherwise(1.0 / F.count(F.lit(1)).over(w))
 
 
 def year_of(versions: Column, update_date: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.replies import items as items_of
+from tessera.functions.scores import budget_weights
 from tessera.functions.text import jaccard, token_set
 
 MOST_CLAIMS, LEAST_PER_SUB_QUERY = 12, 2
@@ -118,3 +119,8 @@ def answerable(claims: DataFrame, said: DataFrame) -> DataFrame:
 def whole_question(queries: DataFrame) -> DataFrame:
     """A query that was not taken apart, as its own sub-query of full weight. queries: (query_id, text)."""
     return queries.select("query_id", F.lit(0).alias("sq_idx"), "text", F.array(F.lit("Introduction"), F.lit("Introduction")).alias("sections"), F.lit(1.0).alias("weight"))
+
+
+def weighed(sub_queries: DataFrame) -> DataFrame:
+    """Sub-queries that have a text, with weights that add up to 1 a query. sub_queries: (query_id, text, weight, ...)."""
+    return sub_queries.where(F.trim(F.coalesce("text", F.lit(""))) != "").withColumn("weight", budget_weights(F.col("weight").cast("double"), "query_id"))

@@ -121,6 +121,12 @@ def evidence_trail(claims_of: DataFrame, edges: DataFrame, kinds: DataFrame, dep
     return seen.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
 
 
+def trail_texts(trail: DataFrame, chunks: DataFrame, most: int = 400) -> DataFrame:
+    """A trail with the first ``most`` characters of each chunk's text; empty where it has none. chunks: (node_id, text)."""
+    known = chunks.select("node_id", F.substring(F.trim(F.coalesce("text", F.lit(""))), 1, most).alias("text"))
+    return trail.join(known, "node_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+
+
 def hop_depth(claim_nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``multi`` if an edge out of a claim is of another relation, or leads to a claim; else ``single``."""
     odd = ~F.col("relation").isin(*SINGLE_HOP) | F.col("dst").startswith("claim:")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import imrad
 from tessera.operators import classifier, hops, models, ranks, sections, tables, vectors
 from tessera.plans.queries import DENSE, _chunks, _shown, query, table
-from tessera.sources import archives, deltas, readers
+from tessera.sources import archives, deltas, ranges, readers
 
 
 def scratch(spark, name: str) -> str:
@@ -143,3 +143,22 @@ def classified_sections(spark, d):
     known = folded.withColumn("label", imrad.heuristic_label(F.col("title_norm")))
     model = classifier.fit(known, sections.CLASSES, sample=20_000)
     return sections.label(folded, model.classified(folded)).select("paper_id", "title_norm", "label", "source")
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey >= 200 AND o_custkey < 900")
+def range_scan(spark, d):
+    """Orders laid out by customer in twelve ranges; a stretch of customers reads the ranges that it meets."""
+    t = ranges.RangeTable(scratch(spark, "ranges"), "o_custkey")
+    t.write(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), 12)
+    return t.scan(spark, 200, 900)
+
+
+@query("SELECT count(*) AS n, count(DISTINCT o_orderkey) AS keys, sum(o_custkey)::BIGINT AS custkeys FROM orders")
+def range_readers(spark, d):
+    """All orders, a reader a range."""
+    t = ranges.RangeTable(scratch(spark, "ranges"), "o_custkey")
+    t.write(table(spark, d, "orders").select("o_orderkey", "o_custkey"), 7)
+    every, *others = t.readers(spark)
+    for other in others:
+        every = every.unionByName(other)
+    return every.agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("keys"), F.sum("o_custkey").alias("custkeys"))

@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.operators import evaluation, profile, ranks, resume, sampling, tables
+from tessera.operators import answers, evaluation, graph, profile, ranks, resume, sampling, tables
 from tessera.plans import report_queries
-from tessera.sources import deltas
+from tessera.sources import deltas, ranges
 from tessera.streaming import ingest
 
 
@@ -118,3 +118,37 @@ def test_ingest_reads_the_buckets_of_its_batch(spark, tmp_path):
         stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
         ingest.ingest(stream, f"{tmp_path}/table", f"{tmp_path}/log", ["id"], ["t"]).awaitTermination()
     assert rows(spark.read.parquet(f"{tmp_path}/table").select("id", "t")) == [(1, 0), (2, 1), (3, 3), (4, 11), (5, 20)]
+
+
+def test_ranges_cover_every_key_once(spark, tmp_path):
+    rng = random.Random(3)
+    keys = [rng.choice([7, 7, 7, rng.randint(0, 500)]) for _ in range(2000)] + [None] * 9
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k int, i int")
+    t = ranges.RangeTable(f"{tmp_path}/t", "k")
+    assert 2 < t.write(df, 8) <= 8
+    every = [r["i"] for part in t.readers(spark) for r in part.collect()]
+    assert sorted(every) == list(range(len(keys)))
+    for low, high in ((7, 8), (None, 100), (250, None), (None, None), (90, 90), (-5, 7), (501, 900)):
+        want = sorted(i for i, k in enumerate(keys) if (k is None and low is None) or (k is not None and (low is None or k >= low) and (high is None or k < high)))
+        assert sorted(r["i"] for r in t.scan(spark, low, high).collect()) == want
+    some = t.scan(spark, 300, 310)
+    assert len(some.inputFiles()) > 0 and "_range" in some._jdf.queryExecution().executedPlan().toString()
+    read = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_range" in read and "GreaterThanOrEqual(k,300)" in read
+    t.export(spark, f"{tmp_path}/out", ["i", "k"], most=50)
+    got = sorted(r["k"] for r in spark.read.schema("i int, k int").json(f"{tmp_path}/out").collect() if r["k"] is not None)
+    assert got == sorted(k for k in keys if k is not None)[: len(got)] and len(got) == 41
+    t.export(spark, f"{tmp_path}/all", ["k"])
+    assert spark.read.schema("k int").json(f"{tmp_path}/all").count() == len(keys)
+    assert ranges.RangeTable(f"{tmp_path}/e", "k").write(df.limit(0), 4) == 1
+
+
+def test_weights_of_blank_and_negative_sub_queries(spark):
+    df = spark.createDataFrame([(1, "a", 2.0), (1, " ", 5.0), (1, "b", -1.0), (1, "c", 6.0), (2, "d", 0.0), (2, "e", None), (3, None, 1.0)], "query_id int, text string, weight double")
+    assert sorted((r["query_id"], r["text"], r["weight"]) for r in answers.weighed(df).collect()) == [(1, "a", 0.25), (1, "b", 0.0), (1, "c", 0.75), (2, "d", 0.5), (2, "e", 0.5)]
+
+
+def test_texts_of_a_trail(spark):
+    trail = spark.createDataFrame([(1, "k1"), (2, "k2"), (3, "k3")], "place int, node_id string")
+    chunks = spark.createDataFrame([("k1", "  " + "x" * 500), ("k2", None)], "node_id string, text string")
+    assert sorted((r["place"], r["text"]) for r in graph.trail_texts(trail, chunks).collect()) == [(1, "x" * 400), (2, ""), (3, "")]
