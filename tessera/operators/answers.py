@@ -122,5 +122,5 @@ def whole_question(queries: DataFrame) -> DataFrame:
 
 
 def weighed(sub_queries: DataFrame) -> DataFrame:
-    """Sub-queries that have a text, with weights that add up to 1 a query. sub_queries: (query_id, text, weight, ...)."""
-    return sub_queries.where(F.trim(F.coalesce("text", F.lit(""))) != "").withColumn("weight", budget_weights(F.col("weight").cast("double"), "query_id"))
+    """Sub-queries that have a text, with weights that add up to 1 a query; null and negative ones count as 0. sub_queries: (query_id, text, weight, ...)."""
+    return sub_queries.where(F.trim(F.coalesce("text", F.lit(""))) != "").withColumn("weight", budget_weights(F.greatest(F.coalesce(F.col("weight").cast("double"), F.lit(0.0)), F.lit(0.0)), "query_id"))
