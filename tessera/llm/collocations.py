@@ -1,12 +1,12 @@
 """Phrase collocations by hierarchical pair naming.
 
 Texts become chunks of word codes. On each level the adjacent names of a chunk are counted
-there as pairs, one row a distinct pair and chunk; all chunks that hold a pair agree on its
-name by meeting in the pair, and the pairs that are frequent take the place of their
-left parts. A phrase of k words is thus a pair of phrases of k - 1 words, its first and
+there as pairs, one entry a distinct pair and chunk; entries travel packed by a bucket of the
+pair, where all chunks that hold it agree on its name, and the names of pairs that are
+frequent go back to those chunks and take the place of the pairs' left parts. A phrase of k words is thus a pair of phrases of k - 1 words, its first and
 its last ones, and those pointers lead to the counts of every cut and to the phrases
 that a longer one covers. Nothing of the corpus is on the driver, and a pair that is
-everywhere is one row a chunk.
+everywhere is one entry a chunk.
 """
 
 from __future__ import annotations
@@ -24,15 +24,16 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import _arrow_schema, discard, release, stored
 
-#: Words of a chunk, about.
+#: Words that a task holds in open chunks, about; beyond it the largest is closed.
 CHUNK = 1 << 21
 #: Bits of a place within a chunk, of a chunk within its task.
 PLACE_BITS, SERIAL_BITS = 23, 16
-#: Rows of pairs that leave a task at once.
-ROWS = 1 << 16
+#: Words whose pairs meet in one bucket, about, and rows that leave a task at once.
+BUCKET, ROWS = 1 << 20, 256
 LONGEST = 4
 #: Groups that rank their own rows before a language's best are ranked together.
 RANK_GROUPS = 64
+_P = np.uint64(0x9E3779B97F4A7C15)
 _BREAK = b"\xff"  # no byte of UTF-8
 _BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + _BREAK * 10)
 
@@ -42,12 +43,17 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_BYTES).replace(_BREAK, b" \xff ").split()
 
 
-def _packed(codes: np.ndarray) -> bytes:
-    return zstandard.compress(codes.astype(np.int32).tobytes(), 1)
+def _packed(*columns: np.ndarray, kind: str = "<i4") -> bytes:
+    """Columns of numbers byte by byte, low bytes first: the high ones are nearly all zero or alike."""
+    rows = np.stack(columns).astype(kind)
+    return zstandard.compress(np.ascontiguousarray(rows.view(np.uint8).reshape(len(columns), -1, rows.itemsize).transpose(0, 2, 1)).tobytes(), 3)
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), np.int32)
+def _unpacked(data: bytes, columns: int = 1, kind: str = "<i4") -> np.ndarray:
+    """(columns, numbers)."""
+    size = np.dtype(kind).itemsize
+    rows = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(columns, size, -1)
+    return np.ascontiguousarray(rows.transpose(0, 2, 1)).view(kind).reshape(columns, -1)
 
 
 class _Chunk:
@@ -66,7 +72,7 @@ class _Chunk:
 def chunks(docs: DataFrame, size: int, text_col: str, lang_col: str) -> DataFrame:
     """Words of whole texts in chunks of one language: (chunk, lang, own, n, words, counts, codes).
 
-    A text longer than a chunk goes on in the next, and a chunk ends with as many words of
+    A text longer than ``size`` words goes on in the next chunk, and the one before ends with as many words of
     what follows as a phrase may reach into: those beyond ``own`` are counted there.
     """
     ddl = "chunk long, lang string, own int, n long, words array<string>, counts array<long>, codes binary"
@@ -82,7 +88,11 @@ def chunks(docs: DataFrame, size: int, text_col: str, lang_col: str) -> DataFram
             codes = np.concatenate(held.parts)
             words = [w.decode() for w in held.code if w != _BREAK]
             counts = np.bincount(codes[:own], minlength=len(words) + 1)[1:]
-            row = {"chunk": task << SERIAL_BITS | nth, "lang": lang, "own": own, "n": int(counts.sum()), "words": words, "counts": counts.tolist(), "codes": _packed(codes)}
+            # Frequent words get low codes, which pack well.
+            order = np.argsort(-counts, kind="stable")
+            rank = np.zeros(counts.size + 1, np.int32)
+            rank[order + 1] = np.arange(1, counts.size + 1)
+            row = {"chunk": task << SERIAL_BITS | nth, "lang": lang, "own": own, "n": int(counts.sum()), "words": [words[i] for i in order.tolist()], "counts": counts[order].tolist(), "codes": _packed(rank[codes])}
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:
@@ -93,8 +103,11 @@ def chunks(docs: DataFrame, size: int, text_col: str, lang_col: str) -> DataFram
                     held.add(every[at : at + size])
                     own, rest = held.size, every[at + size : at + size + LONGEST - 1]
                     held.add(rest)
-                    if rest or own >= size:
+                    if rest:
                         yield closed(lang, own)
+                    elif sum(x.size for x in open_.values()) >= size:
+                        largest = max(open_, key=lambda x: open_[x].size)
+                        yield closed(largest, open_[largest].size)
         for lang in list(open_):
             yield closed(lang, open_[lang].size)
         release()
@@ -118,7 +131,8 @@ def named(rows: DataFrame, key: list[str], least: int) -> DataFrame:
 
 
 def entries(names: DataFrame) -> DataFrame:
-    return names.where("place = id").drop("place")
+    """One row a name of ``named_pairs``."""
+    return names.select(F.explode(F.arrays_zip("left", "right", "f", "id")).alias("x")).select("x.*")
 
 
 def _pairs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,9 +142,9 @@ def _pairs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, pairs, which
 
 
-def grams(level: DataFrame) -> DataFrame:
-    """(left, right, place, c): each chunk's distinct pairs of adjacent names, and how often each begins in it."""
-    ddl = "left long, right long, place long, c long"
+def grams(level: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, chunk, data): each chunk's distinct pairs of adjacent names with how often each begins in it, packed by bucket of the pair."""
+    ddl = "bucket int, chunk long, data binary"
     schema = _arrow_schema(level.sparkSession, ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,17 +152,59 @@ def grams(level: DataFrame) -> DataFrame:
             for row in range(batch.num_rows):
                 chunk, own, ids, data = (batch.column(i)[row] for i in range(4))
                 names = np.append(0, ids.values.to_numpy())
-                at, pairs, which = _pairs(_unpacked(data.as_py()))
+                at, pairs, which = _pairs(_unpacked(data.as_py())[0])
                 c = np.bincount(which[at < own.as_py()], minlength=pairs.size)
-                where = np.arange(pairs.size) + (chunk.as_py() << PLACE_BITS)
-                for lo in range(0, pairs.size, ROWS):
-                    part = slice(lo, lo + ROWS)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (names[pairs[part] >> 32], names[pairs[part] & 0xFFFFFFFF], where[part], c[part])], schema=schema)
+                left, right = names[pairs >> 32], names[pairs & 0xFFFFFFFF]
+                mixed = (left.astype(np.uint64) * _P + right.astype(np.uint64)) * _P
+                bucket = (((mixed ^ (mixed >> np.uint64(31))) * _P >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                ends = np.flatnonzero(np.append(bucket[order][1:] != bucket[order][:-1], True)) + 1 if order.size else order
+                begins = np.append(0, ends[:-1])
+                for lo in range(0, ends.size, ROWS):
+                    parts = [order[b:e] for b, e in zip(begins[lo : lo + ROWS], ends[lo : lo + ROWS], strict=True)]
+                    # Places rise within a bucket, so their steps are small.
+                    packed = [_packed(left[p], right[p], np.diff(p, prepend=0), c[p], kind="<i8") for p in parts]
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket[p[0]] for p in parts], pa.int32()), pa.array([chunk.as_py()] * len(parts), pa.int64()), pa.array(packed, pa.binary())], schema=schema)
         release()
 
     return level.select("chunk", "own", "ids", "codes").mapInArrow(run, ddl)
 
 
+def named_pairs(rows: DataFrame, least: int) -> DataFrame:
+    """Names of the pairs that are frequent over all chunks: (chunk, data, left, right, f, id).
+
+    A row is what one chunk has of a bucket's frequent pairs: in ``data`` their places there and names, packed,
+    and in the arrays those that are named after a place of this chunk. A bucket is the pairs of about BUCKET
+    words, and one entry a chunk of a pair that is in all of them.
+    """
+    ddl = "chunk long, data binary, left array<long>, right array<long>, f array<long>, id array<long>"
+    schema = _arrow_schema(rows.sparkSession, ddl)
+
+    def one(bucket: pa.Table) -> pa.Table:
+        parts = []
+        for chunk, data in zip(bucket.column("chunk").to_pylist(), bucket.column("data").to_pylist(), strict=True):
+            left, right, step, c = _unpacked(data, 4, "<i8")
+            parts.append(np.stack([left, right, np.cumsum(step) + (chunk << PLACE_BITS), c]))
+        left, right, where, c = np.concatenate(parts, axis=1)
+        order = np.lexsort((where, right, left))
+        left, right, where, c = left[order], right[order], where[order], c[order]
+        begins = np.flatnonzero(np.append(True, (left[1:] != left[:-1]) | (right[1:] != right[:-1])))
+        size = np.diff(np.append(begins, left.size))
+        f = np.add.reduceat(c, begins)
+        keep = np.flatnonzero(np.repeat(f >= least, size))
+        keep = keep[np.argsort(where[keep], kind="stable")]
+        left, right, where, f, name = left[keep], right[keep], where[keep], np.repeat(f, size)[keep], np.repeat(where[begins], size)[keep]
+        chunk, first = np.unique(where >> PLACE_BITS, return_index=True)
+        out = []
+        for k, lo, hi in zip(chunk.tolist(), first.tolist(), np.append(first[1:], where.size)[: first.size].tolist(), strict=True):
+            own = lo + np.flatnonzero(where[lo:hi] == name[lo:hi])
+            data = _packed(where[lo:hi] & ((1 << PLACE_BITS) - 1), name[lo:hi], kind="<i8")
+            out.append({"chunk": k, "data": data, "left": left[own], "right": right[own], "f": f[own], "id": name[own]})
+        return pa.Table.from_pylist(out, schema=schema)
+
+    return stored(rows.groupBy("bucket").applyInArrow(one, ddl))
+
+
 def renamed(level: DataFrame, names: DataFrame, words: bool) -> DataFrame:
     """The next level: names of what begins at each position, 0 where it is not frequent. (chunk, own, ids, codes)"""
     ddl = "chunk long, own int, ids array<long>, codes binary"
@@ -158,20 +214,24 @@ def renamed(level: DataFrame, names: DataFrame, words: bool) -> DataFrame:
         if not mine.num_rows or not found.num_rows:
             return schema.empty_table()
         chunk, own, data = (mine.column(c)[0].as_py() for c in ("chunk", "own", "codes"))
-        codes = _unpacked(data)
+        codes = _unpacked(data)[0]
         if words:
             at, which, n = np.arange(codes.size), codes, int(codes.max(initial=0)) + 1
+            local, ids = found.column("at").to_numpy(), found.column("id").to_numpy()
         else:
             at, pairs, which = _pairs(codes)
             n = pairs.size
-        local, ids = found.column("at").to_numpy(), found.column("id").to_numpy()
+            local, ids = np.concatenate([_unpacked(x, 2, "<i8") for x in found.column("data").to_pylist()], axis=1)
+        order = np.argsort(-np.bincount(which, minlength=n)[local], kind="stable")
+        local, ids = local[order], ids[order]
         code = np.zeros(n, np.int32)
         code[local] = np.arange(1, ids.size + 1)
         out = np.zeros(codes.size, np.int32)
         out[at] = code[which]
         return pa.Table.from_pylist([{"chunk": chunk, "own": own, "ids": ids, "codes": _packed(out)}], schema=schema)
 
-    replies = names.select(F.shiftright("place", PLACE_BITS).alias("chunk"), F.col("place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("at"), "id")
+    at_word = F.col("place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("at")
+    replies = names.select(F.shiftright("place", PLACE_BITS).alias("chunk"), at_word, "id") if words else names.select("chunk", "data")
     return stored(level.select("chunk", "own", "codes").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(one, ddl))
 
 
@@ -223,15 +283,16 @@ def mine(docs: DataFrame, least: int = 30, share: int = 80, top: int = 2000, tex
         raise ValueError(f"a chunk holds 1 to {(1 << (PLACE_BITS - 1)) - 1} words")
     level = stored(chunks(docs, chunk, text_col, lang_col))
     totals = stored(level.groupBy("lang").agg(F.sum("n").alias("n")))
+    buckets = max(1, -(-(totals.agg(F.sum("n").alias("n")).collect()[0]["n"] or 0) // BUCKET))
     word = F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")
     words = level.select("chunk", "lang", word).select("lang", F.col("w.words").alias("word"), place(F.col("chunk"), F.col("at") + 1).alias("place"), F.col("w.counts").alias("c"))
     names = named(words, ["lang", "word"], least)
-    parts = stored(entries(names).select("id", "f", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), F.col("f").alias("first_f"), F.col("f").alias("last_f")))
+    parts = stored(names.where("place = id").select("id", "f", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), F.col("f").alias("first_f"), F.col("f").alias("last_f")))
     made: list[DataFrame] = [parts]
     for k in range(2, LONGEST + 1):
         below, level = level, renamed(level, names, words=k == 2)
         discard(below, names)
-        names = named(grams(level), ["left", "right"], least)
+        names = named_pairs(grams(level, buckets), least)
         made.append(phrases(entries(names), made[-1], k))
     discard(level, names)
     kept = [uncovered(found, longer, share) for found, longer in zip(made[1:], [*made[2:], None], strict=True)]

@@ -149,9 +149,10 @@ def rows_of(df):
     return sorted(tuple(r) for r in df.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect())
 
 
-@pytest.mark.parametrize(("chunk", "top", "groups"), [(1, 2000, 64), (7, 5, 3), (1 << 21, 2000, 64)])
+@pytest.mark.parametrize(("chunk", "top", "groups"), [(1, 2000, 64), (7, 5, 3), (collocations.CHUNK, 2000, 64)])
 def test_phrases_of_random_texts(spark, monkeypatch, chunk, top, groups):
     monkeypatch.setattr(collocations, "RANK_GROUPS", groups)
+    monkeypatch.setattr(collocations, "BUCKET", 1 << chunk.bit_length())
     rng = random.Random(chunk)
     texts = [(i, "".join(rng.choice(["a ", "B ", "é\t", "c, ", "d d ", "e\n", "a b c ", " ", "😀 ", "x\x00\x85y "]) for _ in range(rng.randint(0, 400))), rng.choice(["en", "fr", None]), None, None) for i in range(40)]
     want = plain_phrases([(r[2], r[1]) for r in texts], top=top)
