@@ -53,6 +53,11 @@ def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is sorted and shuffled, whatever its size is taken for: the driver never holds it to broadcast it."""
+    return df.hint("merge")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster shares: the session's ``spark.checkpoint.dir``.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, stored
+from tessera.llm.common import discard, shuffled, stored
 
 
 def _signature(edges: DataFrame) -> tuple[int, int]:
@@ -20,16 +20,17 @@ def roots(edges: DataFrame) -> DataFrame:
     hangs a node's greater neighbours on the least node that it sees, small-star the
     smaller ones; they alternate until no edge moves. Rounds grow with the logarithm of
     a component's size, and no component is ever gathered in one place. Each round is
-    written to the shared folder, so that a lost executor costs one round at most.
+    written to the shared folder, so that a lost executor costs one round at most; no
+    table is broadcast, since the driver would hold it.
     """
     now = stored(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = _signature(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.where("v > u").join(shuffled(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(small_least, "u")
+        hung = large.join(shuffled(small_least), "u")
         small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(hung.select("u", F.col("m").alias("v")))
         last, before = seen, now
         now = stored(small.where("u != v").distinct())

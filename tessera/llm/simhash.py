@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, discard, map_rows, stored
+from tessera.llm.common import checkpoint, discard, map_rows, shuffled, stored
 from tessera.llm.components import roots
 
 SEED = 42
@@ -194,7 +194,7 @@ def deal(nodes: DataFrame, keys: Column, radius: int, tile: int, columns: list[s
     # A map of population counts has 129 entries at most.
     sizes = by_pop.groupBy("k", "bits").agg(
         F.sum("n").alias("size"), F.map_from_entries(F.collect_list(F.struct("pop", F.ceil(F.col("n") / tile).cast("int").alias("t")))).alias("tiles"))
-    row = spread.join(sizes.where(F.col("size") > 1), ["k", "bits"])
+    row = spread.join(shuffled(sizes.where(F.col("size") > 1)), ["k", "bits"])
     small = row.where(F.col("size") <= tile).select("k", "bits", F.lit(0).cast("long").alias("pair"), F.lit(0).alias("side"), *columns)
     tiles_of = lambda p: F.coalesce(F.try_element_at("tiles", p), F.lit(0))
     large = row.where(F.col("size") > tile).withColumn("salt", F.pmod(F.xxhash64(columns[0]), tiles_of(F.col("pop"))).cast("int"))
@@ -236,7 +236,7 @@ def joined(rows: DataFrame, single: DataFrame, on: list[str], spread: str, size:
     hot = single.where(F.col(size) > most).select(*on, parts.alias("_parts"))
     salted = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
     repeated = single.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col(size) > most, parts).otherwise(1) - 1)))
-    return salted.join(repeated, [*on, "_salt"]).drop("_salt")
+    return salted.join(shuffled(repeated), [*on, "_salt"]).drop("_salt")
 
 
 def hexed(fp: Column) -> Column:
@@ -254,7 +254,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
     own = stored(fingerprints(docs, words, id_col, text_col))
     nodes = stored(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
     root = roots(links(nodes.select("fp"), radius))
-    labelled = nodes.join(root, nodes["fp"] == root["node"], "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root"))
+    labelled = nodes.join(shuffled(root), nodes["fp"] == root["node"], "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root"))
     component = labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
     named = stored(joined(labelled, component, ["root"], "fp", "size").select("fp", "component_id", "copies"))
     return joined(own, named, ["fp"], "doc_id", "copies").select("doc_id", hexed(F.col("fp")).alias("fingerprint"), "component_id")
@@ -328,8 +328,8 @@ def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v), one a u, whose shingle sets have the Jaccard similarity. Many may share a v."""
     pairs = stored(pairs)
-    left = pairs.join(sets.select(F.col("id").alias("u"), F.col("z").alias("zu")), "u")
-    right = pairs.groupBy("v").agg(F.count("*").alias("size")).join(sets.select(F.col("id").alias("v"), F.col("z").alias("zv")), "v")
+    left = pairs.join(shuffled(sets.select(F.col("id").alias("u"), F.col("z").alias("zu"))), "u")
+    right = pairs.groupBy("v").agg(F.count("*").alias("size")).join(shuffled(sets.select(F.col("id").alias("v"), F.col("z").alias("zv"))), "v")
     both = joined(left, right, ["v"], "u", "size")
 
     def judge(us: list, vs: list, zu: list, zv: list) -> dict[str, list]:
@@ -461,7 +461,7 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str
     root = roots(verified(first.select(F.col("id").alias("u"), F.col("x.id").alias("v")), sets, similarity))
     turn, trying = 0, True
     while True:
-        labelled = met.join(root.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "a", "b", "n", F.coalesce("root", "id").alias("g"), (1 + F.floor(F.col("n") / SHINGLES)).alias("w"))
+        labelled = met.join(shuffled(root.withColumnRenamed("node", "id")), "id", "left").select("key", "id", "a", "b", "n", F.coalesce("root", "id").alias("g"), (1 + F.floor(F.col("n") / SHINGLES)).alias("w"))
         now = stored(labelled)
         by = now.groupBy("key", "g").agg(F.count("*").alias("n"), F.sum("w").alias("w")).groupBy("key")
         state = by.agg(F.count("*").alias("labels"), F.sum("n").alias("size"), F.sum("w").alias("weight"), F.max(F.struct("n", "g")).alias("most")).where("labels > 1")
@@ -488,12 +488,12 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str
     every = small if not outside else small.unionByName(tiles(large.select("key", "main", "w", (F.bit_count("a") + F.bit_count("b")).alias("pop"), "id", "a", "b", "n", "g"), radius, weight))
     dealt = every.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
     flagged = stored(dealt.mapInArrow(lambda x: flag(x, similarity), f"{PLACE}, {NODE}"))
-    full = flagged.join(sets, "id").select("key", "p", "q", "side", "id", "a", "b", "n", "g", "z").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    full = flagged.join(shuffled(sets), "id").select("key", "p", "q", "side", "id", "a", "b", "n", "g", "z").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
     good = stored(full.mapInArrow(lambda x: confirm(x, similarity), "u long, v long"))
     if not good.isEmpty():
         root = roots(good.unionByName(root.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     discard(met, now, state, rest, flagged, sets)
-    of_node = stored(nodes.join(root, nodes["id"] == root["node"], "left").select("a", "b", "h", "copies", F.coalesce("root", "id").alias("root")))
+    of_node = stored(nodes.join(shuffled(root), nodes["id"] == root["node"], "left").select("a", "b", "h", "copies", F.coalesce("root", "id").alias("root")))
     return joined(own.select("id", "a", "b", "h"), of_node, ["a", "b", "h"], "id", "copies").select("id", "root")
 
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, simhash, substrings
-from tessera.llm.common import table
+from tessera.llm.common import stored, table
 from tessera.llm.components import roots
 
 from .helpers import LOREM, components, edge_docs, edge_rows, lower, words
@@ -78,6 +78,19 @@ def sets_of(text: str | None) -> set:
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
 
 
+def test_buckets_are_not_broadcast(spark):
+    rng = random.Random(8)
+    fps = [rng.getrandbits(63) for _ in range(200)]
+    nodes = stored(spark.createDataFrame([(x ^ (1 << k),) for x in fps for k in range(3)], "fp long"))
+    found = simhash.links(nodes)
+    assert found.count() == len(found.collect()) >= 400
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+    sizes = stored(nodes.groupBy("fp").agg(F.count("*").alias("n")))
+    both = simhash.joined(nodes, sizes, ["fp"], "fp", "n")
+    assert both.count() == 600 and both._jdf.queryExecution().optimizedPlan().toString().count("strategy=merge") == 1
+
+
 def test_one_of_each_group_stays(spark, small):
     docs = table(spark, small, "documents")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
