@@ -40,16 +40,20 @@ def of_either(table: DataFrame, first: str, firsts: DataFrame, second: str, seco
 def by_title(citations: DataFrame, papers: DataFrame, most: int = 2) -> DataFrame:
     """For citations without an id: papers whose title has every word of the raw text's title, the first ``most`` by id.
 
-    citations: (citation_id, raw); papers: (paper_id, title). The two meet in the hint's rarest word.
+    citations: (citation_id, raw), one an id; papers: (paper_id, title). Hints of the same words are one, and so are titles,
+    of whose papers only the first ``most`` can be among a hint's; the two meet in the hint's rarest word.
     """
-    hints = citations.select("citation_id", title_tokens(title_hint(F.col("raw"))).alias("hint")).where(F.size("hint") > 0)
-    words = papers.select("paper_id", title_tokens(F.col("title")).alias("words")).select("paper_id", "words", F.explode("words").alias("word"))
+    hints = citations.select("citation_id", F.array_sort(title_tokens(title_hint(F.col("raw")))).alias("hint")).where(F.size("hint") > 0).groupBy("citation_id").agg(F.min("hint").alias("hint"))
+    first = lambda df, key: df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("paper_id"))).where(F.col("rank") <= most)
+    titles = first(papers.select("paper_id", F.array_sort(title_tokens(F.col("title"))).alias("words")), "words")
+    titles = titles.groupBy("words").agg(F.collect_list(F.struct("paper_id")).alias("papers"))
+    words = titles.select("words", "papers", F.explode("words").alias("word"))
     often = words.groupBy("word").agg(F.count("*").alias("n"))
-    asked = hints.select("citation_id", "hint", F.explode("hint").alias("word")).join(often, "word", "left")
-    rarest = asked.groupBy("citation_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("x"), F.first("hint").alias("hint"))
-    met = rarest.select("citation_id", "hint", F.col("x.word").alias("word")).join(words, "word").where(F.size(F.array_except("hint", "words")) == 0)
-    w = Window.partitionBy("citation_id").orderBy("paper_id")
-    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("citation_id", "paper_id", "rank")
+    asked = hints.select("hint").distinct().select("hint", F.explode("hint").alias("word")).join(often, "word", "left")
+    rarest = asked.groupBy("hint").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("x"))
+    met = rarest.select("hint", F.col("x.word").alias("word")).join(words, "word").where(F.size(F.array_except("hint", "words")) == 0)
+    best = first(met.select("hint", F.explode("papers").alias("p")).select("hint", "p.paper_id"), "hint")
+    return hints.join(best, "hint").select("citation_id", "paper_id", "rank")
 
 
 def labels_to_chunks(chunks: DataFrame, labels: DataFrame) -> DataFrame:
