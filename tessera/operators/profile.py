@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import chunk_estimate, is_noise_title
-from tessera.operators.citations import ENTRY_ARXIV, entry_ids
+from tessera.functions.text import bound, chunk_estimate, is_noise_title
+from tessera.operators.citations import ENTRY_ARXIV, parsed_ids
 
 # Marks in texts, years, and words of the usual section titles.
 CITE = r"\{\{cite:([0-9a-f]+)\}\}"
@@ -52,9 +52,11 @@ def per_paper(papers: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         )
 
     def entry(x: Column) -> Column:
-        held = F.try_parse_json(x["entry"])
+        return bound(F.try_parse_json(x["entry"]), lambda held: _entry(x["ref_id"], held))
+
+    def _entry(ref_id: Column, held: Column) -> Column:
         year = F.coalesce(F.try_variant_get(held, "$.year", "string"), F.try_variant_get(held, "$.Year", "string"))
-        return F.struct(x["ref_id"].alias("ref_id"), F.coalesce(F.schema_of_variant(held).startswith("OBJECT"), F.lit(False)).alias("is_object"), entry_ids(x["entry"]).alias("ids"), F.coalesce(year.rlike(YEAR), F.lit(False)).alias("year"))
+        return F.struct(ref_id.alias("ref_id"), F.coalesce(F.schema_of_variant(held).startswith("OBJECT"), F.lit(False)).alias("is_object"), parsed_ids(held).alias("ids"), F.coalesce(year.rlike(YEAR), F.lit(False)).alias("year"))
 
     parts = papers.select(
         *keep, *[F.coalesce(text(F.col(c)) != "", F.lit(False)).alias(f"has_{c}") for c in ("title", "doi", "abstract")],

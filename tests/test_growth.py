@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.operators import lookups
+from pyspark.sql import functions as F
+
+from tessera.functions.text import bound
+from tessera.operators import citations, lookups, profile
+from tessera.plans import report_queries
 
 
 def most_rows(df) -> int:
@@ -26,3 +30,13 @@ def test_titles_of_the_same_words_meet_once(spark):
     got = sorted((r for r in every if r[0] < 2 or r[0] > 299), key=lambda r: (r[0], r[2]))
     assert got == [(0, 0, 1), (0, 2, 2), (1, None, 1), (1, 1, 2)]
     assert len(every) == 600 and most_rows(found) <= 4 * 3002
+
+
+def test_entries_are_parsed_once(spark, small):
+    entries = spark.createDataFrame([('{"doi": 7, "DOI": null, "ids": {"doi": " D ", "arxiv": "cs/1"}, "raw": " W "}',), ("[1]",), ("no",), (None,)], "e string")
+    ids = entries.select(citations.entry_ids(F.col("e")).alias("x"))
+    assert [tuple(r) for r in ids.select("x.*").collect()] == [("D", "cs/1", None, None)] + 3 * [(None,) * 4]
+    assert [r[0] for r in spark.range(3).select(bound(F.col("id") + 1, lambda x: x * x)).collect()] == [1, 4, 9]
+    for made in (ids, profile.per_paper(report_queries._papers(spark, small))):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert 1 <= plan.count("parseJson") <= 2
