@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions.text import bound
-from tessera.operators import citations, lookups, profile
+from tessera.operators import citations, hops, lookups, profile
 from tessera.plans import report_queries
 
 
@@ -40,3 +40,12 @@ def test_entries_are_parsed_once(spark, small):
     for made in (ids, profile.per_paper(report_queries._papers(spark, small))):
         plan = made._jdf.queryExecution().optimizedPlan().toString()
         assert 1 <= plan.count("parseJson") <= 2
+
+
+def test_only_items_within_the_budget_are_kept(spark):
+    rows = [(q, f"c{i}", i, "x", "whim" if i % 5 == 0 else "none" if i % 5 == 1 else hops.REASONS[0], "" if i % 5 == 2 else "m", None if i % 5 == 3 else [("r", 0.5)]) for q in range(3) for i in range(200)]
+    items = spark.createDataFrame(rows + [(None, "n", 1, "x", "whim", "m", None)], "query_id int, claim_id string, pos int, chunk_uid string, hop_reason string, look_for string, linked array<struct<raw:string,alignment:double>>").repartition(5)
+    within, over = hops.candidates(items, 7)
+    got = sorted(tuple(r) for r in within.where("query_id = 1").select("pos", "wrong").collect())
+    assert got == [(0, "no_hop_reason"), (2, "no_linked_citations"), (3, "no_linked_citations"), (4, None), (5, "no_hop_reason"), (7, "no_linked_citations"), (8, "no_linked_citations")]
+    assert within.count() == 22 and over.count() == 3 * (160 - 7) and over.columns == hops.ITEM
