@@ -268,14 +268,80 @@ def provenance(hits: DataFrame, by: tuple[str, ...] = ("query_id", "doc_id")) ->
     return hits.groupBy(*by).agg(F.max("score").alias("score"), F.array_sort(F.collect_set("sq_idx")).alias("sub_queries"))
 
 
+#: Citations, and chunks, of a paper that are compared within a task.
+HOP_BLOCK = 2048
+#: Citations of a block that are compared at once.
+HOP_STRIP = 64
+
+
+def _vectors(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a column of vectors, shorter ones filled up with zeros, and their norms; null or with a null element, a vector is zero."""
+    held = [v if v is not None and None not in v else [] for v in column.to_pylist()]
+    rows = np.zeros((len(held), max(map(len, held), default=0)))
+    for i, v in enumerate(held):
+        rows[i, : len(v)] = v
+    squares = np.zeros(len(held))
+    for c in rows.T:
+        squares += c * c
+    return rows, np.sqrt(squares)
+
+
+def _nearest(cited: pa.Table, chunks: pa.Table, k: int) -> pa.Table:
+    """(citation_id, chunk_uid, score): of each citation the chunks that may be among its best ``k`` to nine places, ties by chunk.
+
+    Sums are taken in order of the elements, as ``scores.cosine`` takes them.
+    """
+    chunks = chunks.take(pc.sort_indices(chunks["chunk_uid"], null_placement="at_start"))
+    (x, nx), (y, ny) = _vectors(cited["vector"]), _vectors(chunks["vector"])
+    codes = chunks["chunk_uid"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    begins = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if codes.size else np.zeros(0, np.int64)
+    at, which, score = [], [], []
+    for low in range(0, len(x) if begins.size else 0, HOP_STRIP):
+        part, n = x[low : low + HOP_STRIP], nx[low : low + HOP_STRIP, None] * ny[None, :]
+        s = np.zeros(n.shape)
+        with np.errstate(all="ignore"):
+            for c in range(min(x.shape[1], y.shape[1])):
+                s += part[:, c, None] * y[None, :, c]
+            s = np.where(n != 0, s / n, 0.0)
+        s = np.maximum.reduceat(s, begins, axis=1)
+        rank = np.where(np.isnan(s), np.inf, s)  # as Spark orders them
+        least = np.partition(rank, max(0, begins.size - k), axis=1)[:, max(0, begins.size - k)]
+        for i, row in enumerate(rank):
+            near = np.flatnonzero(row >= least[i] - 2e-9)
+            # Of equal scores, the first k chunks.
+            order = near[np.argsort(row[near], kind="stable")]
+            first = np.maximum.accumulate(np.where(np.append(True, row[order[1:]] != row[order[:-1]]), np.arange(order.size), 0))
+            order = order[np.arange(order.size) - first < k]
+            at.append(np.full(order.size, low + i))
+            which.append(begins[order])
+            score.append(s[i, order])
+    at, which = (np.concatenate([np.zeros(0, np.int64), *z]).astype(np.int64) for z in (at, which))
+    return pa.table({"citation_id": cited["citation_id"].take(pa.array(at)), "chunk_uid": chunks["chunk_uid"].take(pa.array(which)), "score": np.concatenate([np.zeros(0), *score])})
+
+
 def hop(citations: DataFrame, chunks: DataFrame, k: int = 2) -> DataFrame:
     """The cited paper's best chunks for each citation, by the cosine of what is looked for.
 
     citations: (citation_id, arxiv, doi, vector); chunks: (chunk_uid, paper_arxiv, paper_doi,
-    vector). Two equality joins stand for the alternative of ids.
+    vector). Both meet in each of the two ids. Citations and chunks of a paper are dealt into
+    blocks, and each pair of blocks is compared on its own, so that a much cited paper is no one
+    task's; what a pair of blocks gives is bounded by its citations, not by its pairs.
     """
-    by = lambda left, right: citations.where(F.coalesce(left, F.lit("")) != "").join(chunks, left == right)
-    met = by(citations["arxiv"], chunks["paper_arxiv"]).select("citation_id", "chunk_uid", citations["vector"].alias("q"), chunks["vector"].alias("v"))
-    met = met.unionByName(by(citations["doi"], chunks["paper_doi"]).select("citation_id", "chunk_uid", citations["vector"].alias("q"), chunks["vector"].alias("v")))
-    scored = met.groupBy("citation_id", "chunk_uid").agg(F.max(scores.cosine(F.col("q"), F.col("v"))).alias("score"))
-    return top_k(scored, k, keys=("citation_id",), tie="chunk_uid")
+
+    def of(df: DataFrame, uid: str, arxiv: str, doi: str) -> DataFrame:
+        ids = F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(c).cast("string").alias("id")) for i, c in enumerate((arxiv, doi))]))
+        return df.select(uid, F.col("vector").cast("array<double>").alias("vector"), ids.alias("x")).where("x.id != ''").select("x.kind", "x.id", uid, "vector")
+
+    a, b = of(citations, "citation_id", "arxiv", "doi"), of(chunks, "chunk_uid", "paper_arxiv", "paper_doi")
+    key = ["kind", "id"]
+    blocks = lambda df, name: df.groupBy(*key).agg(F.ceil(F.count("*") / HOP_BLOCK).cast("int").alias(name))
+    sizes = blocks(a, "_p").join(blocks(b, "_q"), key)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = lambda uid, n: F.pmod(F.xxhash64(uid), F.col(n)).cast("int")
+    left = a.join(sizes, key).select(*key, mine("citation_id", "_p").alias("p"), every("_q").alias("q"), "citation_id", "vector")
+    right = b.join(sizes, key).select(*key, mine("chunk_uid", "_q").alias("q"), every("_p").alias("p"), "chunk_uid", "vector")
+    out = StructType([a.schema["citation_id"], b.schema["chunk_uid"], StructField("score", DoubleType())])
+    by = [*key, "p", "q"]
+    met = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(lambda x, y: _nearest(x, y, k), out)
+    scored = met.groupBy("citation_id", "chunk_uid").agg(F.max("score").alias("score")).withColumn("_settled", settled(F.col("score")))
+    return top_k(scored, k, by="_settled", keys=("citation_id",), tie="chunk_uid").drop("_settled")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.functions import scores
 from tessera.functions.text import bound
-from tessera.operators import citations, hops, lookups, profile
+from tessera.operators import citations, hops, lookups, profile, retrieval
 from tessera.plans import report_queries
 
 
@@ -49,3 +53,20 @@ def test_only_items_within_the_budget_are_kept(spark):
     got = sorted(tuple(r) for r in within.where("query_id = 1").select("pos", "wrong").collect())
     assert got == [(0, "no_hop_reason"), (2, "no_linked_citations"), (3, "no_linked_citations"), (4, None), (5, "no_hop_reason"), (7, "no_linked_citations"), (8, "no_linked_citations")]
     assert within.count() == 22 and over.count() == 3 * (160 - 7) and over.columns == hops.ITEM
+
+
+def test_a_much_cited_paper_is_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "HOP_BLOCK", 16)
+    rng = random.Random(4)
+    some = [[float(rng.randint(-3, 3)) for _ in range(4)] for _ in range(40)] + [[0.0] * 4, [1.0, 2.0], None, [1.0, None, 2.0, 3.0]]
+    cited = [(i, "p", "d" if i % 2 else "", some[i % 44]) for i in range(60)] + [(60, "", None, some[0]), (61, "none", None, some[0])]
+    chunks = [(f"c{i:03d}", "p" if i % 3 else None, "d" if i % 2 else "", some[(7 * i) % 44]) for i in range(150)]
+    a, b = spark.createDataFrame(cited, "citation_id long, arxiv string, doi string, vector array<double>"), spark.createDataFrame(chunks, "chunk_uid string, paper_arxiv string, paper_doi string, vector array<float>")
+    found = retrieval.hop(a, b, 3)
+    got = sorted(tuple(r) for r in found.collect())
+    met = a.alias("a").join(b.alias("b"), F.expr("(a.arxiv != '' AND a.arxiv = b.paper_arxiv) OR (a.doi != '' AND a.doi = b.paper_doi)"))
+    plain = met.select("citation_id", "chunk_uid", scores.cosine(F.col("a.vector"), F.col("b.vector")).alias("score"))
+    w = Window.partitionBy("citation_id").orderBy(F.desc(F.round("score", 9)), "chunk_uid")
+    want = plain.withColumn("rank", F.row_number().over(w)).where("rank <= 3")
+    assert found.columns == ["citation_id", "chunk_uid", "score", "rank"] and got == sorted(tuple(r) for r in want.collect())
+    assert retrieval.hop(a.limit(0), b).count() == 0 and most_rows(found) < plain.count()
