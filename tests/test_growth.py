@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scores
 from tessera.functions.text import bound
-from tessera.operators import citations, hops, lookups, profile, retrieval
+from tessera.operators import citations, classifier, hops, lookups, profile, retrieval
 from tessera.plans import report_queries
 
 
@@ -70,3 +70,13 @@ def test_a_much_cited_paper_is_compared_in_blocks(spark, monkeypatch):
     want = plain.withColumn("rank", F.row_number().over(w)).where("rank <= 3")
     assert found.columns == ["citation_id", "chunk_uid", "score", "rank"] and got == sorted(tuple(r) for r in want.collect())
     assert retrieval.hop(a.limit(0), b).count() == 0 and most_rows(found) < plain.count()
+
+
+def test_sections_of_usual_titles_are_not_classified(spark):
+    class Whole(classifier.Classifier):
+        def over(self, found):
+            return found.withColumns({"class": F.lit("Methods"), "class_confidence": F.lit(0.9), "probs": F.array(F.lit(0.9))})
+
+    folded = spark.createDataFrame([(t, t) for t in ("methods", "lattice models", "references", "results")] + [("none", None)], "paper_id string, title_norm string")
+    got = Whole(None, ["Methods"]).classified(folded)
+    assert sorted(r["paper_id"] for r in got.collect()) == ["lattice models", "none"]
